@@ -52,6 +52,18 @@ def _json_winner() -> Column:
     return F.when((F.col(f"_json.{_ENVELOPE_END}") == 1) & winner.isin("A", "B"), winner)
 
 
+def _with_results(df: DataFrame, **results: Column) -> DataFrame:
+    """Add columns that later filters read but must not recompute.
+
+    Spark moves a filter below the projection it reads from and repeats the
+    projected expressions in it. The output of a generator stays where it is, so
+    a one-row generator keeps each reply parsed once.
+    """
+    row = F.struct(*[column.alias(name) for name, column in results.items()])
+    kept = [c for c in df.columns if c not in results]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def parse_winner(df: DataFrame, raw: str = "raw_response", strict: bool = False) -> DataFrame:
     """Add ``parsed_winner`` and ``parse_method`` (json, key_regex, bare_letter, none).
 
@@ -61,23 +73,16 @@ def parse_winner(df: DataFrame, raw: str = "raw_response", strict: bool = False)
     rules = {"json": _json_winner(), "key_regex": _group(F.col(raw), _WINNER_KEY)}
     if not strict:
         rules["bare_letter"] = _group(F.col(raw), _BARE_LETTER)
-    found = F.coalesce(
-        *[
-            F.when(winner.isNotNull(), F.struct(winner.alias("winner"), F.lit(name).alias("method")))
-            for name, winner in rules.items()
-        ]
-    )
-    return (
-        _with_json(df, raw)
-        .withColumn("_found", found)
-        .withColumns(
-            {
-                "parsed_winner": F.col("_found.winner"),
-                "parse_method": F.coalesce(F.col("_found.method"), F.lit("none")),
-            }
-        )
-        .drop("_json", "_found")
-    )
+    found = F.coalesce(*[F.concat(winner, F.lit(name)) for name, winner in rules.items()])
+    parsed = _with_results(_with_json(df, raw), _found=F.coalesce(found, F.lit("")))
+    verdict = F.substring("_found", 1, 1)
+    method = F.expr("substring(_found, 2)")
+    return parsed.withColumns(
+        {
+            "parsed_winner": F.when(verdict != "", verdict),
+            "parse_method": F.when(verdict != "", method).otherwise("none"),
+        }
+    ).drop("_json", "_found")
 
 
 def parse_winner_comment(df: DataFrame, raw: str = "raw_response") -> DataFrame:
@@ -86,20 +91,15 @@ def parse_winner_comment(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     A JSON reply with a verdict gives both. Otherwise each comes from its own
     pattern; such a comment is not unescaped, and a truncated reply has none.
     """
-    text = F.col(raw)
-    winner = _json_winner()
-    return (
-        _with_json(df, raw)
-        .withColumns(
-            {
-                "comment": F.when(winner.isNotNull(), F.col("_json.reply.comment")).otherwise(
-                    strip(_group(text, _COMMENT_KEY))
-                ),
-                "parsed_winner": F.coalesce(winner, _group(text, _WINNER_KEY)),
-            }
-        )
-        .drop("_json")
-    )
+    text, winner = F.col(raw), F.col("_winner")
+    staged = _with_json(df, raw).withColumn("_winner", _json_winner())
+    return _with_results(
+        staged,
+        parsed_winner=F.coalesce(winner, _group(text, _WINNER_KEY)),
+        comment=F.when(winner.isNotNull(), F.col("_json.reply.comment")).otherwise(
+            strip(_group(text, _COMMENT_KEY))
+        ),
+    ).drop("_json", "_winner")
 
 
 def score(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.hashing import hash_number
@@ -33,95 +33,75 @@ def with_bootstrap_ci(
     nothing has to be resampled. The probabilities are built up by their ratios
     from the low end of the neighbourhood of the mean and normalised at the end.
     """
-    low, high = alpha / 2, 1 - alpha / 2
-    nn, kk = F.col(n).cast("double"), F.col(k).cast("double")
-    sd = F.sqrt(kk * F.try_divide(nn - kk, nn))
-    summed = (F.col(n) <= exact_limit) & (F.col(k) > 0) & (F.col(k) < F.col(n))
-
-    first = F.greatest(F.lit(0.0), F.floor(kk - _SPREAD * sd) - 1)
-    last = F.least(nn, F.ceil(kk + _SPREAD * sd) + 1)
-    staged = df.withColumns(
-        {
-            "_from": F.when(summed, first).otherwise(0.0).cast("long"),
-            "_to": F.when(summed, last).otherwise(0.0).cast("long"),
-            "_odds": F.when(summed, F.try_divide(kk, nn - kk)).otherwise(0.0),
-            "_sd": sd,
-        }
-    )
-
-    def next_weight(weight: Column, i: Column) -> Column:
-        return weight * (F.col(n) - i) / (i + 1) * F.col("_odds")
+    shares = {"lo": alpha / 2, "hi": 1 - alpha / 2}
+    summed = f"({n} <= {exact_limit} AND {k} > 0 AND {k} < {n})"
+    weight = f"acc.w * ({n} - i) / (i + 1) * _odds"
 
-    total = F.aggregate(
-        F.sequence("_from", "_to"),
-        F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(
-            next_weight(acc["w"], i).alias("w"), (acc["sum"] + acc["w"]).alias("sum")
-        ),
-        lambda acc: acc["sum"],
-    )
-    staged = staged.withColumn("_total", total)
-
-    def below(acc: Column, share: float) -> Column:
-        reached = acc["sum"] + acc["w"] >= share * F.col("_total")
-        return F.when(reached, 0).otherwise(1).cast("long")
-
-    ranks = F.aggregate(
-        F.sequence("_from", "_to"),
-        F.struct(
-            F.lit(1.0).alias("w"),
-            F.lit(0.0).alias("sum"),
-            F.col("_from").alias("lo"),
-            F.col("_from").alias("hi"),
-        ),
-        lambda acc, i: F.struct(
-            next_weight(acc["w"], i).alias("w"),
-            (acc["sum"] + acc["w"]).alias("sum"),
-            (acc["lo"] + below(acc, low)).alias("lo"),
-            (acc["hi"] + below(acc, high)).alias("hi"),
-        ),
-        lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")),
-    )
-    staged = staged.withColumn("_rank", ranks)
+    def below(share: float) -> str:
+        return f"IF(acc.mass + acc.w >= {share!r}D * _total, 0L, 1L)"
 
-    def bound(share: float, field: str) -> Column:
+    def bound(field: str, share: float) -> str:
         z = NormalDist().inv_cdf(share)
-        skew = (1 - 2 * F.try_divide(kk, nn)) * (z * z - 1) / 6
-        expanded = F.least(nn, F.greatest(F.lit(0.0), F.ceil(kk + z * F.col("_sd") + skew - 0.5)))
-        certain = (F.col(k) <= 0) | (F.col(k) >= F.col(n))
-        count = F.when(certain, kk).when(summed, F.col(f"_rank.{field}").cast("double")).otherwise(expanded)
-        return F.try_divide(count, nn)
-
-    return staged.withColumns({"ci_lower": bound(low, "lo"), "ci_upper": bound(high, "hi")}).drop(
-        "_from", "_to", "_odds", "_sd", "_total", "_rank"
-    )
+        expanded = (
+            f"greatest(0D, least({n}, ceil({k} + {z!r}D * _sd"
+            f" + (1 - 2 * try_divide({k}, {n})) * {(z * z - 1) / 6!r}D - 0.5D)))"
+        )
+        certain = f"{k} <= 0 OR {k} >= {n}"
+        return f"""try_divide(
+            CAST(CASE WHEN {certain} THEN {k} WHEN {summed} THEN _rank.{field} ELSE {expanded} END AS DOUBLE),
+            {n})"""
+
+    span = f"{_SPREAD!r}D * _sd"
+    steps = [
+        {"_sd": f"sqrt({k} * try_divide({n} - {k}, {n}))"},
+        {
+            "_from": f"IF({summed}, greatest(0L, floor({k} - {span}) - 1), 0L)",
+            "_to": f"IF({summed}, least({n}, ceil({k} + {span}) + 1), 0L)",
+            "_odds": f"IF({summed}, try_divide({k}, {n} - {k}), 0D)",
+        },
+        {
+            "_total": f"""aggregate(sequence(_from, _to), named_struct('w', 1D, 'mass', 0D),
+                (acc, i) -> named_struct('w', {weight}, 'mass', acc.mass + acc.w), acc -> acc.mass)"""
+        },
+        {
+            "_rank": f"""aggregate(sequence(_from, _to),
+                named_struct('w', 1D, 'mass', 0D, 'lo', _from, 'hi', _from),
+                (acc, i) -> named_struct('w', {weight}, 'mass', acc.mass + acc.w,
+                    'lo', acc.lo + {below(shares["lo"])}, 'hi', acc.hi + {below(shares["hi"])}))"""
+        },
+        {"ci_lower": bound("lo", shares["lo"]), "ci_upper": bound("hi", shares["hi"])},
+    ]
+    return _in_steps(df, steps).drop("_sd", "_from", "_to", "_odds", "_total", "_rank")
+
+
+def _in_steps(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
+    """Add the columns of each step; later steps use earlier columns without recomputing them."""
+    for step in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return df
 
 
-def _stirling_error(x: Column) -> Column:
+def _stirling_error(x: str) -> str:
     """ln x! minus Stirling's formula, for whole x >= 1."""
     table = [
         math.lgamma(i + 1) - ((i + 0.5) * math.log(i) - i + 0.5 * math.log(2 * math.pi))
         for i in range(1, 16)
     ]
-    r = 1 / (x * x)
-    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
-    return F.when(
-        x < 16, F.try_element_at(F.array(*map(F.lit, table)), F.greatest(x, F.lit(1.0)).cast("int"))
-    ).otherwise(series)
+    known = ", ".join(f"{v!r}D" for v in table)
+    r = f"(1 / ({x} * {x}))"
+    series = f"(1D / 12 - {r} * (1D / 360 - {r} * (1D / 1260 - {r} / 1680D))) / {x}"
+    return f"IF({x} < 16, try_element_at(array({known}), CAST(greatest({x}, 1D) AS INT)), {series})"
 
 
-def _log_pmf_half(n: Column, k: Column) -> Column:
+def _log_pmf_half(n: str, k: str) -> str:
     """ln of C(n, k) / 2^n, in the form that does not cancel for large n."""
-    d = (2 * k - n) / n
-    divergence = ((1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d)) / 2
+    d = f"((2 * {k} - {n}) / {n})"
+    divergence = f"((1 + {d}) * log1p({d}) + (1 - {d}) * log1p(-{d})) / 2"
     inner = (
-        F.log(n / (2 * math.pi * k * (n - k))) / 2
-        + _stirling_error(n)
-        - _stirling_error(k)
-        - _stirling_error(n - k)
-        - n * divergence
+        f"ln({n} / ({2 * math.pi!r}D * {k} * ({n} - {k}))) / 2 + {_stirling_error(n)}"
+        f" - {_stirling_error(k)} - {_stirling_error(f'({n} - {k})')} - {n} * {divergence}"
     )
-    return F.when((k <= 0) | (k >= n), -n * math.log(2)).otherwise(inner)
+    return f"IF({k} <= 0 OR {k} >= {n}, -{n} * {math.log(2)!r}D, {inner})"
 
 
 def with_binom_test(df: DataFrame, n: str = "n", k: str = "k") -> DataFrame:
@@ -131,47 +111,34 @@ def with_binom_test(df: DataFrame, n: str = "n", k: str = "k") -> DataFrame:
     tail is summed from its largest term on; below the mean the complement is
     summed. Tails of more than 20,000 terms use a stride with end corrections.
     """
-    upper = 2 * F.col(k) > F.col(n)
-    staged = df.withColumns(
+    upper = f"2 * {k} > {n}"
+    steps = [
         {
-            "_n": F.greatest(F.col(n), F.lit(1)).cast("double"),
-            "_m": F.when(upper, F.col(k)).otherwise(F.col(n) - F.col(k) + 1).cast("double"),
-        }
-    )
-    nn, m = F.col("_n"), F.col("_m")
-    staged = staged.withColumns(
+            "_n": f"CAST(greatest({n}, 1) AS DOUBLE)",
+            "_m": f"CAST(IF({upper}, {k}, {n} - {k} + 1) AS DOUBLE)",
+        },
+        {"_m0": "least(_m, _n)", "_slope": "IF(_m < _n, ln((_n - _m) / (_m + 1)), -50D)"},
         {
-            "_slope": F.when(m < nn, F.log((nn - m) / (m + 1))).otherwise(-50.0),
-            "_first": _log_pmf_half(nn, F.least(m, nn)),
-        }
-    )
-    slope = F.col("_slope")
-    needed = F.greatest(
-        F.lit(0.0), F.least(nn - m, 10 * F.sqrt(nn) + 40, F.ceil(-45 / slope).cast("double"))
-    )
-    staged = staged.withColumn("_terms", needed).withColumn(
-        "_stride", F.greatest(F.lit(1.0), F.floor(F.col("_terms") / _TAIL_TERMS).cast("double"))
-    )
-    h = F.col("_stride")
-    summed = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.floor(F.col("_terms") / h).cast("long")),
-        F.lit(0.0),
-        lambda acc, j: acc
-        + F.exp(_log_pmf_half(nn, F.least(m, nn) + h * j.cast("double")) - F.col("_first")),
-    )
-    tail = h * summed - (h - 1) / 2 + (h * h - 1) / 12 * slope
-    staged = staged.withColumn("_log_tail", F.col("_first") + F.log(tail))
-    log_tail = F.col("_log_tail")
-    log10_p = (
-        F.when(F.col(k) <= 0, 0.0)
-        .when(upper, log_tail / math.log(10))
-        .otherwise(F.log1p(-F.exp(log_tail)) / math.log(10))
-    )
-    return (
-        staged.withColumn("binom_log10_p", log10_p)
-        .withColumn("binom_pvalue", F.pow(F.lit(10.0), F.col("binom_log10_p")))
-        .drop("_n", "_m", "_slope", "_first", "_terms", "_stride", "_log_tail")
-    )
+            "_first": _log_pmf_half("_n", "_m0"),
+            "_terms": "greatest(0D, least(_n - _m, 10 * sqrt(_n) + 40, CAST(ceil(-45 / _slope) AS DOUBLE)))",
+        },
+        {"_stride": f"greatest(1D, floor(_terms / {_TAIL_TERMS}))"},
+        {
+            "_sum": f"""aggregate(sequence(0L, CAST(floor(_terms / _stride) AS BIGINT)), 0D,
+                (acc, j) -> acc + exp({_log_pmf_half("_n", "(_m0 + _stride * j)")} - _first))"""
+        },
+        {
+            "_log_tail": "_first + ln(_stride * _sum - (_stride - 1) / 2"
+            " + (_stride * _stride - 1) / 12 * _slope)"
+        },
+        {
+            "binom_log10_p": f"""CASE WHEN {k} <= 0 THEN 0D WHEN {upper} THEN _log_tail / {math.log(10)!r}D
+                ELSE log1p(-exp(_log_tail)) / {math.log(10)!r}D END"""
+        },
+        {"binom_pvalue": "pow(10D, binom_log10_p)"},
+    ]
+    helpers = ["_n", "_m", "_m0", "_slope", "_first", "_terms", "_stride", "_sum", "_log_tail"]
+    return _in_steps(df, steps).drop(*helpers)
 
 
 def bootstrap_by_resampling(

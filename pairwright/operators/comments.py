@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import judge_slug_of
@@ -123,29 +123,31 @@ def merge_comments(
     return merged.select(*ordered, *human_rest, *rest)
 
 
-def _mentions(text: Column, terms: Sequence[str]) -> Column:
-    """True if the lower-cased text holds one of the terms as a whole word."""
-    return F.lower(text).rlike(rf"(?<![a-z])(?:{'|'.join(terms)})(?![a-z])")
-
-
 def dimension_counts(comments: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
     """Distinct commented items per (source, dimension), zeros included.
 
-    ``comments`` has source, sample_id and comment; ``lexicon`` gives the plain
-    lower-case a-z terms of each dimension. Texts are reduced to one flag per
-    dimension where they are read; only flags are shuffled.
+    ``comments`` has source, sample_id and comment; ``lexicon`` gives the terms of
+    each dimension as lower-case a-z words. Texts are reduced to one flag per
+    dimension where they are read; only flags are shuffled. A row without a comment
+    mentions nothing.
     """
     names = list(lexicon)
-    found = comments.filter(F.col("comment").isNotNull()).select(
+    all_terms = F.array(*[F.lit(t) for t in sorted({t for ts in lexicon.values() for t in ts})])
+    used = F.array_intersect(F.split(F.lower("comment"), "[^a-z]+"), all_terms)
+    spoken = comments.select("source", "sample_id", used.alias("_used"))
+    found = spoken.select(
         "source",
         "sample_id",
-        *[_mentions(F.col("comment"), terms).alias(f"_d{i}") for i, terms in enumerate(lexicon.values())],
+        *[
+            F.arrays_overlap("_used", F.array(*map(F.lit, terms))).alias(f"_d{i}")
+            for i, terms in enumerate(lexicon.values())
+        ],
     )
     per_item = found.groupBy("source", "sample_id").agg(
         *[F.bool_or(f"_d{i}").alias(f"_d{i}") for i in range(len(names))]
     )
     per_source = per_item.groupBy("source").agg(
-        *[F.count_if(f"_d{i}").alias(name) for i, name in enumerate(names)]
+        *[F.count_if(F.col(f"_d{i}")).alias(name) for i, name in enumerate(names)]
     )
     return per_source.unpivot("source", names, "dimension", "cnt")
 

@@ -51,9 +51,8 @@ def _summary(counts: DataFrame, flag: str, rate: str) -> DataFrame:
     The table is aggregated once by judge and language; the overall rows are
     grouping sets over that small result, not over the judgements.
     """
-    n, k = pairs_with(counts, flag)
     per_language = (
-        counts.select("model", "lang_code", n.alias("n"), k.alias("k"))
+        pairs_with(counts, flag, "model", "lang_code")
         .groupBy("model", "lang_code")
         .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     )

@@ -16,13 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.functions.labels import prompt_consistent, swap_consistent, verdict
+from pairwright.functions.labels import prompt_consistent, swap_consistent
 
 SWAP_KEYS = ["sample_id", "model", "prompt_version"]
 PROMPT_KEYS = ["sample_id", "model"]
 
-# Counter suffix -> verdict it counts.
-_CLASSES = {"a": "A", "b": "B", "none": None}
+# Counter suffix -> verdict it counts, as SQL.
+_CLASSES = {"a": "'A'", "b": "'B'", "none": "CAST(NULL AS STRING)"}
 
 
 def valid(judgments: DataFrame, swap: bool | None = None) -> DataFrame:
@@ -33,19 +33,18 @@ def valid(judgments: DataFrame, swap: bool | None = None) -> DataFrame:
     return kept.filter(F.col("swap_order") == swap)
 
 
-def count_verdicts(prefix: str, where: Column, winner: str = "parsed_winner") -> list[Column]:
+def count_verdicts(prefix: str, where: str) -> list[Column]:
     """Counters ``<prefix>_a``, ``_b`` and ``_none`` over the rows where ``where`` holds."""
-    found = verdict(F.col(winner))
-    return [
-        F.count_if(where & (found.isNull() if label is None else found == label)).alias(
-            f"{prefix}_{suffix}"
-        )
-        for suffix, label in _CLASSES.items()
-    ]
+    classes = {
+        "a": "parsed_winner = 'A'",
+        "b": "parsed_winner = 'B'",
+        "none": "parsed_winner IS NULL OR parsed_winner NOT IN ('A', 'B')",
+    }
+    return [F.expr(f"count_if(({where}) AND ({c}))").alias(f"{prefix}_{s}") for s, c in classes.items()]
 
 
-def total(prefix: str) -> Column:
-    return sum((F.col(f"{prefix}_{suffix}") for suffix in _CLASSES), F.lit(0).cast("long"))
+def total(prefix: str) -> str:
+    return f"({prefix}_a + {prefix}_b + {prefix}_none)"
 
 
 def pair_counts(
@@ -67,45 +66,43 @@ def pair_counts(
 
     both = side(left, True).unionByName(side(right, False))
     counts = both.groupBy(*keys, *([carry] if carry else [])).agg(
-        *count_verdicts("left", F.col("_left")), *count_verdicts("right", ~F.col("_left"))
+        *count_verdicts("left", "_left"), *count_verdicts("right", "NOT _left")
     )
     if carry:
         whole_key = Window.partitionBy(*keys)
         counts = counts.withColumns(
             {f"right_{s}": F.sum(f"right_{s}").over(whole_key) for s in _CLASSES}
         )
-    return counts.filter((total("left") > 0) & (total("right") > 0))
-
-
-def pairs_with(counts: DataFrame, flag: str) -> tuple[Column, Column]:
-    """(n, k): flagged row pairs behind ``counts`` and those that are consistent."""
-    left_a, left_b, right_a, right_b = (
-        F.col(c) for c in ("left_a", "left_b", "right_a", "right_b")
-    )
-    if flag == "swap_consistent":  # null, hence not counted, unless both verdicts exist
-        return (left_a + left_b) * (right_a + right_b), left_a * right_b + left_b * right_a
-    if flag == "prompt_consistent":
-        return total("left") * total("right"), left_a * right_a + left_b * right_b
-    raise ValueError(f"unknown flag: {flag}")
+    return counts.filter(f"{total('left')} > 0 AND {total('right')} > 0")
+
+
+def pairs_with(counts: DataFrame, flag: str, *kept: str) -> DataFrame:
+    """``kept`` columns, row pairs with a flag (``n``) and consistent ones (``k``) per key."""
+    n_k = {
+        # A pair has this flag only if both verdicts exist.
+        "swap_consistent": (
+            "(left_a + left_b) * (right_a + right_b)",
+            "left_a * right_b + left_b * right_a",
+        ),
+        "prompt_consistent": (
+            f"{total('left')} * {total('right')}",
+            "left_a * right_a + left_b * right_b",
+        ),
+    }
+    n, k = n_k[flag]
+    return counts.selectExpr(*kept, f"{n} AS n", f"{k} AS k")
 
 
 def matched_pairs(counts: DataFrame, left: str, right: str) -> DataFrame:
     """One row per key and pair of verdicts, with the number of row ``pairs``."""
-    label = {s: F.lit(v).cast("string") for s, v in _CLASSES.items()}
-    options = F.array(
-        *[
-            F.struct(
-                label[i].alias(left),
-                label[j].alias(right),
-                (F.col(f"left_{i}") * F.col(f"right_{j}")).alias("pairs"),
-            )
-            for i in _CLASSES
-            for j in _CLASSES
-        ]
+    options = ", ".join(
+        f"struct({v} AS {left}, {w} AS {right}, left_{i} * right_{j} AS pairs)"
+        for i, v in _CLASSES.items()
+        for j, w in _CLASSES.items()
     )
     counters = [f"{side}_{s}" for side in ("left", "right") for s in _CLASSES]
     kept = [c for c in counts.columns if c not in counters]
-    return counts.select(*kept, F.inline(options)).filter("pairs > 0")
+    return counts.selectExpr(*kept, f"inline(array({options}))").filter("pairs > 0")
 
 
 def swap_counts(main: DataFrame, swapped: DataFrame) -> DataFrame:

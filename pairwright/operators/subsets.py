@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.operators.items import for_each_judge
@@ -35,13 +35,10 @@ def _both_orders(main: DataFrame, swapped: DataFrame) -> DataFrame:
     )
 
 
-def _is_unstable(main: str, swapped: str) -> Column:
+def _is_unstable(main: str, swapped: str) -> str:
     """True if some swapped verdict is not the opposite of some main verdict."""
-    not_b = F.col(f"{swapped}_a") + F.col(f"{swapped}_none")
-    not_a = F.col(f"{swapped}_b") + F.col(f"{swapped}_none")
-    main_a = F.col(f"{main}_a") > 0
-    main_other = F.col(f"{main}_b") + F.col(f"{main}_none") > 0
-    return (main_a & (not_b > 0)) | (main_other & (not_a > 0))
+    not_b, not_a = f"{swapped}_a + {swapped}_none", f"{swapped}_b + {swapped}_none"
+    return f"({main}_a > 0 AND {not_b} > 0 OR {main}_b + {main}_none > 0 AND {not_a} > 0)"
 
 
 def case_flags(main: DataFrame, swapped: DataFrame) -> DataFrame:
@@ -55,17 +52,17 @@ def case_flags(main: DataFrame, swapped: DataFrame) -> DataFrame:
         .filter(F.col("model").isNotNull())
         .groupBy("model", "sample_id")
         .agg(
-            *count_verdicts("main", ~F.col("_swap")),
-            *count_verdicts("swap", F.col("_swap")),
-            F.count_if(~F.col("_swap") & ~F.col("is_correct")).alias("_wrong"),
+            *count_verdicts("main", "NOT _swap"),
+            *count_verdicts("swap", "_swap"),
+            F.expr("count_if(NOT _swap AND NOT is_correct)").alias("_wrong"),
         )
     )
-    return counts.select(
+    return counts.selectExpr(
         "model",
         "sample_id",
-        (F.col("_wrong") > 0).alias("incorrect"),
-        _is_unstable("main", "swap").alias("unstable"),
-        ((total("main") > 0) & (total("swap") > 0)).alias("tested"),
+        "_wrong > 0 AS incorrect",
+        f"{_is_unstable('main', 'swap')} AS unstable",
+        f"{total('main')} > 0 AND {total('swap')} > 0 AS tested",
     )
 
 
@@ -149,26 +146,25 @@ def comment_subset_shared(
     seed: int = 42,
 ) -> DataFrame:
     """Items to comment on for two judges together, with disagreements as a case of their own."""
-    is_first, is_second = F.col("model") == first, F.col("model") == second
-    plain = ~F.col("_swap")
+    who = F.when(F.col("model") == first, 1).when(F.col("model") == second, 2)
     counts = (
         _both_orders(main, swapped)
-        .filter(is_first | is_second)
+        .withColumn("_who", who)
+        .filter("_who IS NOT NULL")
         .groupBy("sample_id")
         .agg(
-            *count_verdicts("m1", is_first & plain),
-            *count_verdicts("m2", is_second & plain),
-            *count_verdicts("s1", is_first & ~plain),
-            *count_verdicts("s2", is_second & ~plain),
-            F.count_if(plain & ~F.col("is_correct")).alias("_wrong"),
+            *count_verdicts("m1", "_who = 1 AND NOT _swap"),
+            *count_verdicts("m2", "_who = 2 AND NOT _swap"),
+            *count_verdicts("s1", "_who = 1 AND _swap"),
+            *count_verdicts("s2", "_who = 2 AND _swap"),
+            F.expr("count_if(NOT _swap AND NOT is_correct)").alias("_wrong"),
         )
     )
-    agreeing = F.col("m1_a") * F.col("m2_a") + F.col("m1_b") * F.col("m2_b")
-    flags = counts.select(
+    flags = counts.selectExpr(
         "sample_id",
-        (F.col("_wrong") > 0).alias("incorrect"),
-        (_is_unstable("m1", "s1") | _is_unstable("m2", "s2")).alias("unstable"),
-        (total("m1") * total("m2") > agreeing).alias("disagreement"),
+        "_wrong > 0 AS incorrect",
+        f"{_is_unstable('m1', 's1')} OR {_is_unstable('m2', 's2')} AS unstable",
+        f"{total('m1')} * {total('m2')} > m1_a * m2_a + m1_b * m2_b AS disagreement",
     )
     bad = flags.filter("incorrect OR unstable OR disagreement").select("sample_id")
     controls = items.select("sample_id").join(bad, "sample_id", "left_anti")

@@ -114,7 +114,7 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
     """A judge name per document: known names and odd ones."""
     key = F.col("doc_id").cast("string")
     odd = F.concat("source", F.lit("/"), F.initcap("lang"), F.lit("-v"), key, F.lit(".1 pro:free\\x"))
-    kind = views.bucket("name", key, 4)
+    kind = F.expr(views.bucket("name", "doc_id", 4))
     model = F.when(kind == 0, "openai/gpt-5.4-pro").when(kind == 1, "x-ai/grok-4.20-beta").otherwise(odd)
     return views.documents(spark, sf).select("doc_id", model.alias("model"))
 

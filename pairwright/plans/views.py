@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions.hashing import hash_number
-from pairwright.functions.labels import opposite
 from pairwright.functions.parsing import parse_winner, score
 from pairwright.operators.items import build_items, judge_list, swap_items
 
@@ -55,45 +53,50 @@ LEXICON = {
 }
 
 
-def bucket(salt: str, key: Column, size: int) -> Column:
-    return hash_number(F.concat(F.lit(f"{salt}/"), key)) % size
+def bucket(salt: str, key: str, size: int) -> str:
+    """SQL for a hash of ``key`` below ``size``."""
+    return f"CAST(conv(substr(md5(concat('{salt}/', {key})), 1, 8), 16, 10) AS BIGINT) % {size}"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z]+", " ")
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows out when the files have fewer splits than there are cores.
+
+    A table stored as one row group is read by one task, and everything up to the
+    next shuffle would run in it. Large tables have splits enough and stay as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def _words(text: str) -> str:
+    return f"regexp_replace({text}, '[^A-Za-z]+', ' ')"
 
 
 def human(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations: a choice (a few typos and nulls), a gold that conflicts now and then."""
-    sid, text = F.col("sample_id"), F.col("text")
-    mood = bucket("choice", sid, 100)
-    comment = F.when(bucket("cm", sid, 10) >= 3, _words(text))
     return (
         documents(spark, sf_dir)
-        .withColumn("sample_id", F.concat(F.lit("s_"), "lang", F.lit("_"), F.col("doc_id").cast("string")))
-        .withColumn(
-            "choice",
-            F.when(mood < 52, "text1").when(mood < 97, "text2").when(mood < 99, "txt2"),
-        )
-        .select(
+        .selectExpr("*", "concat('s_', lang, '_', doc_id) AS sample_id")
+        .selectExpr("*", f"{bucket('choice', 'sample_id', 100)} AS mood")
+        .selectExpr(
             "sample_id",
-            F.col("lang").alias("lang_code"),
-            text.alias("source"),
-            F.replace(text, F.lit("\n"), F.lit(" ")).alias("text1"),
-            F.replace(text, F.lit(", "), F.lit(" ")).alias("text2"),
-            "choice",
-            F.when((F.col("choice") == "text1") == (bucket("gold", sid, 100) >= 5), "text1")
-            .otherwise("text2")
-            .alias("gold"),
-            F.when(bucket("issue", sid, 10) < 2, "tone").alias("issues"),
-            comment.alias("commet"),
-            F.length(comment).alias("comment_len"),
-            F.col("doc_id").alias("row_ordinal"),
+            "lang AS lang_code",
+            "text AS source",
+            "replace(text, '\\n', ' ') AS text1",
+            "replace(text, ', ', ' ') AS text2",
+            "CASE WHEN mood < 52 THEN 'text1' WHEN mood < 97 THEN 'text2' WHEN mood < 99 THEN 'txt2' END"
+            " AS choice",
+            f"IF(mood < 99 AND (mood < 52) = ({bucket('gold', 'sample_id', 100)} >= 5), 'text1', 'text2')"
+            " AS gold",
+            f"IF({bucket('issue', 'sample_id', 10)} < 2, 'tone', NULL) AS issues",
+            f"IF({bucket('cm', 'sample_id', 10)} >= 3, {_words('text')}, NULL) AS commet",
+            "doc_id AS row_ordinal",
         )
+        .withColumn("comment_len", F.length("commet"))
     )
 
 
@@ -104,33 +107,28 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _calls(spark: SparkSession, sf_dir: str, conditions: Sequence[tuple[str, bool]]) -> DataFrame:
     """Items x judges x conditions with ``key`` and the side the judge takes (``_side``)."""
     tiers = dict(judge_list(CONFIG))
-    calls = F.array(
-        *[
-            F.struct(
-                F.lit(model).alias("model"),
-                F.lit(tiers[model]).alias("tier"),
-                F.lit(prompt).alias("prompt_version"),
-                F.lit(swap).alias("swap_order"),
-                F.lit(SKILL[model]).alias("_skill"),
-                F.lit(10 * CONDITIONS.index((prompt, swap)) + j).alias("_call"),
-            )
-            for prompt, swap in conditions
-            for j, model in enumerate(JUDGES)
-        ]
+    calls = ", ".join(
+        f"struct('{model}' AS model, '{tiers[model]}' AS tier, '{prompt}' AS prompt_version,"
+        f" {swap} AS swap_order, {SKILL[model]} AS _skill,"
+        f" {10 * CONDITIONS.index((prompt, swap)) + j} AS _call)"
+        for prompt, swap in conditions
+        for j, model in enumerate(JUDGES)
     )
-    calls_per_item = items(spark, sf_dir).select(
-        "sample_id", "lang_code", "source", "translation_a", "translation_b", "gold_winner",
-        "row_ordinal", F.inline(calls),
-    )
-    order = F.when(F.col("swap_order"), "t").otherwise("f")
-    gold = F.col("gold_winner")
+    annotated = human(spark, sf_dir).withColumn("commet", F.expr(_words("source")))
+    calls_per_item = build_items(annotated).withColumnRenamed("comment", "words")
     return (
-        swap_items(calls_per_item, F.col("swap_order"))
-        .withColumn("key", F.concat_ws("/", "sample_id", "model", "prompt_version", order))
-        .withColumn("row_ordinal", F.col("row_ordinal") * 100 + F.col("_call"))
-        .withColumn(
-            "_side",
-            F.when(bucket("ok", F.col("key"), 100) < F.col("_skill"), gold).otherwise(opposite(gold)),
+        swap_items(
+            calls_per_item.selectExpr("*", f"inline(array({calls}))"), F.col("swap_order")
+        )
+        .selectExpr(
+            "*",
+            "concat_ws('/', sample_id, model, prompt_version, IF(swap_order, 't', 'f')) AS key",
+            "IF(gold_winner = 'B', 'A', 'B') AS _other",
+        )
+        .selectExpr(
+            "* EXCEPT (row_ordinal)",
+            "row_ordinal * 100 + _call AS row_ordinal",
+            f"IF({bucket('ok', 'key', 100)} < _skill, gold_winner, _other) AS _side",
         )
     )
 
@@ -139,31 +137,21 @@ def replies(
     spark: SparkSession, sf_dir: str, conditions: Sequence[tuple[str, bool]] = tuple(CONDITIONS)
 ) -> DataFrame:
     """Unparsed judge replies in many shapes, empty replies and failed calls included."""
-    side, shape = F.col("_side"), F.col("_shape")
-    raw = (
-        F.when(shape < 70, F.concat(F.lit('{"winner":"'), side, F.lit('"}')))
-        .when(shape < 76, F.concat(F.lit('```json\n{ "winner" : "'), side, F.lit('" }\n```')))
-        .when(shape < 80, F.concat(F.lit('{"winner":"'), side, F.lit('"} because it reads well')))
-        .when(shape < 83, F.concat(F.lit('["'), side, F.lit('"]')))
-        .when(
-            shape < 85,
-            F.concat(
-                F.lit('{"winner":"\\u004'), F.when(side == "A", "1").otherwise("2"), F.lit('"}')
-            ),
-        )
-        .when(shape < 91, F.concat(F.lit("Translation "), side, F.lit(" reads better")))
-        .when(shape < 94, "no verdict")
-        .when(shape < 96, "")
-    )
-    return (
-        _calls(spark, sf_dir, conditions)
-        .withColumn("_shape", bucket("fmt", F.col("key"), 100))
-        .select(
-            "sample_id", "lang_code", "model", "tier", "prompt_version", "swap_order", "gold_winner",
-            raw.alias("raw_response"),
-            F.when(shape >= 98, "429 Too Many Requests").alias("error"),
-            "row_ordinal",
-        )
+    raw = r"""CASE
+        WHEN _shape < 70 THEN concat('{"winner":"', _side, '"}')
+        WHEN _shape < 76 THEN concat('```json\n{ "winner" : "', _side, '" }\n```')
+        WHEN _shape < 80 THEN concat('{"winner":"', _side, '"} because it reads well')
+        WHEN _shape < 83 THEN concat('["', _side, '"]')
+        WHEN _shape < 85 THEN concat('{"winner":"\\u004', IF(_side = 'A', '1', '2'), '"}')
+        WHEN _shape < 91 THEN concat('Translation ', _side, ' reads better')
+        WHEN _shape < 94 THEN 'no verdict'
+        WHEN _shape < 96 THEN '' END"""
+    shaped = _calls(spark, sf_dir, conditions).selectExpr("*", f"{bucket('fmt', 'key', 100)} AS _shape")
+    return shaped.selectExpr(
+        "sample_id", "lang_code", "model", "tier", "prompt_version", "swap_order", "gold_winner",
+        f"{raw} AS raw_response",
+        "IF(_shape >= 98, '429 Too Many Requests', NULL) AS error",
+        "row_ordinal",
     )
 
 
@@ -175,22 +163,19 @@ def judgments(
 
 def comment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unparsed replies with comments; the comment holds all words of the document."""
-    side, shape, words = F.col("_side"), F.col("_shape"), _words(F.col("source"))
-    start = F.concat(F.lit('{"winner":"'), side, F.lit('","comment":"'))
-    raw = (
-        F.when(shape < 60, F.concat(start, words, F.lit('"}')))
-        .when(shape < 70, F.concat(start, F.lit('so \\"fine\\": '), words, F.lit('"}')))
-        .when(shape < 80, F.concat(F.lit("Sure. "), start, F.lit(" "), words, F.lit(' \n" }')))
-        .when(shape < 90, F.concat(start, words))
-        .when(shape < 95, F.concat(F.lit("Translation "), side, F.lit(" is better")))
+    raw = r"""CASE
+        WHEN _shape < 60 THEN concat(_head, words, '"}')
+        WHEN _shape < 70 THEN concat(_head, 'so \\"fine\\": ', words, '"}')
+        WHEN _shape < 80 THEN concat('Sure. ', _head, ' ', words, ' \n" }')
+        WHEN _shape < 90 THEN concat(_head, words)
+        WHEN _shape < 95 THEN concat('Translation ', _side, ' is better') END"""
+    shaped = _calls(spark, sf_dir, [MAIN]).selectExpr(
+        "*",
+        f"{bucket('cfmt', 'key', 100)} AS _shape",
+        """concat('{"winner":"', _side, '","comment":"') AS _head""",
     )
-    cases = F.array(F.lit("incorrect"), F.lit("unstable"), F.lit("control"))
-    return (
-        _calls(spark, sf_dir, [MAIN])
-        .withColumn("_shape", bucket("cfmt", F.col("key"), 100))
-        .select(
-            "sample_id", F.get(cases, bucket("case", F.col("key"), 3)).alias("comment_case_type"),
-            "lang_code", "model", "tier", F.lit("comment").alias("prompt_version"), "gold_winner",
-            raw.alias("raw_response"), "row_ordinal",
-        )
+    case = f"get(array('incorrect', 'unstable', 'control'), {bucket('case', 'key', 3)})"
+    return shaped.selectExpr(
+        "sample_id", f"{case} AS comment_case_type", "lang_code", "model", "tier",
+        "'comment' AS prompt_version", "gold_winner", f"{raw} AS raw_response", "row_ordinal",
     )
