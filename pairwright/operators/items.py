@@ -120,12 +120,18 @@ def judge_requests(
     prompt_version: str,
     system_prompt: str,
     swap: bool = False,
+    answered: DataFrame | None = None,
 ) -> DataFrame:
     """One request per item and judge for one prompt version and order.
 
     ``gold_winner`` is in the space of the displayed labels. A case label, if the
-    items carry one, is passed on.
+    items carry one, is passed on. ``answered`` (sample_id, models) lists the judges
+    to leave out per item; it is joined before the items are multiplied by judges.
     """
+    left_out = []
+    if answered is not None:
+        items = items.join(answered.select("sample_id", "models"), "sample_id", "left")
+        left_out = ["models"]
     shown = swap_items(items, True) if swap else items
     case = ["comment_case_type"] if "comment_case_type" in items.columns else []
     prepared = shown.select(
@@ -137,8 +143,12 @@ def judge_requests(
         "gold_winner",
         F.lit(system_prompt).alias("system_prompt"),
         user_message(*map(F.col, ("source", "translation_a", "translation_b"))).alias("user_message"),
+        *left_out,
     )
-    return for_each_judge(prepared, roster)
+    requests = for_each_judge(prepared, roster)
+    if answered is None:
+        return requests
+    return requests.filter("NOT coalesce(array_contains(models, model), false)").drop("models")
 
 
 def requests_per_judge(items: DataFrame, roster: Sequence[tuple[str, str]]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.functions.parsing import parse_winner, parse_winner_comment, score
+from pairwright.operators.items import judge_requests
+from pairwright.operators.pairing import valid
 from pairwright.schemas import COMMENTS, JUDGMENTS
 
 # judge(model, system_prompt, user_message) -> reply text or None
@@ -75,9 +77,21 @@ def comments_from_replies(replies: DataFrame) -> DataFrame:
     return score(parse_winner_comment(replies)).select(*COMMENTS.fieldNames())
 
 
-def pending_requests(requests: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Requests without a parsed verdict so far: never sent, failed, empty or unreadable."""
-    keys = ["sample_id", "model", "prompt_version"]
-    keys += ["swap_order"] if "swap_order" in judgments.columns else []
-    done = judgments.filter(F.col("parse_success")).select(*keys)
-    return requests.join(done, keys, "left_anti")
+def pending_requests(
+    items: DataFrame,
+    roster: Sequence[tuple[str, str]],
+    prompt_version: str,
+    system_prompt: str,
+    judgments: DataFrame,
+    swap: bool = False,
+) -> DataFrame:
+    """Requests without a parsed verdict so far: never sent, failed, empty or unreadable.
+
+    Finished judges are gathered per item, no more than the roster has, and taken
+    off before the texts are multiplied by judges: a text is shuffled once.
+    """
+    done = valid(judgments, swap).filter(
+        (F.col("prompt_version") == prompt_version) & F.col("model").isin(*[m for m, _ in roster])
+    )
+    answered = done.groupBy("sample_id").agg(F.collect_set("model").alias("models"))
+    return judge_requests(items, roster, prompt_version, system_prompt, swap, answered)

@@ -6,6 +6,8 @@ tests are computed on those few rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from pairwright.operators.pairing import (
     swap_counts,
     valid,
 )
+from pairwright.operators.sampling import bounded
 
 
 def _rate(counted: DataFrame, name: str) -> DataFrame:
@@ -121,13 +124,20 @@ def swap_single_file(judgments: DataFrame, ordinal: str = "row_ordinal") -> Data
 
 
 def prompt_single_file(
-    judgments: DataFrame, ordinal: str = "row_ordinal", swap: bool | None = None
+    judgments: DataFrame,
+    ordinal: str = "row_ordinal",
+    swap: bool | None = None,
+    judges: Sequence[str] | None = None,
 ) -> DataFrame:
     """Consistency of every prompt with the alphabetically first one of the judge.
 
     As in the reference behaviour both answer orders count unless ``swap`` picks one.
+    ``judges`` restricts the judges and bounds the table of their first prompts,
+    which is then broadcast; without it Spark chooses the join.
     """
     rows = valid(judgments, swap)
+    if judges is not None:
+        rows = rows.filter(F.col("model").isin(*judges))
     for name in SWAP_KEYS:
         rows = rows.filter(F.col(name).isNotNull())
     first = (
@@ -139,7 +149,7 @@ def prompt_single_file(
     per_item = Window.partitionBy("model", "sample_id")
     is_base = F.col("prompt_version") == F.col("base_prompt")
     compared = (
-        first.join(base, "model")
+        first.join(bounded(base, None if judges is None else len(judges)), "model")
         .withColumn("base_winner", F.max(F.when(is_base, F.col("winner"))).over(per_item))
         .filter(~is_base & F.col("base_winner").isNotNull())
     )

@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from pairwright.functions.hashing import draw_key
 
 _PREFIX = 4
+# Tables that provably have no more rows than this are broadcast, larger ones are not.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, most: int | None) -> DataFrame:
+    """Mark ``df`` for broadcast if it cannot exceed ``most`` rows and that is few."""
+    return F.broadcast(df) if most is not None and most <= BROADCAST_ROWS else df
 
 
 def _takes(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFrame:
@@ -36,12 +43,19 @@ def _takes(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFrame:
 
 
 def draw(
-    df: DataFrame, key: Column, quota: Column, strata: Sequence[str] = (), id_col: str = "sample_id"
+    df: DataFrame,
+    key: Column,
+    quota: Column,
+    strata: Sequence[str] = (),
+    most: int | None = None,
+    id_col: str = "sample_id",
 ) -> DataFrame:
     """Rows with the smallest ``key`` in each stratum, ``quota`` of them or all if fewer.
 
     ``df`` should be narrow (ids and strata) with unique ids per stratum; ties of
-    the key go by ``id_col``. Rows with a null stratum are left out.
+    the key go by ``id_col``. Rows with a null stratum are left out. ``most``, where
+    known, bounds the rows drawn over all strata and so the prefixes they fall
+    under; few prefixes are broadcast and only rows under them are shuffled.
     """
     columns = df.columns
     for name in strata:
@@ -52,7 +66,7 @@ def draw(
     group = [*by, "_prefix"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_key", id_col))
     return (
-        keyed.join(_takes(keyed, by, quota), group)
+        keyed.join(bounded(_takes(keyed, by, quota), most), group)
         .withColumn("_rn", rank)
         .filter(F.col("_rn") <= F.col("_take"))
         .select(*columns)
@@ -72,8 +86,8 @@ def _row_count(df: DataFrame) -> Column:
 def simple_sample(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly n items, each equally likely; an error if there are fewer."""
     ids = items.select("sample_id")
-    picked = draw(ids, draw_key(seed, "sample_id"), _checked(n, F.col("stratum_size")))
-    return items.join(picked, "sample_id", "left_semi")
+    picked = draw(ids, draw_key(seed, "sample_id"), _checked(n, F.col("stratum_size")), most=n)
+    return items.join(bounded(picked, n), "sample_id", "left_semi")
 
 
 def stratified_ids(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
@@ -105,15 +119,17 @@ def stratified_exact(items: DataFrame, n: int, seed: int = 42, by: str = "lang_c
         "sample_id", F.when(F.col("_picked"), "0").otherwise("1").alias("_class")
     )
     key = F.concat("_class", draw_key(seed, F.lit("exact"), "sample_id"))
-    kept = draw(ranked, key, F.lit(n)).select("sample_id")
-    return items.join(kept, "sample_id", "left_semi")
+    kept = draw(ranked, key, F.lit(n), most=n).select("sample_id")
+    return items.join(bounded(kept, n), "sample_id", "left_semi")
 
 
-def draw_cases(pool: DataFrame, quotas: Mapping[str, int], strata: Sequence[str], seed: int) -> DataFrame:
+def draw_cases(
+    pool: DataFrame, quotas: Mapping[str, int], strata: Sequence[str], seed: int, most: int
+) -> DataFrame:
     """Up to ``quotas[case]`` ids per stratum and ``case``; the pool has no repeated ids."""
     quota = F.coalesce(*[F.when(F.col("case") == c, F.lit(n)) for c, n in quotas.items()])
     key = draw_key(seed, *strata, "case", "sample_id")
-    return draw(pool, key, quota, [*strata, "case"])
+    return draw(pool, key, quota, [*strata, "case"], most)
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.items import for_each_judge
 from pairwright.operators.pairing import count_verdicts, total, valid
-from pairwright.operators.sampling import draw_cases
+from pairwright.operators.sampling import bounded, draw_cases
 
 JUDGE_QUOTAS = {"incorrect": 12, "unstable": 12, "control": 6}
 SHARED_QUOTAS = {"incorrect": 10, "unstable": 10, "disagreement": 10, "control": 5}
@@ -131,9 +131,10 @@ def comment_subset_judge(
     pool = _as_pool(flags, keys, ["incorrect", "unstable"]).unionByName(
         _controls(items, flags, judges, require_tested).withColumn("case", F.lit("control"))
     )
-    labelled = _first_case(draw_cases(pool, quotas, ["model"], seed), keys, list(quotas))
+    most = sum(quotas.values()) * len(judges)
+    labelled = _first_case(draw_cases(pool, quotas, ["model"], seed, most), keys, list(quotas))
     chosen = labelled.withColumnRenamed("model", "comment_target_model")
-    return items.join(chosen, "sample_id")
+    return items.join(bounded(chosen, most), "sample_id")
 
 
 def comment_subset_shared(
@@ -171,5 +172,6 @@ def comment_subset_shared(
     pool = _as_pool(flags, ["sample_id"], ["incorrect", "unstable", "disagreement"]).unionByName(
         controls.withColumn("case", F.lit("control"))
     )
-    labelled = _first_case(draw_cases(pool, quotas, [], seed), ["sample_id"], list(quotas))
-    return items.join(labelled, "sample_id")
+    most = sum(quotas.values())
+    labelled = _first_case(draw_cases(pool, quotas, [], seed, most), ["sample_id"], list(quotas))
+    return items.join(bounded(labelled, most), "sample_id")

@@ -138,8 +138,9 @@ def run_judges(spark, sf):
 
 @_query
 def pending_requests(spark, sf):
-    requests = item_ops.judge_requests(_items(spark, sf), ROSTER, "main", PROMPTS["main"])
-    pending = judging.pending_requests(requests, _judged(spark, sf, MAIN))
+    pending = judging.pending_requests(
+        _items(spark, sf), ROSTER, "main", PROMPTS["main"], _judged(spark, sf, MAIN)
+    )
     return pending.select("sample_id", "lang_code", "model", "tier", "prompt_version", "swap_order")
 
 
@@ -238,7 +239,7 @@ def swap_single_file(spark, sf):
 
 @_query
 def prompt_single_file(spark, sf):
-    return _rates(metrics.prompt_single_file(_judged(spark, sf)), "prompt_consistency_rate")
+    return _rates(metrics.prompt_single_file(_judged(spark, sf), judges=JUDGES), "prompt_consistency_rate")
 
 
 @_query
