@@ -122,18 +122,21 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
 # Judging
 
 
-def _stub_judge(model: str, prompt: str, message: str) -> str:
-    """A judge without a network: its verdict is a hash of what it is sent."""
-    digit = hashlib.md5(f"{model}|{message}".encode()).hexdigest()[0]
-    if digit == "f":
-        raise RuntimeError("429 Too Many Requests")
-    return '{"winner":"A"}' if digit < "8" else '{"winner":"B"}'
-
-
 @_query
 def run_judges(spark, sf):
+    """A whole run with a judge that needs no network."""
+
+    def make_judge():
+        def judge(model, prompt, message):
+            digit = hashlib.md5(f"{model}|{message}".encode()).hexdigest()[0]
+            if digit == "f":
+                raise RuntimeError("429 Too Many Requests")
+            return '{"winner":"A"}' if digit < "8" else '{"winner":"B"}'
+
+        return judge
+
     requests = item_ops.judge_requests(_items(spark, sf), ROSTER, "main", PROMPTS["main"])
-    return judging.judgments_from_replies(judging.collect_replies(requests, lambda: _stub_judge))
+    return judging.judgments_from_replies(judging.collect_replies(requests, make_judge))
 
 
 @_query

@@ -97,7 +97,7 @@ def read_comments(spark: SparkSession, paths: str | Sequence[str], **options: st
 
 def read_prompts(spark: SparkSession, directory: str) -> DataFrame:
     """Prompt files as (prompt_version, template); ``judge_main.txt`` is version ``main``."""
-    return spark.read.option("wholetext", True).text(f"{directory}/*.txt").select(
+    return spark.read.text(f"{directory}/*.txt", wholetext=True).select(
         F.regexp_extract("_metadata.file_name", r"^(?:judge_)?(.*)\.txt$", 1).alias("prompt_version"),
         F.col("value").alias("template"),
     )
