@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_number(text: Column, digits: int = 8) -> Column:
-    """Leading hex digits (at most 15) of the MD5 of ``text`` as a whole number."""
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
-
-
 def draw_key(seed: int, *parts: Column | str) -> Column:
     """Pseudo-random sort key of a row: depends on the seed and the row, not on its place."""
     filled = [F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts]

@@ -13,8 +13,6 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.functions.hashing import hash_number
-
 # Widest neighbourhood of the mean, in standard deviations, that is summed.
 _SPREAD = 9.0
 # Up to this n the binomial quantile is summed, above it it is expanded (error below 1/n).
@@ -153,30 +151,37 @@ def bootstrap_by_resampling(
 ) -> DataFrame:
     """Bootstrap bounds by actually resampling, one row per group with ``ci_lower``/``ci_upper``.
 
-    Draw j of replicate b hits position ``hash(seed, b, j) mod n``; positions below
-    k are the ones. The draws of a replicate are cut into chunks that are spread
-    over the cluster and only counted, so a large group is not tied to one task.
-    The work is n x n_boot draws; ``with_bootstrap_ci`` is the way for large n.
+    A replicate draws n values, two from each hash of (seed, replicate, i). A draw
+    is a one if its 13 hex digits, read as a fraction, lie below k/n; fixed-width hex
+    digits compare as text, so they are never converted to numbers. The draws of a replicate are cut into chunks
+    that are spread over the cluster and only counted, so a large group is not tied
+    to one task. The work is n x n_boot draws; ``with_bootstrap_ci`` is the way for
+    large n.
     """
     tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    counted = df.select(*by, F.col(n).cast("long").alias("_n"), F.col(k).cast("long").alias("_k"))
     chunks = (
-        counted.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))))
+        df.selectExpr(*by, f"CAST({n} AS BIGINT) AS _n", f"CAST({k} AS BIGINT) AS _k")
+        .selectExpr(
+            "*",
+            "(_n + 1) DIV 2 AS _hashes",
+            # Above every hash if all values are ones.
+            f"IF(_k >= _n, 'g', lower(lpad(hex(CAST(floor(_k / _n * {1 << 52}D) AS BIGINT)), 13, '0')))"
+            " AS _below",
+        )
+        .selectExpr("*", f"explode(sequence(0, {n_boot - 1})) AS _b")
+        .selectExpr("*", f"explode(sequence(0L, (_hashes - 1) DIV {chunk})) AS _c")
         .repartition(tasks)
     )
-    first = F.col("_c") * chunk
-    draws = chunks.withColumn(
-        "_j", F.explode(F.sequence(first, F.least(first + chunk, F.col("_n")) - 1))
-    )
-    position = hash_number(F.concat_ws("|", F.lit(seed), "_b", "_j"), digits=15) % F.col("_n")
-    means = (
-        draws.groupBy(*by, "_n", "_b")
-        .agg(F.count_if(position < F.col("_k")).alias("_hits"))
-        .withColumn("_mean", F.col("_hits") / F.col("_n"))
+    hashes = chunks.selectExpr(
+        "*", f"explode(sequence(_c * {chunk}, least((_c + 1) * {chunk}, _hashes) - 1)) AS _i"
+    ).selectExpr("*", f"md5(concat_ws('|', '{seed}', _b, _i)) AS _md5")
+    hits = (
+        "IF(substr(_md5, 1, 13) < _below, 1L, 0L)"
+        " + IF(2 * _i + 1 < _n AND substr(_md5, 17, 13) < _below, 1L, 0L)"
     )
+    means = hashes.groupBy(*by, "_n", "_b").agg(F.expr(f"sum({hits}) / _n").alias("_mean"))
     return (
         means.groupBy(*by)
-        .agg(F.percentile("_mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"))
-        .select(*by, F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"))
+        .agg(F.percentile("_mean", [alpha / 2, 1 - alpha / 2]).alias("_q"))
+        .selectExpr(*by, "_q[0] AS ci_lower", "_q[1] AS ci_upper")
     )

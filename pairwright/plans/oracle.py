@@ -18,12 +18,8 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _hash(text: str, digits: int = 8) -> str:
-    return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
-
-
 def _bucket(salt: str, key: str, size: int) -> str:
-    return f"({_hash(f"'{salt}/' || {key}")} % {size})"
+    return f"(('0x' || substr(md5('{salt}/' || {key}), 1, 8))::BIGINT % {size})"
 
 
 _WORDS = "regexp_replace(text, '[^A-Za-z]+', ' ', 'g')"
@@ -468,11 +464,14 @@ SELECT {three}, n, k, round(binom_log10_p, 4) AS binom_log10_p FROM rated""",
         "bootstrap_ci_exact": f"""WITH {counts_by_three}{_with_stats("counts", three)}
 SELECT {three}, n, k, ci_lower, ci_upper FROM rated""",
         "bootstrap_ci_hash": f"""WITH {_AGREEMENT},
+hashes AS (
+  SELECT *, md5('{SEED}|' || b::VARCHAR || '|' || i::VARCHAR) AS h FROM (
+    SELECT *, unnest(range(0, (n + 1) // 2)) AS i FROM (SELECT *, unnest(range(0, 2000)) AS b FROM counts))),
 draws AS (
-  SELECT model, b, count(*) FILTER (
-      {_hash(f"'{SEED}|' || b::VARCHAR || '|' || j::VARCHAR", 15)} % n < k) / n AS mean
-  FROM (SELECT *, unnest(range(0, n)) AS j FROM (
-    SELECT *, unnest(range(0, 2000)) AS b FROM counts)) GROUP BY model, b, n)
+  SELECT model, b, (count(*) FILTER (('0x' || substr(h, 1, 13))::BIGINT < floor(k / n * {1 << 52}))
+    + count(*) FILTER (2 * i + 1 < n AND ('0x' || substr(h, 17, 13))::BIGINT < floor(k / n * {1 << 52})))
+    / n AS mean
+  FROM hashes GROUP BY model, b, n)
 SELECT model, round(quantile_cont(mean, 0.025), 6) AS ci_lower,
   round(quantile_cont(mean, 0.975), 6) AS ci_upper FROM draws GROUP BY model""",
         "simple_sample": f"""WITH {_ITEMS}
