@@ -133,7 +133,9 @@ def dimension_counts(comments: DataFrame, lexicon: Mapping[str, Sequence[str]])
     """
     names = list(lexicon)
     all_terms = F.array(*[F.lit(t) for t in sorted({t for ts in lexicon.values() for t in ts})])
-    used = F.array_intersect(F.split(F.lower("comment"), "[^a-z]+"), all_terms)
+    # Words are matched, not separators: negated classes scale badly over threads.
+    words = F.regexp_extract_all(F.lower("comment"), F.lit("[a-z]+"), F.lit(0))
+    used = F.array_intersect(words, all_terms)
     spoken = comments.select("source", "sample_id", used.alias("_used"))
     found = spoken.select(
         "source",

@@ -22,13 +22,13 @@ def _bucket(salt: str, key: str, size: int) -> str:
     return f"(('0x' || substr(md5('{salt}/' || {key}), 1, 8))::BIGINT % {size})"
 
 
-_WORDS = "regexp_replace(text, '[^A-Za-z]+', ' ', 'g')"
+_WORDS = "array_to_string(regexp_extract_all({}, '[A-Za-z]+'), ' ')"
 
 _HUMAN = f"""
 ids AS (SELECT *, 's_' || lang || '_' || doc_id::VARCHAR AS sample_id FROM documents),
 chosen AS (
   SELECT *, {_bucket("choice", "sample_id", 100)} AS mood,
-    CASE WHEN {_bucket("cm", "sample_id", 10)} >= 3 THEN {_WORDS} END AS commet FROM ids),
+    CASE WHEN {_bucket("cm", "sample_id", 10)} >= 3 THEN {_WORDS.format("text")} END AS commet FROM ids),
 human AS (
   SELECT sample_id, lang AS lang_code, text AS source,
     replace(text, chr(10), ' ') AS text1, replace(text, ', ', ' ') AS text2,
@@ -109,7 +109,7 @@ minimal AS (SELECT * FROM judged WHERE parse_success AND prompt_version = 'minim
 _COMMENTS = f"""{_CALLS},
 shaped AS (
   SELECT *, {_bucket("cfmt", "key", 100)} AS shape,
-    regexp_replace(source, '[^A-Za-z]+', ' ', 'g') AS words,
+    {_WORDS.format("source")} AS words,
     '{{"winner":"' || side || '","comment":"' AS head
   FROM sided WHERE prompt_version = 'main' AND NOT swap_order),
 comment_replies AS (

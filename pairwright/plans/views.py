@@ -73,7 +73,7 @@ def spread(table: DataFrame) -> DataFrame:
 
 
 def _words(text: str) -> str:
-    return f"regexp_replace({text}, '[^A-Za-z]+', ' ')"
+    return f"array_join(regexp_extract_all({text}, '(?i)[a-z]+', 0), ' ')"
 
 
 def human(spark: SparkSession, sf_dir: str) -> DataFrame:
