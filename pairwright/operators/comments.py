@@ -31,6 +31,9 @@ _LEADING_SUFFIXES = [
     "comment_case_type", "winner", "comment", "is_correct", "parse_success", "model",
 ]
 
+# Parts into which a much repeated item is dealt.
+_SALTS = 64
+
 
 def human_columns(human: DataFrame) -> DataFrame:
     """The human side of the wide table; which columns it has depends on the table.
@@ -62,7 +65,10 @@ def slugs(models: Sequence[str]) -> dict[str, str]:
 
 
 def pivot_comments(
-    comments: DataFrame, models: Sequence[str], ordinal: str = "row_ordinal"
+    comments: DataFrame,
+    models: Sequence[str],
+    ordinal: str = "row_ordinal",
+    keys: Sequence[str] = ("sample_id",),
 ) -> DataFrame:
     """One row per item with the first row of every judge, columns prefixed by judge.
 
@@ -74,7 +80,7 @@ def pivot_comments(
     row = F.struct(*present)
     wide = (
         comments.filter(F.col("model").isin(*models))
-        .groupBy("sample_id")
+        .groupBy(*keys)
         .agg(
             *[
                 F.min_by(row, F.when(F.col("model") == model, F.col(ordinal))).alias(prefix)
@@ -83,7 +89,7 @@ def pivot_comments(
         )
     )
     return wide.select(
-        "sample_id",
+        *keys,
         *[
             F.col(f"`{prefix}`.{c}").alias(f"{prefix}_{_JUDGE_COLUMNS[c]}")
             for prefix in prefixes.values()
@@ -92,30 +98,53 @@ def pivot_comments(
     )
 
 
+def _hot_items(people: DataFrame, hot_rows: int) -> DataFrame:
+    """Items with more than ``hot_rows`` human rows and over 1/1,000 of all: at most 999."""
+    counts = people.groupBy("sample_id").agg(F.count("*").alias("_cnt"))
+    total = counts.agg(F.sum("_cnt")).scalar()
+    hot = counts.filter((F.col("_cnt") > hot_rows) & (F.col("_cnt") * 1000 > total))
+    return F.broadcast(hot.select("sample_id", F.lit(True).alias("_hot")))
+
+
 def merge_comments(
     items: DataFrame,
     human: DataFrame,
     comments: DataFrame,
     models: Sequence[str],
     ordinal: str = "row_ordinal",
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """Items that have a judge comment, with the human and all judges' columns beside them.
 
     Judges' columns are pivoted once and joined once. Items without any judge
-    comment are dropped before that join. The human side may repeat an item; each
-    repeat gives a row. ``lang_code`` is the item's, else the human table's.
+    comment are dropped before the human join. The human side may repeat an item;
+    each repeat gives a row. ``lang_code`` is the item's, else the human table's.
+
+    A much repeated item is dealt over 64 salts: its human rows one salt each, its
+    item and comment rows copied to all. All three inputs are shuffled by item and
+    salt, so the salts cost no shuffle of their own.
     """
     kept = [c for c in _ITEM_COLUMNS if c in items.columns]
     people = human_columns(human)
-    merged = items.select("sample_id", *kept)
+    hot = _hot_items(people, hot_rows)
+    keys = ["sample_id", "_salt"]
+    all_salts = f"explode(IF(_hot, sequence(0L, {_SALTS - 1}L), array(0L))) AS _salt"
+    one_salt = F.when(F.col("_hot"), F.monotonically_increasing_id() % _SALTS).otherwise(0)
+
+    merged = items.select("sample_id", *kept).join(hot, "sample_id", "left").selectExpr("*", all_salts)
     if models:
-        wide = pivot_comments(comments, models, ordinal)
+        copied = comments.join(hot, "sample_id", "left").selectExpr("*", all_salts)
+        wide = pivot_comments(copied, models, ordinal, keys)
         commented = [F.col(f"{p}_comment") for p in slugs(models).values()]
-        merged = merged.join(wide.filter(F.coalesce(*commented).isNotNull()), "sample_id")
-    merged = merged.join(people, "sample_id", "left")
+        merged = merged.join(wide.filter(F.coalesce(*commented).isNotNull()), keys)
+    said = people.join(hot, "sample_id", "left").withColumns({"_salt": one_salt, "_said": F.lit(True)})
+    # A salt of a much repeated item that got no human row is not an item without one.
+    merged = merged.join(said.drop("_hot"), keys, "left").filter("_said OR _hot IS NULL")
+
     if "_human_lang" in people.columns:
         sources = ["lang_code", "_human_lang"] if "lang_code" in kept else ["_human_lang"]
-        merged = merged.withColumn("lang_code", F.coalesce(*sources)).drop("_human_lang")
+        merged = merged.withColumn("lang_code", F.coalesce(*sources))
+    merged = merged.drop("_human_lang", "_hot", "_salt", "_said")
     leading = _LEADING + [f"{p}_{s}" for p in _LEADING_SLUGS for s in _LEADING_SUFFIXES]
     ordered = [c for c in leading if c in merged.columns]
     human_rest = [c for c in people.columns if c in merged.columns and c not in ordered]

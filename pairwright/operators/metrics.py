@@ -18,6 +18,7 @@ from pairwright.operators.pairing import (
     pairs_with,
     prompt_counts,
     swap_counts,
+    union_runs,
     valid,
 )
 from pairwright.operators.sampling import bounded
@@ -206,3 +207,12 @@ def judge_leaderboard(
         .join(prompt, "model", "left")
         .orderBy(F.desc("validity_pct"), "model")
     )
+
+
+def metrics_summary(main: DataFrame, swap: DataFrame, prompt: DataFrame) -> DataFrame:
+    """One row: how many rows each metric table has."""
+    tables = {"main": main, "swap": swap, "prompt": prompt}
+    tags = [t.select(F.lit(name).alias("metric")) for name, t in tables.items()]
+    return union_runs(*tags).agg(
+        *[F.count_if(F.col("metric") == name).alias(f"{name}_metrics_rows") for name in tables]
+    )

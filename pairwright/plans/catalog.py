@@ -268,6 +268,16 @@ def run_summary(spark, sf):
     return summary.withColumn("models_compared", F.array_join("models_compared", "; "))
 
 
+@_query
+def metrics_summary(spark, sf):
+    judged = _judged(spark, sf)
+    return metrics.metrics_summary(
+        metrics.agreement_by_model(_judged(spark, sf, MAIN)),
+        metrics.swap_single_file(judged),
+        metrics.prompt_single_file(judged, judges=JUDGES),
+    )
+
+
 @_query
 def union_runs(spark, sf):
     """Verdict runs and comment runs under one another; comment runs know no order."""

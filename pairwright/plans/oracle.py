@@ -454,6 +454,15 @@ WHERE prompt_version = 'main' AND swap_order AND model <> 'east/judge-3'""",
 SELECT count(*) FILTER (NOT swap_order) AS n_main_rows, count(*) FILTER (swap_order) AS n_other_rows,
   string_agg(DISTINCT model, '; ' ORDER BY model) AS models_compared
 FROM judged WHERE prompt_version = 'main'""",
+        "metrics_summary": f"""WITH {_FIRSTS},
+base AS (SELECT model, min(prompt_version) AS base_prompt FROM firsts GROUP BY model)
+SELECT (SELECT count(DISTINCT model) FROM main) AS main_metrics_rows,
+  (SELECT count(DISTINCT model) FROM firsts
+    WHERE winner_plain IS NOT NULL AND winner_swapped IS NOT NULL) AS swap_metrics_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT o.model, o.prompt_version
+    FROM firsts o JOIN base USING (model) JOIN firsts b
+      ON b.model = o.model AND b.sample_id = o.sample_id AND b.prompt_version = base_prompt
+    WHERE o.prompt_version <> base_prompt)) AS prompt_metrics_rows""",
         "union_runs": f"""
 SELECT * FROM (WITH {_JUDGED} SELECT {_SWAP_KEYS}, swap_order, parsed_winner, NULL::VARCHAR
     AS comment_case_type FROM judged)

@@ -53,6 +53,27 @@ def test_merge(spark):
         ) == [("i1", "de", "again", None, "A", "why"), ("i1", "de", "nice", None, "A", "why")]
 
 
+@pytest.mark.parametrize("hot_rows", [10, 100_000])
+def test_hot_item_keeps_all_rows(spark, hot_rows):
+    """Salted or not: every human row once, items without one stay, few rows leave salts empty."""
+    judged = table(spark, [(i, ONE, "control", "A", f"why {i}", True, "de", True) for i in ("i1", "i2", "i2", "i3")])
+    many = spark.range(3000).select(F.lit("i1").alias("sample_id"), F.col("id").cast("string").alias("commet"))
+    few = spark.range(12).select(F.lit("i3").alias("sample_id"), F.lit("same").alias("commet"))
+    human = many.unionByName(few).withColumn("lang_code", F.lit("fr"))
+    base = items(spark, [("i1", "de"), ("i2", None), ("i3", None)])
+    merged = ops.merge_comments(base, human, judged, [ONE], hot_rows=hot_rows)
+    first = merged.filter("sample_id = 'i1'")
+    assert first.count() == 3000 and first.select("human_comment").distinct().count() == 3000
+    assert rows(merged.filter("sample_id = 'i2'"), "human_comment", "lang_code", "grok_comment") == [
+        (None, None, "why i2")
+    ]
+    assert rows(merged.filter("sample_id = 'i3'"), "human_comment", "lang_code", "grok_comment") == [
+        ("same", "fr", "why i3")
+    ] * 12
+    nobody = ops.merge_comments(base, human, judged, [], hot_rows=hot_rows)
+    assert nobody.count() == 3013
+
+
 def test_human_comment_is_the_first_column_present(spark):
     human = people(spark, [("i1", "de", None, None, "text1")]).withColumn("comment", F.lit("other"))
     assert ops.human_columns(human).first().human_comment is None

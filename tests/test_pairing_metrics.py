@@ -222,6 +222,11 @@ def test_run_summary_and_common_judges(spark):
     assert rows(pairing.run_summary(main.limit(0), other.limit(0))) == [(0, 0, [])]
 
 
+def test_metrics_summary_counts_rows(spark):
+    one = spark.range(3)
+    assert rows(metrics.metrics_summary(one, one.limit(0), spark.range(2))) == [(3, 0, 2)]
+
+
 def test_union_of_different_runs(spark):
     main = judged(spark, [("i", "de", "j", M, False, "A", "A")])
     comments = main.drop("swap_order").withColumn("comment", F.lit("c"))
