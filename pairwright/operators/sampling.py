@@ -75,7 +75,7 @@ def draw(
 
 def _checked(n: int, rows: Column) -> Column:
     """``n``, or an error at run time when the table has fewer rows."""
-    message = F.concat(F.lit(f"sample of {n} exceeds total rows "), rows.cast("string"))
+    message = F.concat(F.lit(f"asked for {n} rows of "), rows.cast("string"))
     return F.when(rows >= n, F.lit(n)).otherwise(F.raise_error(message).cast("int"))
 
 

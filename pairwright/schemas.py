@@ -71,5 +71,5 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """Return ``df`` unchanged, or raise when a column is missing. Runs no job."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"missing required columns: {missing}")
+        raise ValueError(f"the table lacks columns {missing}")
     return df

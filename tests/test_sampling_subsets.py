@@ -77,7 +77,7 @@ def test_too_large_a_sample_is_an_error(spark):
     table = languages(spark, de=3)
     for sample in (sampling.simple_sample, sampling.stratified_sample, sampling.stratified_exact):
         assert sample(table, 3).count() == 3
-        with pytest.raises(Exception, match="exceeds total rows 3"):
+        with pytest.raises(Exception, match="asked for 4 rows of 3"):
             sample(table, 4).collect()
 
 
