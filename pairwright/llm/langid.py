@@ -194,7 +194,7 @@ class Store:
             counts.append(len(found))
         before = len(self.at)
         which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        new = list(islice(self.at, before, None))
+        new = list(islice(reversed(self.at), len(self.at) - before))[::-1]
         if len(self.at) > len(self.scores):
             grown = np.zeros((2 * len(self.at), self.scores.shape[1]))
             grown[:before] = self.scores[:before]

@@ -289,7 +289,7 @@ class Store:
         before = len(self.at)
         found = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         if len(self.at) > before:
-            ids, lengths = encode_words(self.model, list(islice(self.at, before, None)))
+            ids, lengths = encode_words(self.model, list(islice(reversed(self.at), len(self.at) - before))[::-1])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, ids])
