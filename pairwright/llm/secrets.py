@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import column, map_arrow, ship
+from pairwright.llm.tables import column, map_arrow
 
 #: Kinds in the order of reports; the first three are the base.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -148,34 +148,28 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     among them, are unchanged.
     """
 
-    def hide(texts: Iterator) -> Iterator:
-        import pandas as pd
-
-        for series in texts:
-            out = []
-            for text in series:
-                if text is not None and (spans := spans_of(text)):
-                    parts, at, until = [], 0, -1
-                    for start, _, end in spans:
-                        if start >= until:
-                            parts += [text[at:start], mark.encode()]
-                        at = until = max(end, until)
-                    out.append(b"".join([*parts, text[at:]]))
-                else:
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
-
-    ship(docs.sparkSession)
-    changed = F.pandas_udf(hide, "binary")(F.col("`text`").cast("binary"))
-    marked = docs.withColumn("_pw_changed", changed)
-    text = F.coalesce(F.col("_pw_changed").cast("string"), F.col("`text`"))
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(text.alias(c))
-        elif c == "n_chars":
-            longer = F.char_length(F.col("_pw_changed").cast("string")).cast(docs.schema[c].dataType)
-            columns.append(F.when(F.col("_pw_changed").isNotNull(), longer).otherwise(F.col(f"`{c}`")).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return marked.select(columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            hidden = {i: _hidden(t, s, mark.encode()) for i, t in enumerate(texts) if t and (s := spans_of(t))}
+            if hidden:
+                kind = batch.schema.field(at)
+                batch = batch.set_column(at, kind, pa.array([hidden.get(i, t) for i, t in enumerate(texts)], pa.binary()).cast(kind.type))
+                if (n := batch.schema.get_field_index("n_chars")) >= 0:
+                    counts = batch.column(n).to_pylist()
+                    for i, text in hidden.items():
+                        counts[i] = len(text.decode("utf-8", "replace"))
+                    batch = batch.set_column(n, batch.schema.field(n), pa.array(counts, batch.schema.field(n).type))
+            yield batch
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def _hidden(text: bytes, spans: list[tuple[int, int, int]], mark: bytes) -> bytes:
+    parts, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return b"".join([*parts, text[at:]])
