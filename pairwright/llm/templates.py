@@ -151,21 +151,21 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html"))):
                 own: dict[int, list] = {}
                 seen: set[int] = set()
-                for _, stack, said in blocks(text or ""):
-                    above = 0
+                for node, stack, said in blocks(text or ""):
+                    above, size = 0, 0 if node.dropped else len(said)
                     for node in stack:
                         entry = own.setdefault(node.path, [above, node.name in ("article", "main"), node.dropped, 0, 0])
                         if id(node) not in seen:
                             entry[3] += 1
-                        entry[4] += len(said)
+                        entry[4] += size
                         above = node.path
                     seen = {id(node) for node in stack}
-                for path, (above, article, dropped, n, size) in own.items():
+                for path, (above, article, dropped, n, length) in own.items():
                     vector = _path(page if page is not None else -1, str(n), host)
                     total = found.setdefault((host, path, above, article, dropped), [0, 0, 0])
                     total[0] += 1
                     total[1] ^= vector
-                    total[2] += size
+                    total[2] += length
             rows = [(*key, *value) for key, value in found.items()]
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
             if rows:
