@@ -1,9 +1,9 @@
 """Parsing raw judge replies with native expressions.
 
 A reply counts as strict JSON only if the *whole* reply is one JSON object.
-Spark's JSON reader stops at the end of the first value, so the reply is parsed
-inside an envelope whose last key comes after it: the key is seen only when
-nothing but the object stands between the two.
+Spark's JSON reader stops at the end of the first value, so the reply is first put
+inside an envelope whose last key, named by a hash of the reply, comes after it. The
+envelope has exactly its own two keys only if nothing but the object stands between them.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ _SPACES = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-_ENVELOPE_END = "__reply_end__"
-_ENVELOPE = f"reply struct<winner: string, comment: string>, {_ENVELOPE_END} int"
+_REPLY = "winner string, comment string"
 _STRICT_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
 
@@ -42,10 +41,14 @@ def _group(raw: Column, pattern: str) -> Column:
 
 
 def strict_json(raw: Column) -> Column:
-    """Struct with ``reply.winner``, ``reply.comment`` and the end mark; see the module text."""
-    looks_like_object = raw.rlike(r"^[ \t\n\r]*\{") & ~raw.contains(_ENVELOPE_END)
-    enclosed = F.concat(F.lit('{"reply":'), raw, F.lit(f',"{_ENVELOPE_END}":1}}'))
-    return F.when(looks_like_object, F.from_json(enclosed, _ENVELOPE, _STRICT_JSON))
+    """Struct with ``winner`` and ``comment`` of a reply that is one JSON object; see the module text."""
+    mark = F.concat(F.lit("end"), F.md5(raw))
+    # The keys are read by stricter rules than the reply, which may hold these numbers; what stands in
+    # strings doesn't matter here.
+    numbers = F.replace(F.replace(raw, F.lit("NaN"), F.lit("0")), F.lit("Infinity"), F.lit("0"))
+    enclosed = F.concat(F.lit('{"reply":'), numbers, F.lit(',"'), mark, F.lit('":1}'))
+    whole = F.json_object_keys(enclosed).eqNullSafe(F.array(F.lit("reply"), mark))
+    return F.when(raw.rlike(r"^[ \t\n\r]*\{") & whole, F.from_json(raw, _REPLY, _STRICT_JSON))
 
 
 def _with_json(df: DataFrame, raw: str) -> DataFrame:
@@ -54,8 +57,8 @@ def _with_json(df: DataFrame, raw: str) -> DataFrame:
 
 
 def _json_winner() -> Column:
-    winner = F.col("_json.reply.winner")
-    return F.when((F.col(f"_json.{_ENVELOPE_END}") == 1) & winner.isin("A", "B"), winner)
+    winner = F.col("_json.winner")
+    return F.when(winner.isin("A", "B"), winner)
 
 
 def _with_results(df: DataFrame, **results: Column) -> DataFrame:
@@ -102,7 +105,7 @@ def parse_winner_comment(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     return _with_results(
         staged,
         parsed_winner=F.coalesce(winner, _group(text, _WINNER_KEY)),
-        comment=F.when(winner.isNotNull(), F.col("_json.reply.comment")).otherwise(
+        comment=F.when(winner.isNotNull(), F.col("_json.comment")).otherwise(
             strip(_group(text, _COMMENT_KEY))
         ),
     ).drop("_json", "_winner")

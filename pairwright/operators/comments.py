@@ -156,14 +156,14 @@ def dimension_counts(comments: DataFrame, lexicon: Mapping[str, Sequence[str]])
     """Distinct commented items per (source, dimension), zeros included.
 
     ``comments`` has source, sample_id and comment; ``lexicon`` gives the terms of
-    each dimension as lower-case a-z words. Texts are reduced to one flag per
+    each dimension as lower-case words. Texts are reduced to one flag per
     dimension where they are read; only flags are shuffled. A row without a comment
     mentions nothing.
     """
     names = list(lexicon)
     all_terms = F.array(*[F.lit(t) for t in sorted({t for ts in lexicon.values() for t in ts})])
-    # Words are matched, not separators: negated classes scale badly over threads.
-    words = F.regexp_extract_all(F.lower("comment"), F.lit("[a-z]+"), F.lit(0))
+    # Whole words in any script. They are matched, not separators: negated classes scale badly over threads.
+    words = F.regexp_extract_all(F.lower("comment"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
     used = F.array_intersect(words, all_terms)
     spoken = comments.select("source", "sample_id", used.alias("_used"))
     found = spoken.select(

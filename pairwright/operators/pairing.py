@@ -147,8 +147,11 @@ def prompt_matched(main: DataFrame, other: DataFrame) -> DataFrame:
 
 def expand_pairs(matched: DataFrame) -> DataFrame:
     """One row per row pair, as the plain join would give. Grows with the repeats of a key."""
-    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("pairs")))
-    return matched.withColumn("_i", repeats).drop("_i", "pairs")
+    block = 100_000
+    # Blocks first, then the rows of a block: no array grows with the repeats, and blocks may be spread.
+    blocks = matched.withColumn("_b", F.explode(F.expr(f"sequence(0L, (CAST(pairs AS BIGINT) - 1) DIV {block})")))
+    rows = blocks.withColumn("_i", F.explode(F.expr(f"sequence(1L, least({block}, pairs - _b * {block}))")))
+    return rows.drop("_b", "_i", "pairs")
 
 
 def judge_disagreement(judgments: DataFrame, first: str, second: str) -> DataFrame:

@@ -310,7 +310,7 @@ said AS (
   UNION ALL SELECT {_slug("model")}, sample_id, comment FROM comments),
 lexicon AS ({_MENTIONS}),
 worded AS (
-  SELECT source, sample_id, regexp_split_to_array(lower(comment), '[^a-z]+') AS words
+  SELECT source, sample_id, regexp_extract_all(lower(comment), '[\\p{{L}}\\p{{M}}]+') AS words
   FROM said WHERE comment IS NOT NULL),
 dims AS (
   SELECT source, dimension, count(DISTINCT sample_id) FILTER (list_has_any(words, terms)) AS cnt

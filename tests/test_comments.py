@@ -125,3 +125,11 @@ def test_published_shares(spark):
     assert sums == {"human": pytest.approx(1), "judge": pytest.approx(1)}
     upper = ops.dimension_axis(shares).first().upper
     assert upper == pytest.approx(8 / 28 + 0.005)
+
+
+def test_dimensions_are_whole_words(spark):
+    from pairwright.operators.comments import dimension_counts
+
+    said = [("h", "1", "La forêt était belle"), ("h", "2", "for Übel"), ("h", "3", "für"), ("h", "4", None)]
+    counts = dimension_counts(spark.createDataFrame(said, "source string, sample_id string, comment string"), {"d": ["for", "r", "t"]})
+    assert [tuple(r) for r in counts.collect()] == [("h", "d", 1)]

@@ -272,3 +272,10 @@ def test_names(spark):
     assert found == ["gpt54", "openai_gpt_5_4", "org_my_model_1", "a_b_c", None]
     assert [judge_slug_of(n) for n in names[:4]] == found[:4]
     assert frame.select(safe_name(F.lit("a/b:c\\d-e"))).first()[0] == "a_b_c_d-e"
+
+
+def test_expanded_pairs_span_blocks(spark):
+    from pairwright.operators.pairing import expand_pairs
+
+    frame = spark.createDataFrame([("a", 250_001), ("b", 1)], "key string, pairs long")
+    assert {tuple(r) for r in expand_pairs(frame).groupBy("key").count().collect()} == {("a", 250_001), ("b", 1)}

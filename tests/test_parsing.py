@@ -88,8 +88,8 @@ def expected_winner(raw):
         return None
     try:
         value = json.loads(raw)
-        if isinstance(value, dict) and isinstance(value.get("winner"), str) and value["winner"] in "AB":
-            return value["winner"] or None
+        if isinstance(value, dict) and isinstance(value.get("winner"), str) and value["winner"] in ("A", "B"):
+            return value["winner"]
     except ValueError:
         pass
     for pattern in (r'"winner"\s*:\s*"([AB])"', r"\b([AB])\b"):
@@ -102,7 +102,7 @@ def expected_winner(raw):
 pieces = st.lists(
     st.sampled_from(
         ['{', '}', '"winner"', ':', '"A"', '"B"', '"C"', ',', '"comment"', ' ', '\n', 'A', 'B', 'é', 'x',
-         '[', ']', '1', '_', '"', '\\', '\\u0041', ' ', 'null', '{"winner":"A"}', '{"winner":"B"']
+         '},"reply":{', ',"z":1', '"__reply_end__"', '[', ']', '1', '_', '"', '\\', '\\u0041', '"reply":', '},"reply":{', '"__reply_end__"', ',"z":1', ' ', 'null', '{"winner":"A"}', '{"winner":"B"']
     ),
     max_size=12,
 ).map("".join)
@@ -135,3 +135,17 @@ def test_reply_is_parsed_once(spark):
 @pytest.mark.parametrize("raw", ['{"winner":"A","x":NaN}', '{"winner":"A","x":{"y":[1,2,{"z":"}"}]}}'])
 def test_json_with_more_in_it(spark, raw):
     assert parse(spark, [raw]) == [("A", "json")]
+
+
+@pytest.mark.parametrize(
+    "raw,winner,method",
+    [
+        ('{"winner":"A"},"reply":{"winner":"B"}', "A", "key_regex"),
+        ('{"winner":"\\u0041"},"z":1', None, "none"),
+        ('{"winner":"\\u0041","c":"__reply_end__"}', "A", "json"),
+        ('{"winner":"\\u0041"}', "A", "json"),
+        ('{"winner":"AB"}', None, "none"),
+    ],
+)
+def test_only_whole_replies_are_json(spark, raw, winner, method):
+    assert parse(spark, [raw]) == [(winner, method)]
