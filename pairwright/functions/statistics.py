@@ -1,75 +1,24 @@
 """Confidence intervals and exact tests from (n, k) counts of 0/1 outcomes.
 
-Both work on the few rows an aggregation leaves, so their cost does not depend
-on the number of judgements except through ``n`` of a group, and that only by
-its square root.
+All of it rests on one expression, the logarithm of a binomial tail. The tail is
+an incomplete beta integral, taken at the same few nodes for every n, so that the
+work per group does not depend on the number of judgements behind it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Widest neighbourhood of the mean, in standard deviations, that is summed.
-_SPREAD = 9.0
-# Up to this n the binomial quantile is summed, above it it is expanded (error below 1/n).
-EXACT_LIMIT = 10_000_000
-# Most terms of a tail that are summed one by one; longer tails are summed with a stride.
-_TAIL_TERMS = 20_000
-
-
-def with_bootstrap_ci(
-    df: DataFrame, n: str = "n", k: str = "k", alpha: float = 0.05, exact_limit: int = EXACT_LIMIT
-) -> DataFrame:
-    """Add ``ci_lower`` and ``ci_upper``: percentile bootstrap bounds of a 0/1 mean.
-
-    Resampling n values of which k are ones makes each replicate mean
-    Binomial(n, k/n)/n, so the bounds are two quantiles of that distribution and
-    nothing has to be resampled. The probabilities are built up by their ratios
-    from the low end of the neighbourhood of the mean and normalised at the end.
-    """
-    shares = {"lo": alpha / 2, "hi": 1 - alpha / 2}
-    summed = f"({n} <= {exact_limit} AND {k} > 0 AND {k} < {n})"
-    weight = f"acc.w * ({n} - i) / (i + 1) * _odds"
-
-    def below(share: float) -> str:
-        return f"IF(acc.mass + acc.w >= {share!r}D * _total, 0L, 1L)"
-
-    def bound(field: str, share: float) -> str:
-        z = NormalDist().inv_cdf(share)
-        expanded = (
-            f"greatest(0D, least({n}, ceil({k} + {z!r}D * _sd"
-            f" + (1 - 2 * try_divide({k}, {n})) * {(z * z - 1) / 6!r}D - 0.5D)))"
-        )
-        certain = f"{k} <= 0 OR {k} >= {n}"
-        return f"""try_divide(
-            CAST(CASE WHEN {certain} THEN {k} WHEN {summed} THEN _rank.{field} ELSE {expanded} END AS DOUBLE),
-            {n})"""
-
-    span = f"{_SPREAD!r}D * _sd"
-    steps = [
-        {"_sd": f"sqrt({k} * try_divide({n} - {k}, {n}))"},
-        {
-            "_from": f"IF({summed}, greatest(0L, floor({k} - {span}) - 1), 0L)",
-            "_to": f"IF({summed}, least({n}, ceil({k} + {span}) + 1), 0L)",
-            "_odds": f"IF({summed}, try_divide({k}, {n} - {k}), 0D)",
-        },
-        {
-            "_total": f"""aggregate(sequence(_from, _to), named_struct('w', 1D, 'mass', 0D),
-                (acc, i) -> named_struct('w', {weight}, 'mass', acc.mass + acc.w), acc -> acc.mass)"""
-        },
-        {
-            "_rank": f"""aggregate(sequence(_from, _to),
-                named_struct('w', 1D, 'mass', 0D, 'lo', _from, 'hi', _from),
-                (acc, i) -> named_struct('w', {weight}, 'mass', acc.mass + acc.w,
-                    'lo', acc.lo + {below(shares["lo"])}, 'hi', acc.hi + {below(shares["hi"])}))"""
-        },
-        {"ci_lower": bound("lo", shares["lo"]), "ci_upper": bound("hi", shares["hi"])},
-    ]
-    return _in_steps(df, steps).drop("_sd", "_from", "_to", "_odds", "_total", "_rank")
+# Nodes of the integral over the part of the integrand above exp(-_DEPTH).
+_NODES = 96
+_DEPTH = 45.0
+# Newton steps to the end of that part. Each at least halves the distance: enough for any bigint n.
+_NEWTON = 40
 
 
 def _in_steps(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
@@ -91,52 +40,110 @@ def _stirling_error(x: str) -> str:
     return f"IF({x} < 16, try_element_at(array({known}), CAST(greatest({x}, 1D) AS INT)), {series})"
 
 
-def _log_pmf_half(n: str, k: str) -> str:
-    """ln of C(n, k) / 2^n, in the form that does not cancel for large n."""
-    d = f"((2 * {k} - {n}) / {n})"
-    divergence = f"((1 + {d}) * log1p({d}) + (1 - {d}) * log1p(-{d})) / 2"
+def _log_pmf(n: str, m: str, k: str) -> str:
+    """ln P(X = m) of a binomial X with mean k, for 0 < k < n and k <= m <= n, all of them doubles."""
+    rest = f"({n} - {m})"
+    # (m - k) / k and its counterpart keep their digits where m is close to k.
+    divergence = f"({m} * log1p(({m} - {k}) / {k}) + {rest} * log1p(({k} - {m}) / ({n} - {k})))"
     inner = (
-        f"ln({n} / ({2 * math.pi!r}D * {k} * ({n} - {k}))) / 2 + {_stirling_error(n)}"
-        f" - {_stirling_error(k)} - {_stirling_error(f'({n} - {k})')} - {n} * {divergence}"
+        f"ln({n} / ({2 * math.pi!r}D * {m} * {rest})) / 2 + {_stirling_error(n)}"
+        f" - {_stirling_error(m)} - {_stirling_error(rest)} - {divergence}"
     )
-    return f"IF({k} <= 0 OR {k} >= {n}, -{n} * {math.log(2)!r}D, {inner})"
+    return f"IF({m} >= {n}, {n} * ln({k} / {n}), {inner})"
+
+
+def _log_tail(n: str, m: str, k: str) -> str:
+    """ln P(X >= m) of a binomial X with mean k, for 0 < k < n and k < m <= n, all of them doubles.
+
+    P(X >= m) is m P(X = m) times the integral over u >= 0 of
+    exp(-m u) (1 + odds (1 - exp(-u)))^(n - m), which falls from 1 and is log-concave.
+    Newton's method, started beyond it, finds where it is exp(-45); up to there it
+    is integrated by Gauss and Legendre.
+    """
+    odds = f"({k} / ({n} - {k}))"
+
+    def depth(u: str) -> str:
+        return f"({m} * {u} - ({n} - {m}) * log1p(-{odds} * expm1(-{u})))"
+
+    slope = f"({m} - ({n} - {m}) * {odds} * exp(-u) / (1 - {odds} * expm1(-u)))"
+    start = f"({_DEPTH!r}D + ({n} - {m}) * log1p({odds})) / {m}"
+    end = (
+        f"aggregate(sequence(1, {_NEWTON}), {start},"
+        f" (u, step) -> u - ({depth('u')} - {_DEPTH!r}D) / {slope})"
+    )
+    places, weights = np.polynomial.legendre.leggauss(_NODES)
+    nodes = ", ".join(
+        f"named_struct('x', {float(1 + x) / 2!r}D, 'w', {float(w) / 2!r}D)" for x, w in zip(places, weights)
+    )
+    summed = f"aggregate(array({nodes}), 0D, (sum, node) -> sum + node.w * exp(-{depth('(reach * node.x)')}))"
+    # A one-element array names the end of the integral, which is used at every node.
+    area = f"element_at(transform(array({end}), reach -> reach * {summed}), 1)"
+    return f"ln({m}) + {_log_pmf(n, m, k)} + ln({area})"
+
+
+def _first_below(n: str, k: str, share: float) -> str:
+    """The smallest m with P(X >= m) <= ``share`` (below 1/2), by bisection between the mean and n + 1."""
+    middle = "CAST(floor((found.low + found.high) / 2) AS DOUBLE)"
+    small = f"mid >= {n} + 1 OR {_log_tail(n, 'mid', k)} <= {math.log(share)!r}D"
+    step = f"""element_at(transform(array({middle}), mid -> IF(mid <= found.low, found, IF({small},
+        named_struct('low', found.low, 'high', mid), named_struct('low', mid, 'high', found.high)))), 1)"""
+    halvings = f"sequence(1, 1 + CAST(ceil(log2({n} - {k} + 2)) AS INT))"
+    return f"""aggregate({halvings}, named_struct('low', {k}, 'high', {n} + 1),
+        (found, halving) -> {step}, found -> found.high)"""
+
+
+def _mean_quantile(share: float) -> str:
+    """The quantile of a mean of ``_n`` values of which each is a one with probability ``_k / _n``."""
+    if share < 0.5:
+        inner = f"_n + 1 - {_first_below('_n', '(_n - _k)', share)}"
+    else:
+        inner = f"{_first_below('_n', '_k', 1 - share)} - 1"
+    return f"""CASE WHEN _n <= 0 THEN NULL WHEN _k <= 0 THEN 0D WHEN _k >= _n THEN 1D
+        ELSE ({inner}) / _n END"""
+
+
+def _counts(n: str, k: str) -> dict[str, str]:
+    return {"_n": f"CAST({n} AS DOUBLE)", "_k": f"CAST({k} AS DOUBLE)"}
+
+
+def with_bootstrap_ci(df: DataFrame, n: str = "n", k: str = "k", alpha: float = 0.05) -> DataFrame:
+    """Add ``ci_lower`` and ``ci_upper``: percentile bootstrap bounds of a 0/1 mean.
+
+    Resampling n values of which k are ones makes each replicate mean
+    Binomial(n, k/n)/n, so the bounds are two quantiles of that distribution and
+    nothing has to be resampled. Null for n = 0.
+    """
+    bounds = {"ci_lower": _mean_quantile(alpha / 2), "ci_upper": _mean_quantile(1 - alpha / 2)}
+    return _in_steps(df, [_counts(n, k), bounds]).drop("_n", "_k")
 
 
 def with_binom_test(df: DataFrame, n: str = "n", k: str = "k") -> DataFrame:
     """Add ``binom_log10_p`` and ``binom_pvalue``: exact one-sided test of k of n against 1/2.
 
-    p = P(X >= k). The logarithm stays usable where p itself underflows to 0. The
-    tail is summed from its largest term on; below the mean the complement is
-    summed. Tails of more than 20,000 terms use a stride with end corrections.
+    p = P(X >= k). The logarithm stays usable where p itself underflows to 0. Below
+    the mean p follows from the other tail.
     """
-    upper = f"2 * {k} > {n}"
+    upper = "2 * _k > _n"
     steps = [
+        _counts(n, k),
         {
-            "_n": f"CAST(greatest({n}, 1) AS DOUBLE)",
-            "_m": f"CAST(IF({upper}, {k}, {n} - {k} + 1) AS DOUBLE)",
-        },
-        {"_m0": "least(_m, _n)", "_slope": "IF(_m < _n, ln((_n - _m) / (_m + 1)), -50D)"},
-        {
-            "_first": _log_pmf_half("_n", "_m0"),
-            "_terms": "greatest(0D, least(_n - _m, 10 * sqrt(_n) + 40, CAST(ceil(-45 / _slope) AS DOUBLE)))",
+            "_size": "greatest(_n, 1D)",
+            "_m": f"least(IF({upper}, _k, _n - _k + 1), greatest(_n, 1D))",
         },
-        {"_stride": f"greatest(1D, floor(_terms / {_TAIL_TERMS}))"},
+        {"_log": _log_tail("_size", "_m", "(_size / 2)")},
         {
-            "_sum": f"""aggregate(sequence(0L, CAST(floor(_terms / _stride) AS BIGINT)), 0D,
-                (acc, j) -> acc + exp({_log_pmf_half("_n", "(_m0 + _stride * j)")} - _first))"""
-        },
-        {
-            "_log_tail": "_first + ln(_stride * _sum - (_stride - 1) / 2"
-            " + (_stride * _stride - 1) / 12 * _slope)"
-        },
-        {
-            "binom_log10_p": f"""CASE WHEN {k} <= 0 THEN 0D WHEN {upper} THEN _log_tail / {math.log(10)!r}D
-                ELSE log1p(-exp(_log_tail)) / {math.log(10)!r}D END"""
+            "binom_log10_p": f"""CASE WHEN _k <= 0 THEN 0D WHEN {upper} THEN _log / {math.log(10)!r}D
+                ELSE log1p(-exp(_log)) / {math.log(10)!r}D END"""
         },
         {"binom_pvalue": "pow(10D, binom_log10_p)"},
     ]
-    helpers = ["_n", "_m", "_m0", "_slope", "_first", "_terms", "_stride", "_sum", "_log_tail"]
-    return _in_steps(df, steps).drop(*helpers)
+    return _in_steps(df, steps).drop("_n", "_k", "_size", "_m", "_log")
+
+
+def _uniforms(n_boot: int, seed: int) -> list[float]:
+    """One number in (0, 1) per replicate, in ascending order: 13 hex digits of the hash of seed and replicate."""
+    digits = (hashlib.md5(f"{seed}|{b}".encode()).hexdigest()[:13] for b in range(n_boot))
+    return sorted((int(d, 16) + 0.5) / 2**52 for d in digits)
 
 
 def bootstrap_by_resampling(
@@ -147,41 +154,21 @@ def bootstrap_by_resampling(
     n_boot: int = 2000,
     alpha: float = 0.05,
     seed: int = 42,
-    chunk: int = 50_000,
 ) -> DataFrame:
-    """Bootstrap bounds by actually resampling, one row per group with ``ci_lower``/``ci_upper``.
-
-    A replicate draws n values, two from each hash of (seed, replicate, i). A draw
-    is a one if its 13 hex digits, read as a fraction, lie below k/n; fixed-width hex
-    digits compare as text, so they are never converted to numbers. The draws of a replicate are cut into chunks
-    that are spread over the cluster and only counted, so a large group is not tied
-    to one task. The work is n x n_boot draws; ``with_bootstrap_ci`` is the way for
-    large n.
+    """Bootstrap bounds over ``n_boot`` random replicates, one row per group with ``ci_lower``/``ci_upper``.
+
+    A replicate mean is binomial, so one uniform number draws it through the
+    quantile function of (n, k). That function is monotone: the replicate means
+    around a percentile come from the uniform numbers around it, and only those
+    are turned into means. Work per group depends on neither n nor ``n_boot``.
     """
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    chunks = (
-        df.selectExpr(*by, f"CAST({n} AS BIGINT) AS _n", f"CAST({k} AS BIGINT) AS _k")
-        .selectExpr(
-            "*",
-            "(_n + 1) DIV 2 AS _hashes",
-            # Above every hash if all values are ones.
-            f"IF(_k >= _n, 'g', lower(lpad(hex(CAST(floor(_k / _n * {1 << 52}D) AS BIGINT)), 13, '0')))"
-            " AS _below",
-        )
-        .selectExpr("*", f"explode(sequence(0, {n_boot - 1})) AS _b")
-        .selectExpr("*", f"explode(sequence(0L, (_hashes - 1) DIV {chunk})) AS _c")
-        .repartition(tasks)
-    )
-    hashes = chunks.selectExpr(
-        "*", f"explode(sequence(_c * {chunk}, least((_c + 1) * {chunk}, _hashes) - 1)) AS _i"
-    ).selectExpr("*", f"md5(concat_ws('|', '{seed}', _b, _i)) AS _md5")
-    hits = (
-        "IF(substr(_md5, 1, 13) < _below, 1L, 0L)"
-        " + IF(2 * _i + 1 < _n AND substr(_md5, 17, 13) < _below, 1L, 0L)"
-    )
-    means = hashes.groupBy(*by, "_n", "_b").agg(F.expr(f"sum({hits}) / _n").alias("_mean"))
-    return (
-        means.groupBy(*by)
-        .agg(F.percentile("_mean", [alpha / 2, 1 - alpha / 2]).alias("_q"))
-        .selectExpr(*by, "_q[0] AS ci_lower", "_q[1] AS ci_upper")
-    )
+    drawn = _uniforms(n_boot, seed)
+
+    def percentile(share: float) -> str:
+        place = share * (n_boot - 1)
+        low, part = int(place), place - int(place)
+        high = min(low + 1, n_boot - 1)
+        return f"(1 - {part!r}D) * {_mean_quantile(drawn[low])} + {part!r}D * {_mean_quantile(drawn[high])}"
+
+    bounds = {"ci_lower": percentile(alpha / 2), "ci_upper": percentile(1 - alpha / 2)}
+    return _in_steps(df, [_counts(n, k), bounds]).select(*by, "ci_lower", "ci_upper")

@@ -472,15 +472,12 @@ UNION ALL SELECT * FROM (WITH {_COMMENTS} SELECT sample_id, model, 'comment' AS
 SELECT {three}, n, k, round(binom_log10_p, 4) AS binom_log10_p FROM rated""",
         "bootstrap_ci_exact": f"""WITH {counts_by_three}{_with_stats("counts", three)}
 SELECT {three}, n, k, ci_lower, ci_upper FROM rated""",
-        "bootstrap_ci_hash": f"""WITH {_AGREEMENT},
-hashes AS (
-  SELECT *, md5('{SEED}|' || b::VARCHAR || '|' || i::VARCHAR) AS h FROM (
-    SELECT *, unnest(range(0, (n + 1) // 2)) AS i FROM (SELECT *, unnest(range(0, 2000)) AS b FROM counts))),
+        "bootstrap_ci_hash": f"""WITH {_AGREEMENT}{_with_stats("counts", "model")},
+uniforms AS (
+  SELECT (('0x' || substr(md5('{SEED}|' || b::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52} AS u
+  FROM range(0, 2000) r(b)),
 draws AS (
-  SELECT model, b, (count(*) FILTER (('0x' || substr(h, 1, 13))::BIGINT < floor(k / n * {1 << 52}))
-    + count(*) FILTER (2 * i + 1 < n AND ('0x' || substr(h, 17, 13))::BIGINT < floor(k / n * {1 << 52})))
-    / n AS mean
-  FROM hashes GROUP BY model, b, n)
+  SELECT model, min(i) / any_value(n) AS mean FROM uniforms JOIN cumulated ON below >= u GROUP BY model, u)
 SELECT model, round(quantile_cont(mean, 0.025), 6) AS ci_lower,
   round(quantile_cont(mean, 0.975), 6) AS ci_upper FROM draws GROUP BY model""",
         "simple_sample": f"""WITH {_ITEMS}

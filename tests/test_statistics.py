@@ -2,6 +2,8 @@
 
 import math
 from fractions import Fraction
+from hashlib import md5
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -99,13 +101,23 @@ def test_interval_is_the_binomial_quantile(spark):
         assert r.ci_upper == pytest.approx(binomial_quantile(r.n, r.k, Fraction(975, 1000))), (r.n, r.k)
 
 
-def test_expansion_meets_the_sum(spark):
-    """Above the limit the expanded quantile replaces the summed one; they differ by a step at most."""
-    cases = frame(spark, [(20_000, k) for k in (40, 9_000, 10_000, 17_345, 19_950)] + [(9_000_000, 6_000_000)])
-    summed = with_bootstrap_ci(cases).collect()
-    expanded = with_bootstrap_ci(cases, exact_limit=10).collect()
-    for s, e in zip(summed, expanded, strict=True):
-        assert abs(s.ci_lower - e.ci_lower) <= 1.01 / s.n and abs(s.ci_upper - e.ci_upper) <= 1.01 / s.n
+@pytest.mark.parametrize("n", [10**7 - 1, 10**7, 10**7 + 1, 10**9, 10**12])
+def test_interval_of_large_groups_meets_the_expansion(spark, n):
+    """The same method at every size; the second-order expansion of the quantile is off by a step at most."""
+    z = NormalDist().inv_cdf(0.975)
+    for r in with_bootstrap_ci(frame(spark, [(n, n // 500), (n, n // 2), (n, n - n // 7)])).collect():
+        sd = math.sqrt(r.k * (1 - r.k / n))
+        skew = (1 - 2 * r.k / n) * (z * z - 1) / 6 - 0.5
+        assert abs(r.ci_lower * n - math.ceil(r.k - z * sd + skew)) <= 1.01, r
+        assert abs(r.ci_upper * n - math.ceil(r.k + z * sd + skew)) <= 1.01, r
+
+
+@pytest.mark.parametrize("n", [10**7 - 1, 10**7 + 1, 10**9, 10**12])
+def test_binom_is_continuous_in_size(spark, n):
+    for r in with_binom_test(frame(spark, [(n, n // 2 + z * math.isqrt(n) // 2) for z in (-2, 1, 2, 4)])).collect():
+        # The normal tail with half a step of correction.
+        tail = math.erfc((2 * r.k - 1 - n) / math.sqrt(n) / math.sqrt(2)) / 2
+        assert r.binom_log10_p == pytest.approx(math.log10(tail), abs=1e-5), r
 
 
 def test_interval_against_numpy_resampling(spark):
@@ -119,13 +131,15 @@ def test_interval_against_numpy_resampling(spark):
 
 
 def test_resampling_mode(spark):
-    groups = spark.createDataFrame([("x", 45, 35), ("y", 30, 30), ("z", 60, 0)], "g string, n long, k long")
-    one = {r.g: (r.ci_lower, r.ci_upper) for r in bootstrap_by_resampling(groups, ["g"]).collect()}
-    other = bootstrap_by_resampling(groups.repartition(3), ["g"], chunk=7).collect()
-    assert one == {r.g: (r.ci_lower, r.ci_upper) for r in other}
-    assert one["y"] == (1.0, 1.0) and one["z"] == (0.0, 0.0)
-    exact = with_bootstrap_ci(groups.filter("g = 'x'")).first()
-    assert abs(one["x"][0] - exact.ci_lower) <= 1.01 / 45 and abs(one["x"][1] - exact.ci_upper) <= 1.01 / 45
+    """Every replicate drawn by hand from its uniform number through the exact quantile function."""
+    groups = [("x", 45, 35), ("y", 30, 30), ("z", 60, 0), ("w", 12, 1), ("v", 0, 0)]
+    df = spark.createDataFrame(groups, "g string, n long, k long")
+    found = {r.g: (r.ci_lower, r.ci_upper) for r in bootstrap_by_resampling(df, ["g"], n_boot=50).collect()}
+    drawn = [(int(md5(f"42|{b}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for b in range(50)]
+    for g, n, k in groups[:4]:
+        means = [binomial_quantile(n, k, Fraction(u)) for u in drawn]
+        assert found[g] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975]))), g
+    assert found["v"] == (None, None)
 
 
 def test_interval_shrinks_with_alpha(spark):
