@@ -25,7 +25,8 @@ UNKNOWN = "und"
 FIT_ROWS, FIT_CHARS = 900, 50_000
 #: Standard deviations from a language's usual cross-entropy beyond which a text is rejected.
 REJECT_AT = 10.0
-KEPT_WORDS = 800_000
+#: Words whose scores a task keeps; the store is emptied when it has more.
+KEPT_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -365,5 +366,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in slices(batches, "text"):
             rejected = predict(store_of(sent.value), batch.column("text").to_pylist())[3]
             yield batch.filter(pa.array(~rejected))
+        # The worker goes on to the tasks of later stages, which need the memory.
+        _STORE.clear()
 
     return map_arrow(docs, run, docs.schema)

@@ -28,7 +28,7 @@ UNKNOWN_PENALTY = 10.0
 #: Table entries (positions times piece lengths) that are worked on at once.
 BLOCK = 1 << 21
 #: Words whose pieces a task keeps; the store is emptied when full, which changes no result.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 200_000
 
 
 @dataclass
