@@ -83,7 +83,8 @@ def _log_tail(n: str, m: str, k: str) -> str:
 
 def _first_below(n: str, k: str, share: float) -> str:
     """The smallest m with P(X >= m) <= ``share`` (below 1/2), by bisection between the mean and n + 1."""
-    middle = "CAST(floor((found.low + found.high) / 2) AS DOUBLE)"
+    # The floor, which as a bigint would not hold every count.
+    middle = "rint((found.low + found.high) / 2 - 0.25D)"
     small = f"mid >= {n} + 1 OR {_log_tail(n, 'mid', k)} <= {math.log(share)!r}D"
     step = f"""element_at(transform(array({middle}), mid -> IF(mid <= found.low, found, IF({small},
         named_struct('low', found.low, 'high', mid), named_struct('low', mid, 'high', found.high)))), 1)"""

@@ -27,7 +27,7 @@ from pairwright.operators.sampling import bounded
 def _rate(counted: DataFrame, name: str) -> DataFrame:
     """Turn ``n``/``k`` into the rate and its interval; groups without a usable row vanish."""
     return with_bootstrap_ci(
-        counted.filter("n > 0").withColumn(name, F.try_divide("k", "n"))
+        counted.filter("n > 0").withColumn(name, F.try_divide(F.col("k").cast("double"), F.col("n").cast("double")))
     )
 
 

@@ -47,6 +47,11 @@ def total(prefix: str) -> str:
     return f"({prefix}_a + {prefix}_b + {prefix}_none)"
 
 
+def product(left: str, right: str) -> str:
+    """Row pairs of two counters; a repeated key has more of them than a bigint holds."""
+    return f"(CAST({left} AS DECIMAL(19, 0)) * CAST({right} AS DECIMAL(19, 0)))"
+
+
 def pair_counts(
     left: DataFrame, right: DataFrame, keys: Sequence[str], carry: str | None = None
 ) -> DataFrame:
@@ -81,12 +86,12 @@ def pairs_with(counts: DataFrame, flag: str, *kept: str) -> DataFrame:
     n_k = {
         # A pair has this flag only if both verdicts exist.
         "swap_consistent": (
-            "(left_a + left_b) * (right_a + right_b)",
-            "left_a * right_b + left_b * right_a",
+            product("left_a + left_b", "right_a + right_b"),
+            f"{product('left_a', 'right_b')} + {product('left_b', 'right_a')}",
         ),
         "prompt_consistent": (
-            f"{total('left')} * {total('right')}",
-            "left_a * right_a + left_b * right_b",
+            product(total("left"), total("right")),
+            f"{product('left_a', 'right_a')} + {product('left_b', 'right_b')}",
         ),
     }
     n, k = n_k[flag]
@@ -96,7 +101,7 @@ def pairs_with(counts: DataFrame, flag: str, *kept: str) -> DataFrame:
 def matched_pairs(counts: DataFrame, left: str, right: str) -> DataFrame:
     """One row per key and pair of verdicts, with the number of row ``pairs``."""
     options = ", ".join(
-        f"struct({v} AS {left}, {w} AS {right}, left_{i} * right_{j} AS pairs)"
+        f"struct({v} AS {left}, {w} AS {right}, {product(f'left_{i}', f'right_{j}')} AS pairs)"
         for i, v in _CLASSES.items()
         for j, w in _CLASSES.items()
     )
@@ -150,7 +155,7 @@ def expand_pairs(matched: DataFrame) -> DataFrame:
     block = 100_000
     # Blocks first, then the rows of a block: no array grows with the repeats, and blocks may be spread.
     blocks = matched.withColumn("_b", F.explode(F.expr(f"sequence(0L, (CAST(pairs AS BIGINT) - 1) DIV {block})")))
-    rows = blocks.withColumn("_i", F.explode(F.expr(f"sequence(1L, least({block}, pairs - _b * {block}))")))
+    rows = blocks.withColumn("_i", F.explode(F.expr(f"sequence(1L, least({block}, CAST(pairs AS BIGINT) - _b * {block}))")))
     return rows.drop("_b", "_i", "pairs")
 
 

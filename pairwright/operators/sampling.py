@@ -65,12 +65,11 @@ def draw(
     keyed = keyed.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, _PREFIX))
     group = [*by, "_prefix"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_key", id_col))
-    return (
-        keyed.join(bounded(_takes(keyed, by, quota), most), group)
-        .withColumn("_rn", rank)
-        .filter(F.col("_rn") <= F.col("_take"))
-        .select(*columns)
-    )
+    ranked = keyed.join(bounded(_takes(keyed, by, quota), most), group).withColumn("_rn", rank)
+    if most is not None:
+        # A literal bound, by which Spark cuts each group before the shuffle.
+        ranked = ranked.filter(F.col("_rn") <= most)
+    return ranked.filter(F.col("_rn") <= F.col("_take")).select(*columns)
 
 
 def _checked(n: int, rows: Column) -> Column:
@@ -79,6 +78,13 @@ def _checked(n: int, rows: Column) -> Column:
     return F.when(rows >= n, F.lit(n)).otherwise(F.raise_error(message).cast("int"))
 
 
+def _or_error(sample: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``sample``, or an error at run time when ``items`` has fewer than n rows, none included."""
+    few = items.agg(F.count("*").alias("rows")).filter(_checked(n, F.col("rows")) < 0)
+    nothing = few.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema])
+    return sample.unionByName(nothing)
+
+
 def _row_count(df: DataFrame) -> Column:
     return df.agg(F.count("*").alias("rows")).scalar()
 
@@ -87,7 +93,7 @@ def simple_sample(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly n items, each equally likely; an error if there are fewer."""
     ids = items.select("sample_id")
     picked = draw(ids, draw_key(seed, "sample_id"), _checked(n, F.col("stratum_size")), most=n)
-    return items.join(bounded(picked, n), "sample_id", "left_semi")
+    return _or_error(items.join(bounded(picked, n), "sample_id", "left_semi"), items, n)
 
 
 def stratified_ids(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
@@ -104,7 +110,7 @@ def stratified_ids(items: DataFrame, n: int, seed: int = 42, by: str = "lang_cod
 
 def stratified_sample(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
     """Items of ``stratified_ids``."""
-    return items.join(stratified_ids(items, n, seed, by), "sample_id", "left_semi")
+    return _or_error(items.join(stratified_ids(items, n, seed, by), "sample_id", "left_semi"), items, n)
 
 
 def stratified_exact(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
@@ -120,7 +126,7 @@ def stratified_exact(items: DataFrame, n: int, seed: int = 42, by: str = "lang_c
     )
     key = F.concat("_class", draw_key(seed, F.lit("exact"), "sample_id"))
     kept = draw(ranked, key, F.lit(n), most=n).select("sample_id")
-    return items.join(bounded(kept, n), "sample_id", "left_semi")
+    return _or_error(items.join(bounded(kept, n), "sample_id", "left_semi"), items, n)
 
 
 def draw_cases(

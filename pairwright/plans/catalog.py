@@ -47,6 +47,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _whole(df: DataFrame, *columns: str) -> DataFrame:
+    """Pair counts as bigint: keys that hardly repeat have hardly more pairs than rows."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def _rates(df: DataFrame, rate: str) -> DataFrame:
     return _rounded(df, rate, "ci_lower", "ci_upper")
 
@@ -199,19 +204,20 @@ def agreement_by_model(spark, sf):
 
 @_query
 def swap_matched(spark, sf):
-    return pairing.swap_matched(*_main_and_swapped(spark, sf))
+    return _whole(pairing.swap_matched(*_main_and_swapped(spark, sf)), "pairs")
 
 
 @_query
 def swap_matched_repeated(spark, sf):
     """Matching when the key is far from unique: one key per document source."""
-    return pairing.swap_matched(*_repeated(spark, sf))
+    matched = pairing.swap_matched(*_repeated(spark, sf))
+    return matched.withColumn("pairs", F.col("pairs").cast("double"))
 
 
 @_query
 def swap_consistency_repeated(spark, sf):
     rated = metrics.swap_consistency(*_repeated(spark, sf))
-    return _rates(rated, "swap_consistency_rate")
+    return _rates(rated, "swap_consistency_rate").withColumn("n", F.col("n").cast("double"))
 
 
 def _repeated(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -221,18 +227,18 @@ def _repeated(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 @_query
 def prompt_matched(spark, sf):
-    return pairing.prompt_matched(_judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL))
+    return _whole(pairing.prompt_matched(_judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL)), "pairs")
 
 
 @_query
 def swap_consistency(spark, sf):
-    return _rates(metrics.swap_consistency(*_main_and_swapped(spark, sf)), "swap_consistency_rate")
+    return _whole(_rates(metrics.swap_consistency(*_main_and_swapped(spark, sf)), "swap_consistency_rate"), "n")
 
 
 @_query
 def prompt_consistency(spark, sf):
     rated = metrics.prompt_consistency(_judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL))
-    return _rates(rated, "prompt_consistency_rate")
+    return _whole(_rates(rated, "prompt_consistency_rate"), "n")
 
 
 @_query
@@ -252,7 +258,8 @@ def verdict_pivot(spark, sf):
 
 @_query
 def judge_leaderboard(spark, sf):
-    return metrics.judge_leaderboard(*_main_and_swapped(spark, sf), _judged(spark, sf, MINIMAL))
+    board = metrics.judge_leaderboard(*_main_and_swapped(spark, sf), _judged(spark, sf, MINIMAL))
+    return _whole(board, "swap_n", "prompt_n")
 
 
 @_query
@@ -352,7 +359,7 @@ def unstable_items(spark, sf):
 
 @_query
 def judge_disagreement(spark, sf):
-    return pairing.judge_disagreement(_judged(spark, sf, MAIN), JUDGES[0], JUDGES[1])
+    return _whole(pairing.judge_disagreement(_judged(spark, sf, MAIN), JUDGES[0], JUDGES[1]), "pairs")
 
 
 @_query

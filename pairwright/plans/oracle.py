@@ -184,19 +184,19 @@ swapped_q AS (SELECT * REPLACE ('q_' || ((row_ordinal // 100) % 7)::VARCHAR AS s
 {_matched('main_q', 'swapped_q', _SWAP_KEYS, 'winner_swap', 'swap_consistent', '<>')}"""
 
 
-def _pairs(base: str, keys: str, other: str, flag: str) -> str:
+def _pairs(base: str, keys: str, other: str, flag: str, kind: str = "BIGINT") -> str:
     return f"""WITH {base}
-SELECT {keys}, winner_main, lang_code, {other}, {flag}, count(*) AS pairs FROM matched GROUP BY ALL"""
+SELECT {keys}, winner_main, lang_code, {other}, {flag}, count(*)::{kind} AS pairs FROM matched GROUP BY ALL"""
 
 
-def _summary(base: str, flag: str, rate: str) -> str:
+def _summary(base: str, flag: str, rate: str, kind: str = "BIGINT") -> str:
     return f"""WITH {base},
 counts AS (
   SELECT "group", model, count({flag}) AS n, sum({flag})::BIGINT AS k FROM (
     SELECT 'overall' AS "group", model, {flag} FROM matched
     UNION ALL SELECT 'lang=' || lang_code, model, {flag} FROM matched) GROUP BY ALL)
 {_with_stats("counts", '"group", model')}
-SELECT "group", model, n, round(k / n, 6) AS {rate}, ci_lower, ci_upper FROM rated"""
+SELECT "group", model, n::{kind} AS n, round(k / n, 6) AS {rate}, ci_lower, ci_upper FROM rated"""
 
 
 def _draw_key(*parts: str) -> str:
@@ -422,8 +422,8 @@ SELECT model, prompt_version, swap_order, count(*) AS n_rows, count(raw_response
 SELECT model, n, round(k / n, 6) AS agreement_rate, ci_lower, ci_upper,
   round(binom_log10_p, 4) AS binom_log10_p FROM rated""",
         "swap_matched": _pairs(_SWAP, _SWAP_KEYS, "winner_swap", "swap_consistent"),
-        "swap_matched_repeated": _pairs(_REPEATED, _SWAP_KEYS, "winner_swap", "swap_consistent"),
-        "swap_consistency_repeated": _summary(_REPEATED, "swap_consistent", "swap_consistency_rate"),
+        "swap_matched_repeated": _pairs(_REPEATED, _SWAP_KEYS, "winner_swap", "swap_consistent", "DOUBLE"),
+        "swap_consistency_repeated": _summary(_REPEATED, "swap_consistent", "swap_consistency_rate", "DOUBLE"),
         "prompt_matched": _pairs(_PROMPT, "sample_id, model", "winner_minimal", "prompt_consistent"),
         "swap_consistency": _summary(_SWAP, "swap_consistent", "swap_consistency_rate"),
         "prompt_consistency": _summary(_PROMPT, "prompt_consistent", "prompt_consistency_rate"),

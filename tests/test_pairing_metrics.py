@@ -279,3 +279,18 @@ def test_expanded_pairs_span_blocks(spark):
 
     frame = spark.createDataFrame([("a", 250_001), ("b", 1)], "key string, pairs long")
     assert {tuple(r) for r in expand_pairs(frame).groupBy("key").count().collect()} == {("a", 250_001), ("b", 1)}
+
+
+def test_counts_beyond_a_bigint(spark):
+    """Keys with billions of rows a side stand for more pairs than a bigint holds."""
+    many = 4 * 10**9
+    counts = spark.createDataFrame(
+        [("j", "de", i, many, many, 0, many, 0, 0) for i in range(7)],
+        "model string, lang_code string, i int, left_a long, left_b long, left_none long,"
+        " right_a long, right_b long, right_none long",
+    )
+    matched = pairing.matched_pairs(counts, "one", "other").agg(F.sum("pairs")).first()[0]
+    assert matched == 7 * 2 * many**2
+    rated = metrics._summary(counts, "swap_consistent", "rate").filter("group = 'overall'").first()
+    assert rated.n == 7 * 2 * many**2 and rated.rate == pytest.approx(0.5)
+    assert rated.ci_lower == pytest.approx(0.5, abs=1e-8) and rated.ci_upper == pytest.approx(0.5, abs=1e-8)

@@ -79,6 +79,8 @@ def test_too_large_a_sample_is_an_error(spark):
         assert sample(table, 3).count() == 3
         with pytest.raises(Exception, match="asked for 4 rows of 3"):
             sample(table, 4).collect()
+        with pytest.raises(Exception, match="asked for 4 rows of 0"):
+            sample(table.limit(0), 4).collect()
 
 
 def verdicts(spark):
