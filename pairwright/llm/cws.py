@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.batches import slices
-from pairwright.llm.tables import column, map_arrow
+from pairwright.llm.tables import column, map_arrow, small
 
 SAMPLES = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -106,6 +106,16 @@ EDITED = (
 )
 
 
+def _larger(bounds: list[int], value):
+    """How many of the bounds, largest first, are larger than the value: a search by halves, whatever their number."""
+    steps = [2**i for i in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    padded = bounds + [-(2**63)] * (2 * steps[0] - 1 - len(bounds))
+    every = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: n + F.when(F.element_at(every, n + step) > value, step).otherwise(0))
+
+
 def with_next(docs: DataFrame, rows_per_part: int = 5000) -> DataFrame:
     """(part, extra, doc_id, text), in tasks sorted by descending doc_id, where each row's next row follows it.
 
@@ -118,19 +128,19 @@ def with_next(docs: DataFrame, rows_per_part: int = 5000) -> DataFrame:
     rows = docs.count()
     parts = max(1, rows // rows_per_part)
     at = [i / parts for i in range(1, parts)]
-    bounds = own.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] if at else []
+    bounds = own.agg(F.percentile_approx("doc_id", at, max(10_000, 4 * parts))).first()[0] if at else []
     bounds = sorted(set(bounds or []), reverse=True)
     # Ranges are numbered from the largest ids; null ids have the last number.
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1)
-    part = part.otherwise(F.size(F.filter(F.array(*(F.lit(int(x)) for x in bounds)).cast("array<bigint>"), lambda x: x > F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_larger(bounds, F.col("doc_id")))
     numbered = own.withColumn("part", part.cast("int")).withColumn("tie", F.xxhash64("text"))
     firsts = numbered.groupBy("part").agg(F.max(F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"), F.bitwise_not("tie").alias("t"))).alias("f"))
     firsts = sorted((r["part"], r["f"]["d"], ~r["f"]["t"]) for r in firsts.collect())
-    goes = F.lit(None).cast("int")
-    for i, (number, doc_id, tie) in enumerate(firsts):
-        before = firsts[i - 1][0] if i else firsts[-1][0]
-        is_first = (F.col("part") == number) & F.col("doc_id").eqNullSafe(F.lit(doc_id if number <= len(bounds) else None).cast("bigint")) & (F.col("tie") == tie)
-        goes = F.when(is_first, F.lit(before)).otherwise(goes)
+    # One row per range, joined by key: no expression grows with the number of ranges.
+    before = [(number, doc_id, tie, firsts[i - 1][0]) for i, (number, doc_id, tie) in enumerate(firsts)]
+    before = docs.sparkSession.createDataFrame(before, "_part int, _doc_id bigint, _tie bigint, _goes int")
+    is_first = (F.col("part") == F.col("_part")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_doc_id")) & (F.col("tie") == F.col("_tie"))
+    numbered = numbered.join(small(before, 200_000), is_first, "left")
+    goes = F.col("_goes")
     copies = F.array(
         F.struct(F.col("part").alias("to"), F.lit(False).alias("extra")), F.struct(goes.alias("to"), F.lit(True).alias("extra"))
     )

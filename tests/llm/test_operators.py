@@ -288,6 +288,21 @@ def test_edited(table, monkeypatch):
     assert cws.fingerprint(table(DOC, [(1, "b a"), (2, "A  b"), (3, None)])).select("fingerprint").distinct().count() == 2
 
 
+def test_next_over_many_ranges(table):
+    rows = [(i * 7 % 1999, f"t{i * 7 % 1999}") for i in range(1999)] + [(None, "none"), (None, "none")]
+    got = [(r.part, r.extra, r.doc_id, r.text) for r in cws.with_next(table(DOC, rows), rows_per_part=2).collect()]
+    assert sorted((i, t) for _, extra, i, t in got if not extra if i is not None) == sorted(rows[:-2])
+    ranges = {}
+    for number, extra, doc_id, text in got:
+        ranges.setdefault(number, []).append((doc_id, text, extra))
+    assert len(ranges) > 900
+    order = sorted(ranges)
+    for a, b in zip(order, order[1:] + order[:1]):
+        own = [i for i, _, extra in ranges[a] if not extra]
+        assert own == sorted(own, key=lambda i: -1 if i is None else i, reverse=True)
+        assert {(i, t) for i, t, extra in ranges[a] if extra} == {ranges[b][0][:2]} and ranges[a][-1][2]
+
+
 # ---- html
 
 PAGE = (
