@@ -78,6 +78,16 @@ def mix(
     null doc_id is hashed as an empty string; rows that are alike in all three columns stand next to each
     other, in either order. An empty table gives an empty table; further columns of `docs` are not read.
     """
+    placed = _placed(docs, weights, share, most, schedules, rows_per_bucket)
+    out = placed.select(
+        "doc_id", "source", "size", "source_size", "target", "taken",
+        F.when(F.col("taken") > 0, _position(F.col("_offset"), schedules)).alias("position"),
+    )
+    return out.orderBy(F.col("position").asc_nulls_last(), _hash(), "doc_id", "size")
+
+
+def _placed(docs, weights, share, most, schedules, rows_per_bucket) -> DataFrame:
+    """The rows of `mix` with what their positions follow from: `_offset`, the words before a row in its source, and demands."""
     sized = cut(sizes(docs))
     digits, rows = 1, sized.count()
     while rows > rows_per_bucket * 16**digits and digits < 8:
@@ -100,19 +110,17 @@ def mix(
     inside = inside.rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, ["_key", "_bucket"])
-    offset = F.col("_before") + F.col("_in")
+    placed = placed.withColumn("_offset", F.col("_before") + F.col("_in"))
     takes = F.round("target").cast("bigint")
     rounds = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = takes - rounds * F.col("source_size")
-    taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least(F.col("size"), rest - offset))
-    placed = placed.withColumn("taken", taken.cast("bigint"))
-    time = _time(offset / F.col("target"), F.col("rank"), schedules)
-    timed = placed.withColumn("_time", F.when(F.col("taken") > 0, time))
-    out = timed.select(
-        "doc_id", "source", "size", "source_size", "target", "taken",
-        F.floor(_demand(F.col("_time"), schedules)).alias("position"),
-    )
-    return out.orderBy(F.col("position").asc_nulls_last(), _hash(), "doc_id", "size")
+    taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_offset")))
+    return placed.withColumn("taken", taken.cast("bigint"))
+
+
+def _position(offset, schedules):
+    """The words of all sources before the time at which a row's source has given out `offset` words, repeats included."""
+    return F.floor(_demand(_time(offset / F.col("target"), F.col("rank"), schedules), schedules))
 
 
 def _hash():
@@ -169,28 +177,40 @@ def _demand(time, schedules):
     return total
 
 
-def passes(docs: DataFrame, **how) -> DataFrame:
+def passes(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.5,
+    most: float = 2.0,
+    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    rows_per_bucket: int = 256,
+) -> DataFrame:
     """`docs` as the mix takes them, its columns kept: a row for each time a document is taken as a whole.
 
     A document of which the mix takes a part counts as taken if that is half of it or more. Rows come in the
-    order of training positions. Documents without words, of which nothing can be taken, are left out.
+    order of training positions, and each pass has its own: in round p of a source a document begins p times
+    the source's words after its first place, and the demand for that many words is inverted as in `mix`.
+    Documents without words, of which nothing can be taken, are left out.
     """
-    plan = mix(docs, **how).where(F.col("taken") > 0)
-    times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    plan = plan.select(
-        F.col("doc_id").alias("_pw_id"), F.coalesce("source", F.lit("")).alias("_pw_source"), F.col("size").alias("_pw_size"),
-        F.col("position").alias("_pw_position"), times.alias("_pw_times"),
-    ).where(F.col("_pw_times") > 0)
-    # Rows alike in id, source and size share one row of the plan, with as many passes as they have together.
-    same = ["_pw_id", "_pw_source", "_pw_size"]
-    plan = cut(plan.groupBy(*same).agg(F.min("_pw_position").alias("_pw_position"), F.sum("_pw_times").alias("_pw_all"), F.count("*").alias("_pw_rows")))
+    return _timed(docs, weights, share, most, schedules, rows_per_bucket).orderBy("_pw_position", "_pw_pass").select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def _timed(docs, weights, share, most, schedules, rows_per_bucket) -> DataFrame:
+    """The rows of `passes`, unsorted, with `_pw_pass` from 0 and `_pw_position` beside the columns of `docs`."""
+    plan = _placed(docs, weights, share, most, schedules, rows_per_bucket).where(F.col("taken") > 0)
+    plan = plan.withColumn("_times", F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")).where(F.col("_times") > 0)
+    # Rows alike in id, source and size stand next to each other and share one row of the plan, with as many passes as they have together.
+    fixed = ["source_size", "target", "rank", *(f"_sum{i}" for i in range(len(schedules)))]
+    plan = plan.groupBy(F.col("doc_id").alias("_pw_id"), F.col("_key").alias("_pw_key"), F.col("size").alias("_pw_size")).agg(
+        *(F.first(c).alias(c) for c in fixed), F.min("_offset").alias("_offset"), F.ceil(F.sum("_times") / F.count("*")).cast("int").alias("_all")
+    )
+    plan = plan.withColumn("_pw_pass", F.explode(F.sequence(F.lit(0), F.col("_all") - 1)))
+    position = _position(F.col("_offset") + F.col("_pw_pass") * F.col("source_size"), schedules)
+    plan = cut(plan.select("_pw_id", "_pw_key", "_pw_size", "_pw_pass", position.alias("_pw_position")))
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     on = (
         F.col("`doc_id`").cast("bigint").eqNullSafe(F.col("_pw_id"))
-        & (F.coalesce(F.col("`source`").cast("string"), F.lit("")) == F.col("_pw_source"))
+        & (F.coalesce(F.concat(F.lit("s"), F.col("`source`").cast("string")), F.lit("n")) == F.col("_pw_key"))
         & (words == F.col("_pw_size"))
     )
-    taken = docs.join(plan, on)
-    share = F.ceil(F.col("_pw_all") / F.col("_pw_rows")).cast("int")
-    taken = taken.withColumn("_pw_pass", F.explode(F.sequence(F.lit(1), share)))
-    return taken.orderBy("_pw_position", "_pw_pass").select([F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(plan, on)

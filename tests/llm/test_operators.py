@@ -365,6 +365,21 @@ def test_mix(table):
     assert max(passes.values()) <= 2 and mixing.passes(docs).columns == docs.columns
 
 
+def test_passes_follow_the_schedule(table):
+    docs = table("doc_id long, text string, source string", [(i, "w " * 10, s) for i in range(1200) for s in (("a", "b", "b", "b", "c", "c")[i % 6],)])
+    source_of = [r.source for r in mixing.passes(docs).collect()]
+    taken = Counter(source_of)
+    assert taken["a"] == 400  # twice its 200 documents
+    # Time goes by with what all sources have demanded; at half of it a rising source has given 3/8, an even one 1/2, a falling one 5/8.
+    half = sum(taken[s] * x for s, x in (("a", 3 / 8), ("b", 1 / 2), ("c", 5 / 8)))
+    early = Counter(source_of[: round(half)])
+    assert all(abs(early[s] / taken[s] - x) < 0.02 for s, x in (("a", 3 / 8), ("b", 1 / 2), ("c", 5 / 8)))
+    assert "a" in source_of[-20:]
+    # A null source and an empty one are two sources.
+    rows = [(1, "x y", None), (1, "x z", ""), (2, "x y z", "b")]
+    assert max(Counter((r.doc_id, r.source) for r in mixing.passes(table("doc_id long, text string, source string", rows)).collect()).values()) <= 2
+
+
 # ---- near-duplicates
 
 
