@@ -72,7 +72,7 @@ def _named(attributes: str) -> tuple[str, set[str]]:
     return label, {w.lower() for w in _PART.findall(label)}
 
 
-def blocks(html: str) -> Iterator[tuple[Node, list[Node], str]]:
+def blocks(html: str) -> Iterator[tuple[Node, tuple[Node, ...], str]]:
     """(element, open elements, text) of each block of text in page order, references decoded, white space joined.
 
     Elements close with their parents; an end tag without a beginning is skipped, and so is what has no end.
@@ -108,7 +108,7 @@ def blocks(html: str) -> Iterator[tuple[Node, list[Node], str]]:
             text = " ".join(html_module.unescape("".join(parts)).split())
             parts = []
             if text and not leaf_dropped:
-                yield stack[-1] if stack else _ROOT, stack, text
+                yield stack[-1] if stack else _ROOT, tuple(stack), text
         leaf_dropped = False
         if m[1]:
             if is_container:
@@ -131,41 +131,49 @@ def blocks(html: str) -> Iterator[tuple[Node, list[Node], str]]:
             leaf_dropped = drop
     text = " ".join(html_module.unescape("".join(parts)).split())
     if text and not leaf_dropped:
-        yield stack[-1] if stack else _ROOT, stack, text
+        yield stack[-1] if stack else _ROOT, tuple(stack), text
 
 
-TOKENS = "host string, path bigint, parent bigint, article boolean, dropped boolean, pages bigint, vector bigint, size bigint"
+def said_by(found: list[tuple[Node, tuple[Node, ...], str]]) -> dict[Node, int]:
+    """For each element that is not the article's: a hash of its path and all text that stands directly in it."""
+    own: dict[Node, list[str]] = {}
+    for node, _, text in found:
+        if not node.dropped and not node.inside:
+            own.setdefault(node, []).append(text)
+    return {node: _path(node.path, "text", " ".join(texts)) for node, texts in own.items()}
+
+
+TOKENS = "host string, path bigint, text bigint, article boolean, dropped boolean, pages bigint, low bigint, high bigint"
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """The path tokens of (host, page_id, html) by host: pages with it, fingerprint of its occurrence vector, text in it.
+    """The tokens of (host, page_id, html) by host, with the pages that have them and fingerprints of their occurrence vectors.
 
-    The vector of a token has its number of occurrences on each page of the host. Its fingerprint is the
-    exclusive or of a hash of page and number, so it is gathered in parts, and tokens with equal vectors have
-    equal ones.
+    A token is the path of an element or, outside of articles, a path with all the text directly in such an
+    element. The vector of a token has its number of occurrences on each page of the host. Its fingerprint is
+    two sums of parts of a hash of page and number, so it is gathered in parts, tokens with equal vectors have
+    equal ones, and repeated pages don't cancel each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             found: dict[tuple, list[int]] = {}
-            for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html"))):
-                own: dict[int, list] = {}
-                seen: set[int] = set()
-                for node, stack, said in blocks(text or ""):
-                    above, size = 0, 0 if node.dropped else len(said)
-                    for node in stack:
-                        entry = own.setdefault(node.path, [above, node.name in ("article", "main"), node.dropped, 0, 0])
-                        if id(node) not in seen:
-                            entry[3] += 1
-                        entry[4] += size
-                        above = node.path
-                    seen = {id(node) for node in stack}
-                for path, (above, article, dropped, n, length) in own.items():
+            for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html"))):
+                of_page = list(blocks(html or ""))
+                # The page itself is a token, so that pages without elements count for the support too.
+                own: dict[tuple, int] = {(0, None, False, False): 1} if of_page else {}
+                for node in dict.fromkeys(n for _, stack, _ in of_page for n in stack):
+                    token = (node.path, None, node.name in ("article", "main"), node.dropped)
+                    own[token] = own.get(token, 0) + 1
+                for node, text in said_by(of_page).items():
+                    token = (node.path, text, False, False)
+                    own[token] = own.get(token, 0) + 1
+                for token, n in own.items():
                     vector = _path(page if page is not None else -1, str(n), host)
-                    total = found.setdefault((host, path, above, article, dropped), [0, 0, 0])
+                    total = found.setdefault((host, *token), [0, 0, 0])
                     total[0] += 1
-                    total[1] ^= vector
-                    total[2] += length
+                    total[1] += vector & 0x7FFFFFFF
+                    total[2] += (vector >> 32) & 0x7FFFFFFF
             rows = [(*key, *value) for key, value in found.items()]
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
             if rows:
@@ -173,41 +181,44 @@ def tokens(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
 
     found = map_arrow(pages.select("host", "page_id", "html"), run, TOKENS)
-    return found.groupBy("host", "path", "parent", "article", "dropped").agg(
-        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("size").alias("size")
+    return found.groupBy("host", "path", "text", "article", "dropped").agg(
+        F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high")
     )
 
 
-def content_slots(found: DataFrame, support: float = 0.8) -> DataFrame:
-    """(host, slots): the paths whose slots hold the main text, by host.
+def content_slots(found: DataFrame, support: float = 0.8, least: int = 3) -> DataFrame:
+    """(host, slots, template): the paths marked as an article, and the hashes of template text, by host.
 
-    Tokens of a host with one occurrence vector form a class; a class is valid if it is on at least `support`
-    of the host's pages, and classes nest as their paths do. The valid ones are the template. Its slots that
-    are marked as an article or main part and not boilerplate are chosen; without any, the slot that holds
-    the most text of those whose own parents in the template hold not much more.
+    Tokens of a host with one occurrence vector form a class; it is valid if it is on at least `support` of
+    the host's pages. The valid ones are the template. Text belongs to it only on `least` pages or more and in
+    a class with another token, as its element or the page's frame: then all text that an element holds is
+    the same wherever it stands. What else stands in elements are the slots.
+    """
+    of_host = found.where("text is null").groupBy("host").agg(F.max("pages").alias("host_pages"))
+    # Text of single pages goes before it is joined, so a large host has no more rows than its template and common texts.
+    common = found.where((F.col("text").isNull() | (F.col("pages") >= least)) & ~F.col("dropped"))
+    valid = common.join(small(of_host, 200_000), "host").where(F.col("pages") >= support * F.col("host_pages"))
+    token = F.struct("path", "text", "article")
+    classes = valid.groupBy("host", "low", "high").agg(F.collect_list(token).alias("all"))
+    members = classes.select("host", F.size("all").alias("of_class"), F.explode("all").alias("t"))
+    marked = F.collect_set(F.when(F.col("t.article") & F.col("t.text").isNull(), F.col("t.path")))
+    template = F.collect_set(F.when(F.col("of_class") > 1, F.col("t.text")))
+    return members.groupBy("host").agg(marked.alias("slots"), template.alias("template"))
+
+
+def main_text(html: str, slots: list[int] | None, template: list[int] | None = None) -> str:
+    """The blocks in the host's article slots; on a page without them, in its own article, else in all slots of the template.
+
+    A page of which all is template, as on a host of copies, keeps what isn't marked as boilerplate.
     """
-    of_host = found.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    classes = found.groupBy("host", "vector").agg(F.max("pages").alias("on"), F.collect_list(F.struct("path", "article", "dropped", "size")).alias("t"))
-    valid = classes.join(of_host, "host").where(F.col("on") >= support * F.col("host_pages"))
-    template = valid.select("host", F.explode("t").alias("t")).where(~F.col("t.dropped"))
-    marked = F.collect_set(F.when(F.col("t.article"), F.col("t.path")))
-    # The smallest part that still holds nine tenths of the largest part's text.
-    largest = F.max("t.size")
-    gathered = template.groupBy("host").agg(marked.alias("marked"), largest.alias("largest"), F.collect_list("t").alias("all"))
-    near = F.filter("all", lambda t: t["size"] * 10 >= F.col("largest") * 9)
-    deepest = F.array_min(F.transform(near, lambda t: F.struct(t["size"].alias("size"), t["path"].alias("path"))))["path"]
-    return gathered.select("host", F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.array(deepest)).alias("slots"))
-
-
-def main_text(html: str, slots: list[int] | None) -> str:
-    """The blocks in the template's content slots; on a page without them, in its own article, else in its largest part."""
-    wanted = set(slots or ())
-    found = [(node.inside, any(n.path in wanted for n in stack), text) for node, stack, text in blocks(html) if not node.dropped]
-    if any(chosen for _, chosen, _ in found):
-        return " ".join(text for inside, chosen, text in found if chosen)
-    if any(inside for inside, _, _ in found):
-        return " ".join(text for inside, _, text in found if inside)
-    return " ".join(text for _, _, text in found)
+    wanted, known = set(slots or ()), set(template or ())
+    found = [block for block in blocks(html) if not block[0].dropped]
+    chosen = [text for _, stack, text in found if any(n.path in wanted for n in stack)]
+    chosen = chosen or [text for node, _, text in found if node.inside]
+    if not chosen and known:
+        said = said_by(found)
+        chosen = [text for node, _, text in found if said[node] not in known]
+    return " ".join(chosen or [text for _, _, text in found])
 
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
@@ -218,17 +229,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Templates are deduced over all pages of a host, from sums that are gathered before the shuffle, so a host
     may have any number of pages. Hosts with one page have what their page says. Null html has an empty text;
-    null and relative URLs share the empty host. Repeated rows give repeated results; a block is never
-    dropped for being repeated. The slots of hosts are sent to all tasks if they are few, else joined.
+    null and relative URLs share the empty host. Repeated rows give repeated results. Of an article
+    nothing is dropped for being repeated; outside of articles an element is whose whole text is the template's. The slots of hosts are sent to all tasks if they are few, else joined.
     """
     own = pages.select(column(pages, "page_id", "bigint"), column(pages, "url", "string"), F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"))
     own = own.withColumn("host", host_of(F.col("url")))
-    slots = cut(content_slots(cut(tokens(own))).select(F.col("host").alias("_host"), "slots"))
-    placed = own.join(small(slots, 200_000), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots")
+    slots = cut(content_slots(cut(tokens(own))).select(F.col("host").alias("_host"), "slots", "template"))
+    placed = own.join(small(slots, 50_000), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [main_text(h, s) for h, s in zip(batch.column("html").to_pylist(), batch.column("slots").to_pylist())]
+            texts = [main_text(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "template")))]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in EXTRACTED.split(", ")])
 

@@ -331,6 +331,19 @@ def test_extract_given_pages(spark):
         assert r.text == " ".join(html.unescape(re.sub("<[^>]*>", "\0", inner)).replace("\0", " ").split())
 
 
+def test_extract_drops_template_text_and_keeps_every_slot(table):
+    page = (
+        "<body><div>Welcome to our site</div><div class=title><h1>Title {0}</h1></div><div class=lead>Lead {0}</div>"
+        "<div class=content><p>Body {0} {1}<p>Same on all</div><div class=imprint>All rights reserved</div></body>"
+    )
+    rows = [(i, f"http://d.net/{i}", page.format(i, "long text " * (1 if i == 3 else 200))) for i in range(6)]
+    copies = [(10 + i, f"http://e.net/{i}", page.format(0, "x")) for i in range(4)]
+    got = {r.page_id: r.text for r in templates.extract(table("page_id long, url string, html string", rows + rows[:2] + copies)).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i} Lead {i} Body {i} " + " ".join(["long text"] * (1 if i == 3 else 200)) + " Same on all"
+    assert all(got[10 + i] == "Welcome to our site Title 0 Lead 0 Body 0 x Same on all All rights reserved" for i in range(4))
+
+
 # ---- mixing
 
 
