@@ -344,6 +344,13 @@ def test_extract_drops_template_text_and_keeps_every_slot(table):
     assert all(got[10 + i] == "Welcome to our site Title 0 Lead 0 Body 0 x Same on all All rights reserved" for i in range(4))
 
 
+def test_extract_keeps_a_headline_beside_the_text(table):
+    page = "<body><div class=title><h1>Head {0}</h1></div><div class=lead>Lead {0}</div><div class=content><p>{1}</div></body>".format
+    rows = [(i, f"http://d.net/{i}", page(i, "long " * 300 + str(i))) for i in range(2)]
+    got = templates.extract(table("page_id long, url string, html string", rows)).collect()
+    assert all(r.text.startswith(f"Head {r.page_id} Lead {r.page_id} long") for r in got) and len(got) == 2
+
+
 # ---- mixing
 
 
