@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html as html_module
+import re
+from collections.abc import Iterator, Sequence
+from html.entities import html5
+from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.graph import components
-from pairwright.llm.tables import column, cut
+from pairwright.llm.tables import column, cut, map_arrow
+
+_FULL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9A-Fa-f]+);?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9;])))")
 
 #: (verdict, host, path) of the production rules.
 RULES = (
@@ -49,24 +57,46 @@ def node_of(url):
     return F.when(host_of(url) != "", made)
 
 
+def decoded(value: str) -> str:
+    """An attribute's value with its character references decoded; names without a semicolon before = or letters aren't any."""
+    named = lambda m: html_module.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0])
+    return _REFERENCE.sub(named, value)
+
+
+def resolved(url: str | None, base: str | None, href: str | None) -> str | None:
+    """The full URL that `href` stands for on the page `url`, whose <base> is at `base`; null if there is none."""
+    href = decoded(href or "").strip()
+    if not href:
+        return None
+    try:
+        full = href if _FULL.match(href) else urljoin(urljoin(url or "", decoded(base or "").strip()), href)
+        parts = urlsplit(full)
+        if "/." in parts.path and not parts.path.startswith("//"):
+            full = urljoin(full, parts.path) + ("?" + parts.query if parts.query else "")
+    except ValueError:
+        return None
+    return full if _FULL.match(full) else None
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(source, target) of the canonical links and immediate redirects that stand in the html of (url, html).
 
-    Targets may be full, without a scheme, or paths on the same host. Pages without either are not shuffled
-    or parsed further.
+    Targets may be relative, to the page or to its <base>; character references in them are decoded and dot
+    segments removed. Pages without either are not shuffled or parsed further.
     """
     html = F.col("html")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*\b(?:rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b)[^>]*>)"), F.lit(1))
-    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", base.alias("base"), F.explode(tags).alias("tag"))
     href = F.regexp_extract("tag", r"(?is)\b(?:href\s*=|content\s*=\s*[\"']?[\s\d.]*[;,]\s*url\s*=)\s*[\"']?\s*([^\"'\s>]+)", 1)
-    target = F.regexp_replace(href, r"(?i)&amp;", "&")
-    scheme = F.regexp_extract("url", r"(?s)^([^:/?#]*)://", 1)
-    full = (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), target))
-    )
-    return found.select(node_of(F.col("url")).alias("source"), node_of(full).alias("target")).where(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets = [resolved(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("url", "base", "href")))]
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(targets, pa.string())], names=["url", "target"])
+
+    full = map_arrow(found.select("url", "base", href.alias("href")), run, "url string, target string")
+    return full.select(node_of(F.col("url")).alias("source"), node_of(F.col("target")).alias("target")).where(
         F.col("source").isNotNull() & F.col("target").isNotNull()
     )
 

@@ -223,6 +223,21 @@ def test_url_rules_and_aliases(table):
     assert [r.verdict for r in urls.judge(table("page_id long, url string, html string", [(1, "http://z.net", None)]), redirects=redirects).collect()] == ["block"]
 
 
+def test_url_relative_aliases(table):
+    link = "<html>{1}<link rel=canonical href='{0}'>".format
+    go = '<meta http-equiv="refresh" content="0; url={}">'.format
+    pages = [
+        ("http://n.net/x/a", go("next.html"), "http://n.net/x/next.html"), ("http://n.net/x/b.html", link("../y", ""), "http://n.net/y"),
+        ("http://n.net/x/c", link("?id=3&amp;copy=2", ""), "http://n.net/x/c?id=3&copy=2"), ("http://n.net/x/d", link("e", "<base href='/z/'>"), "http://n.net/z/e"),
+        ("http://n.net", link("./f", ""), "http://n.net/f"), ("http://n.net/g", link("http&#58;&#x2F;/m.net/q/../h", ""), "http://m.net/h"),
+        ("http://n.net/i", link("/a/./b", ""), "http://n.net/a/b"),
+    ]
+    rows = [(i, url, html) for i, (url, html, _) in enumerate(pages)] + [(90, "http://n.net/s", link("javascript:x='http://a.com/de/'", "")), (91, None, link("a", ""))]
+    given = table("page_id long, url string, html string", rows)
+    redirects = table("source string, target string", [(to, "http://a.com/de/") for _, _, to in pages])
+    assert {r.page_id: r.verdict for r in urls.judge(given, redirects=redirects).collect()} == {i: "block" for i in range(len(pages))} | {90: "allow", 91: "allow"}
+
+
 # ---- chat
 
 
