@@ -154,6 +154,108 @@ FROM s LEFT JOIN class ON s.s = class.s LEFT JOIN low ON class.rep = low.a
 """
 
 
+_PARTS, _ENTRIES = 16, 64
+
+
+def _vector_codes(rounds: int = 2) -> str:
+    """Assignments and means written out round by round, over vectors of one length."""
+
+    def assigned(k: int) -> str:
+        square = "list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v)"
+        return f"""assigned{k} AS (
+  SELECT * FROM (SELECT p.rid, p.p, p.v, b.entry, {square} AS d FROM parts p JOIN books{k} b USING (p))
+  QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, entry) = 1)"""
+
+    def means(k: int) -> str:
+        return f"""means{k} AS (
+  SELECT p, entry, list(x ORDER BY place) AS v FROM (
+    SELECT p, entry, place, floor(sum(v[place]) / count(*)) AS x
+    FROM assigned{k - 1}, (SELECT unnest(range(1, max(len(v)) + 1)) AS place FROM parts) GROUP BY ALL) GROUP BY p, entry),
+books{k} AS (
+  SELECT p, entry, coalesce(m.v, b.v) AS v FROM books{k - 1} b LEFT JOIN means{k} m USING (p, entry))"""
+
+    steps = [assigned(0)]
+    for k in range(1, rounds + 1):
+        steps += [means(k), assigned(k)]
+    return f"""WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT rid, p, e[p * len(e) // {_PARTS} + 1 : (p + 1) * len(e) // {_PARTS}] AS v FROM kept, range({_PARTS}) r(p)
+), books0 AS (
+  SELECT p, entry, v FROM parts JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, e) - 1 AS entry FROM kept) USING (rid)
+  WHERE entry < {_ENTRIES}
+), {", ".join(steps)}, coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM assigned{rounds} GROUP BY rid
+), digest AS (
+  SELECT sha256(string_agg(x, ',' ORDER BY p, entry, place)) AS codebooks_sha256 FROM (
+    SELECT p, entry, unnest(range(1, len(v) + 1)) AS place, unnest(list_transform(v, lambda x: x::BIGINT::VARCHAR)) AS x
+    FROM books{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid), digest"""
+
+
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts
+), masks AS (
+  SELECT doc_id, part,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM words
+), judged AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), classes AS (
+  SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM masks LEFT JOIN judged USING (doc_id) GROUP BY ALL
+), letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1))), 0)::INT AS before
+  FROM orders, range(1, 6) s(step)
+), counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0 AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0 AND toxic), 0) AS toxic_lost
+  FROM classes, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+"""
+
+# Bytes as pairs of hexadecimal digits, so that they can be cut anywhere.
+REPEATED_PASSAGES = """
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT rid, i, md5(substring(h, 2 * i + 1, 400)) AS w
+  FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM texts)
+), repeated AS (
+  SELECT rid, i FROM windows JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) USING (w)
+), runs AS (
+  SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (
+    SELECT rid, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run
+    FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM repeated)) GROUP BY rid, run
+), edges AS (
+  SELECT rid, coalesce(lag(b) OVER o, 0) AS a, a AS b, b - a AS gone FROM runs WINDOW o AS (PARTITION BY rid ORDER BY a)
+), kept AS (
+  SELECT rid, h, doc_id, a, b, gone FROM texts JOIN edges USING (rid)
+  UNION ALL SELECT rid, h, doc_id, coalesce((SELECT max(b) FROM runs WHERE runs.rid = texts.rid), 0), len(h) // 2, NULL FROM texts)
+SELECT any_value(doc_id) AS doc_id, any_value(len(h)) // 2 AS n_bytes, coalesce(sum(gone), 0)::BIGINT AS n_removed,
+  count(gone) AS n_spans, sha256(unhex(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256
+FROM kept GROUP BY rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_top_k": TOP_K,
@@ -161,4 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": CHAT,
         "op9_mix": MIX,
         "op10_minhash_dedup": DEDUP,
+        "op11_vector_codes": _vector_codes(),
+        "op12_filter_audit": FILTER_AUDIT,
+        "op13_repeated_passages": REPEATED_PASSAGES,
     }

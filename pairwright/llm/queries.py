@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import chat, cws, kdtree, langid, mixing, neardup, pieces, secrets, templates, urls
+from pairwright.llm import audit, chat, codes, cws, kdtree, langid, mixing, neardup, passages, pieces, secrets, templates, urls
 from pairwright.llm.tables import read
 
 
@@ -61,9 +61,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan, op2_sentencepiece, op3_language_id, op4_exact_top_k, op5_url_filter, op6_chat_format,
-        op7_fingerprint, op8_html_extract, op9_mix, op10_minhash_dedup,
+        op7_fingerprint, op8_html_extract, op9_mix, op10_minhash_dedup, op11_vector_codes, op12_filter_audit,
+        op13_repeated_passages,
     )
     return {f.__name__: f for f in every}
