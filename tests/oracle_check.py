@@ -59,7 +59,7 @@ def main(argv: list[str]) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sql = entry.oracle_sql()
-    chosen = argv[2:] or list(entry.queries())
+    chosen = argv[2:] or list(sql)
     for name in chosen:
         start = time.time()
         try:
