@@ -23,16 +23,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import column, cut, map_arrow
+from pairwright.llm.tables import column, cut, cut_in_buckets, map_arrow
 
 #: Bytes of a passage, of a trigger, and mean bytes of a phrase.
 LENGTH = 200
 TRIGGER = 12
-PHRASE = 48
+PHRASE = 96
 #: Bytes shared around an anchor by windows that are equal: before it if it lies beyond this, else after it.
 SIDE = 100
-#: Bytes parsed at once; longer texts are parsed in overlapping blocks.
-BLOCK = 1 << 20
+#: Bytes worked on at once; longer texts are parsed in overlapping blocks.
+BLOCK = 1 << 18
 #: Anchors under one key that are compared within a task. Windows of larger groups are counted one by one.
 LARGE = 5_000
 
@@ -63,7 +63,7 @@ class Rolling:
     """Hashes of any stretch of a buffer, from sums of its bytes' values times powers of a base."""
 
     def __init__(self, data: np.ndarray, base: int) -> None:
-        size = 1 << max(10, int(len(data)).bit_length())
+        size = max(2 * BLOCK, 1 << int(len(data)).bit_length())
         up, self.down = _powers(size, base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_values(base)[data] * up[: len(data)], out=self.sums[1:])
@@ -151,62 +151,58 @@ def _parsed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield number[block], key, first + shift, last + shift
 
 
-PHRASES = "text_id binary, key bigint, first int, last int"
+PHRASES = "key bigint, id bigint, place bigint"
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
+def _place(tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A stretch of windows in one number, with the text's tag in front: 24, 32 and 8 bits."""
+    return (tag.astype(np.int64) << 40) | (first << 8) | (last - first)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], size: int = 4 * BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows with their texts, in slices of about ``size`` bytes."""
+_FIRST, _WIDTH = "shiftright(place, 8) & 4294967295L", "place & 255"
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows with their texts, in slices of about a block, or one text if that is longer."""
     for batch in batches:
+        if not len(batch):
+            continue
         lengths = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size, prepend=0)).tolist()
+        cuts = (np.flatnonzero(np.diff(np.cumsum(lengths) // BLOCK)) + 1).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(batch)]):
-            if b > a:
-                part = batch.slice(a, b - a)
-                yield part, _texts(part)
+            part = batch.slice(a, b - a)
+            yield part, part.column("text").cast(pa.large_binary()).to_pylist()
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[n.split()[0] for n in names.split(", ")]
+    )
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in _sliced(batches):
+        ids, tags = (batch.column(c).to_numpy() for c in ("id", "tag"))
         for number, key, first, last in _parsed(texts):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("text_id").take(pa.array(number)),
-                    pa.array(key),
-                    pa.array(first.astype(np.int32)),
-                    pa.array(last.astype(np.int32)),
-                ],
-                names=["text_id", "key", "first", "last"],
-            )
-
+            yield _batch(PHRASES, key, ids[number], _place(tags[number], first, last))
 
-def _take(texts: list[bytes], rows: list[list[dict]]) -> Iterator[tuple[int, dict, bytes]]:
-    for i, (text, found) in enumerate(zip(texts, rows)):
-        for row in found:
-            yield i, row, text[row["first"] : row["last"] + LENGTH]
 
-
-DICTIONARY = "key bigint, text_id binary, first int, content binary"
+DICTIONARY = "key bigint, id bigint, tag int, first int, content binary"
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the windows of every phrase found under its key."""
     for batch, texts in _sliced(batches):
-        taken = list(_take(texts, batch.column("found").to_pylist()))
-        for at in range(0, len(taken), 10_000):
-            part = taken[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["key"] for _, row, _ in part], pa.int64()),
-                    batch.column("text_id").take(pa.array([i for i, _, _ in part])),
-                    pa.array([row["first"] for _, row, _ in part], pa.int32()),
-                    pa.array([content for _, _, content in part], pa.binary()),
-                ],
-                names=["key", "text_id", "first", "content"],
-            )
+        found = batch.column("found")
+        rows = found.flatten()
+        keys, firsts, lasts = (rows.field(c).to_numpy() for c in ("key", "first", "last"))
+        whose = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(found).to_numpy())
+        ids, tags = (batch.column(c).to_numpy() for c in ("id", "tag"))
+        for a in range(0, len(keys), 1000):
+            part = slice(a, a + 1000)
+            stretches = zip(whose[part].tolist(), firsts[part].tolist(), lasts[part].tolist())
+            content = pa.array([texts[i][x : y + LENGTH] for i, x, y in stretches], pa.binary())
+            yield _batch(DICTIONARY, keys[part], ids[whose[part]], tags[whose[part]], firsts[part], content)
 
 
 def _window_hashes(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +217,7 @@ def _window_hashes(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return whose, offset, one, two
 
 
-SPANS = "text_id binary, first int, last int"
+SPANS = "id bigint, tag int, first int, last int"
 
 
 def _extents(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,20 +247,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
         if len(whole):
             number, low, high = _extents(whole.column("content").to_pylist())
-            first = whole.column("first").to_numpy()[number]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    whole.column("text_id").take(pa.array(number)).combine_chunks(),
-                    pa.array((first + low).astype(np.int32)),
-                    pa.array((first + high).astype(np.int32)),
-                ],
-                names=["text_id", "first", "last"],
-            )
+            ids, tags, first = (whole.column(c).to_numpy()[number] for c in ("id", "tag", "first"))
+            yield _batch(SPANS, ids, tags, (first + low).astype(np.int32), (first + high).astype(np.int32))
 
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size < 4 * BLOCK:
+        if size < 2 * BLOCK:
             continue
         whole = pa.Table.from_batches(held)
         keys = whole.column("key").to_numpy()
@@ -276,26 +265,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(pa.Table.from_batches(held))
 
 
-WINDOWS = "one bigint, two bigint, text_id binary, first int, at int"
+WINDOWS = "one bigint, two bigint, id bigint, tag int, first int, at int"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the contents as a row of its own."""
     for batch in batches:
-        for at in range(0, len(batch), 2_000):
-            part = batch.slice(at, 2_000)
+        for a in range(0, len(batch), 1000):
+            part = batch.slice(a, 1000)
             whose, offset, one, two = _window_hashes(part.column("content").to_pylist())
-            rows, first = pa.array(whose), part.column("first").to_numpy()[whose]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)),
-                    part.column("text_id").take(rows),
-                    pa.array(first),
-                    pa.array((first + offset).astype(np.int32)),
-                ],
-                names=["one", "two", "text_id", "first", "at"],
-            )
+            ids, tags, first = (part.column(c).to_numpy()[whose] for c in ("id", "tag", "first"))
+            yield _batch(WINDOWS, one.view(np.int64), two.view(np.int64), ids, tags, first, (first + offset).astype(np.int32))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -309,7 +289,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-CUT = "text_id binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+CUT = "id bigint, tag int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,26 +307,26 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             kept.update(text[at:])
             rows.append((len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-        names = [f.split()[0] for f in CUT.split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column("text_id"), *columns], names=names)
+        yield _batch(CUT, batch.column("id"), batch.column("tag"), *zip(*rows))
 
 
 def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
-    """(text_id, first, last): windows that also start elsewhere, of (text_id, text) with different texts.
+    """(id, tag, first, last): windows that also start elsewhere, of (id, tag, text) with different texts.
 
     A row stands for windows that overlap each other: the first and the last repeated one of an anchor.
     """
-    phrases = cut(map_arrow(texts, _parse, PHRASES))
+    long_ones = texts.where(F.octet_length("text") >= LENGTH).select("id", "tag", "text")
+    phrases = cut(map_arrow(long_ones, _parse, PHRASES))
     shared = cut(phrases.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     found = phrases.join(shared, "key")
 
     def contents(rows: DataFrame) -> DataFrame:
-        row = F.struct("key", "first", "last")
-        by_text = rows.groupBy("text_id").agg(F.collect_list(row).alias("found"))
-        joined = texts.select("text_id", "text").join(by_text, "text_id")
-        return map_arrow(joined, _contents, DICTIONARY)
+        stretches = rows.selectExpr(
+            "id", "CAST(shiftrightunsigned(place, 40) AS INT) AS tag", "key",
+            f"CAST({_FIRST} AS INT) AS first", f"CAST(({_FIRST}) + ({_WIDTH}) AS INT) AS last",
+        )
+        by_text = stretches.groupBy("id", "tag").agg(F.collect_list(F.struct("key", "first", "last")).alias("found"))
+        return map_arrow(long_ones.join(by_text, ["id", "tag"]), _contents, DICTIONARY)
 
     sorted_keys = contents(found.where(F.col("n") <= large)).repartition("key").sortWithinPartitions("key")
     spans = map_arrow(sorted_keys, _compare, SPANS)
@@ -356,8 +336,8 @@ def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
     windows = cut(map_arrow(contents(found.where(F.col("n") > large)), _windows, WINDOWS))
     equal = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     matched = windows.join(equal, ["one", "two"])
-    extents = matched.groupBy("text_id", "first").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    return spans.unionByName(extents.select("text_id", F.col("low").alias("first"), F.col("high").alias("last")))
+    extents = matched.groupBy("id", "tag", "first").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    return spans.unionByName(extents.select("id", "tag", F.col("low").alias("first"), F.col("high").alias("last")))
 
 
 def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
@@ -367,14 +347,21 @@ def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     overlaps included. Equal texts are worked on once: one that occurs more than once and has 200 bytes goes as
     a whole, and so do rows that repeat. A null text counts as empty; texts under 200 bytes stay; doc_id may be null or
     repeat and only names the row. Other columns are not read; an empty table gives an empty one. Strings count as
-    equal if their 128-bit hashes are. Texts are parsed in blocks of 1 MB; a task holds the text it works on,
+    equal if their 128-bit hashes are, whole texts if 88 bits are. Texts are parsed in blocks of 256 KB; a task holds the text it works on,
     whatever its length, and never a whole group of equal strings.
     """
     rows = docs.select(
         column(docs, "doc_id", "bigint"), F.coalesce(F.col("`text`").cast("string"), F.lit("")).alias("text")
-    ).select("doc_id", F.unhex(F.md5("text")).alias("text_id"), "text")
-    distinct = cut(rows.groupBy("text_id").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    spans = repeated_spans(distinct.where(F.octet_length("text") >= LENGTH), large)
-    by_text = spans.groupBy("text_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    results = map_arrow(distinct.join(by_text, "text_id", "left"), _apply, CUT)
-    return rows.select("doc_id", "text_id").join(results, "text_id").drop("text_id")
+    )
+    # A text goes by 88 bits of its hash.
+    digits = rows.withColumn("_md5", F.md5("text"))
+    named = digits.selectExpr(
+        "doc_id", "CAST(conv(substr(_md5, 1, 16), 16, -10) AS BIGINT) AS id",
+        "CAST(conv(substr(_md5, 17, 6), 16, 10) AS INT) AS tag", "text",
+    )
+    counted = named.groupBy("id", "tag").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    distinct = cut_in_buckets(counted, "id", "tag")
+    spans = repeated_spans(distinct, large)
+    by_text = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    results = map_arrow(distinct.join(by_text, ["id", "tag"], "left"), _apply, CUT)
+    return named.drop("text").join(results, ["id", "tag"]).drop("id", "tag")

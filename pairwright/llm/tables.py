@@ -47,6 +47,26 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_in_buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """`cut` for a table that is joined by `keys` more than once: such joins don't shuffle it again.
+
+    The files are in buckets, as many as a shuffle has partitions. Spark reads buckets through a table only, which
+    is dropped from the catalog at once; its files stay until the session ends.
+    """
+    spark = df.sparkSession
+    name = f"pairwright_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    filesystem, at = _filesystem(spark, path)
+    filesystem.deleteOnExit(at)
+    out = spark.table(name)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove tables made by `cut` that nothing reads any more."""
     for df in frames:

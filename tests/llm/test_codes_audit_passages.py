@@ -229,7 +229,7 @@ def test_passages_in_blocks(table, monkeypatch):
                 found |= {(n, k, i) for i in range(a, b + 1)}
         return found
 
-    whole, cut = windows(1 << 20), windows(300)
+    whole, cut = windows(1 << 18), windows(300)
     assert whole == cut and len(whole) == sum(len(t) - 199 for t in texts)
     assert len({(n, i) for n, _, i in whole}) == len(whole)
 
