@@ -4,11 +4,13 @@ A window of 200 bytes is repeated if the same bytes also start elsewhere. A roll
 hash over 12 bytes triggers the starts of phrases, so that equal windows are parsed
 alike wherever they stand: each belongs to the first trigger inside it, or, where
 there is none, to the smallest rolling hash inside it. Around that anchor all of its
-equals share at least 100 bytes. Anchors are put into the order of those bytes'
-hashes; an anchor that is alone there ends the search, which is what happens to most
-text. For the others the phrases with the bytes that follow make up a small
-dictionary, the suffixes of which are ordered by the hash of their first 200 bytes:
-the repeated windows are those beside an equal one.
+equals share at least 100 bytes, the key of the phrase, which here is the stretch of
+all windows of one anchor. The parse of the corpus is ordered by key; a phrase whose
+key is alone ends the search, which is what happens to most text. Phrases that occur
+more than once are repeated as they are. The different phrases under a key are its
+dictionary, the suffixes of which are ordered by their first 200 bytes: a window is
+repeated if a neighbour is equal. The order is that of hashes, not of the alphabet:
+only equality of 200 bytes matters here.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ PHRASE = 96
 SIDE = 100
 #: Bytes worked on at once; longer texts are parsed in overlapping blocks.
 BLOCK = 1 << 18
-#: Anchors under one key that are compared within a task. Windows of larger groups are counted one by one.
-LARGE = 5_000
+#: Different phrases under one key that are compared within a task, in some 100 MB. Windows of larger groups are
+#: counted one by one.
+LARGE = 20_000
 
 _REACH = LENGTH - TRIGGER
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -68,7 +71,7 @@ class Rolling:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_values(base)[data] * up[: len(data)], out=self.sums[1:])
 
-    def at(self, begin: np.ndarray, length: int) -> np.ndarray:
+    def at(self, begin: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return _mixed((self.sums[begin + length] - self.sums[begin]) * self.down[begin])
 
 
@@ -126,32 +129,29 @@ def anchors(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 
 def _keyed(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(block, key, first, last): windows by the hash of bytes that all their equals share."""
+    """(block, key, word, first, last): phrases by the hash of bytes that all equal windows share, and their own hash."""
     block, anchor, first, last = anchors(data, begin, size)
     rolling = Rolling(data, _BASES[1])
     near, far = np.maximum(first, anchor - SIDE), np.minimum(last, anchor - SIDE - 1)
     a, b = np.flatnonzero(near <= last), np.flatnonzero(first <= far)
     after = rolling.at(anchor[a], SIDE)
     around = rolling.at(anchor[b] - SIDE, SIDE + TRIGGER) ^ np.uint64(_BASES[0])
-    return (
-        np.concatenate([block[a], block[b]]),
-        np.concatenate([after, around]).view(np.int64),
-        np.concatenate([near[a], first[b]]),
-        np.concatenate([last[a], far[b]]),
-    )
+    first, last = np.concatenate([near[a], first[b]]), np.concatenate([last[a], far[b]])
+    word = rolling.at(first, last - first + LENGTH).view(np.int64)
+    return np.concatenate([block[a], block[b]]), np.concatenate([after, around]).view(np.int64), word, first, last
 
 
 def _parsed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, key, first window, last window), places counted within the text."""
+    """(text number, key, word, first window, last window), places counted within the text."""
     for number, offset, size in _pieces(texts):
         begin = np.cumsum(size) - size
         data = np.frombuffer(b"".join([texts[i][a : a + n] for i, a, n in zip(number, offset, size)]), np.uint8)
-        block, key, first, last = _keyed(data, begin, size)
+        block, key, word, first, last = _keyed(data, begin, size)
         shift = offset[block] - begin[block]
-        yield number[block], key, first + shift, last + shift
+        yield number[block], key, word, first + shift, last + shift
 
 
-PHRASES = "key bigint, id bigint, place bigint"
+PHRASES = "key bigint, word bigint, id bigint, place bigint"
 
 
 def _place(tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -159,7 +159,12 @@ def _place(tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (tag.astype(np.int64) << 40) | (first << 8) | (last - first)
 
 
-_FIRST, _WIDTH = "shiftright(place, 8) & 4294967295L", "place & 255"
+#: Its parts in SQL.
+_PLACE = [
+    "CAST(shiftrightunsigned(place, 40) AS INT) AS tag",
+    "CAST(shiftright(place, 8) & 4294967295L AS INT) AS first",
+    "CAST((shiftright(place, 8) & 4294967295L) + (place & 255) AS INT) AS last",
+]
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -183,8 +188,8 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in _sliced(batches):
         ids, tags = (batch.column(c).to_numpy() for c in ("id", "tag"))
-        for number, key, first, last in _parsed(texts):
-            yield _batch(PHRASES, key, ids[number], _place(tags[number], first, last))
+        for number, key, word, first, last in _parsed(texts):
+            yield _batch(PHRASES, key, word, ids[number], _place(tags[number], first, last))
 
 
 DICTIONARY = "key bigint, id bigint, tag int, first int, content binary"
@@ -206,15 +211,22 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_hashes(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content number, offset, two hashes) of every window of the contents."""
+    """(content number, offset, two hashes) of every window of the contents, taken from about a block at once."""
     size = np.array([len(c) for c in contents], np.int64)
-    begin = np.cumsum(size) - size
     n = size - LENGTH + 1
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    whose = np.repeat(np.arange(len(contents)), n)
-    offset = np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
-    one, two = (Rolling(data, base).at(begin[whose] + offset, LENGTH) for base in _BASES)
-    return whose, offset, one, two
+    whose = np.repeat(np.arange(len(contents), dtype=np.int32), n)
+    offset = (np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    hashes = np.empty((2, len(whose)), np.uint64)
+    cuts = (np.flatnonzero(np.diff(np.cumsum(size) // BLOCK)) + 1).tolist()
+    done = 0
+    for a, b in zip([0, *cuts], [*cuts, len(contents)]):
+        data = np.frombuffer(b"".join(contents[a:b]), np.uint8)
+        begin, rows = np.cumsum(size[a:b]) - size[a:b], slice(done, done + int(n[a:b].sum()))
+        at = begin[whose[rows] - a] + offset[rows]
+        for hash_, base in zip(hashes, _BASES):
+            hash_[rows] = Rolling(data, base).at(at, LENGTH)
+        done = rows.stop
+    return whose, offset, *hashes
 
 
 SPANS = "id bigint, tag int, first int, last int"
@@ -317,23 +329,27 @@ def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
     """
     long_ones = texts.where(F.octet_length("text") >= LENGTH).select("id", "tag", "text")
     phrases = cut(map_arrow(long_ones, _parse, PHRASES))
-    shared = cut(phrases.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    found = phrases.join(shared, "key")
+    shared = phrases.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = cut(phrases.join(shared, "key"))
+    words = cut(found.groupBy("key", "word").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one")))
+    often = words.where("n > 1").select("key", "word")
+    repeated = found.join(often, ["key", "word"]).selectExpr("id", *_PLACE)
+    # One of each phrase meets the others under its key, if there are any.
+    several = cut(words.groupBy("key").agg(F.count("*").alias("words")).where("words > 1"))
+    dictionary = words.join(several, "key").selectExpr("key", "words", "one.id AS id", "one.place AS place")
 
     def contents(rows: DataFrame) -> DataFrame:
-        stretches = rows.selectExpr(
-            "id", "CAST(shiftrightunsigned(place, 40) AS INT) AS tag", "key",
-            f"CAST({_FIRST} AS INT) AS first", f"CAST(({_FIRST}) + ({_WIDTH}) AS INT) AS last",
-        )
+        stretches = rows.selectExpr("id", "key", *_PLACE)
         by_text = stretches.groupBy("id", "tag").agg(F.collect_list(F.struct("key", "first", "last")).alias("found"))
         return map_arrow(long_ones.join(by_text, ["id", "tag"]), _contents, DICTIONARY)
 
-    sorted_keys = contents(found.where(F.col("n") <= large)).repartition("key").sortWithinPartitions("key")
-    spans = map_arrow(sorted_keys, _compare, SPANS)
-    if shared.where(F.col("n") > large).isEmpty():
+    small = contents(dictionary.where(F.col("words") <= large))
+    compared = map_arrow(small.repartition("key").sortWithinPartitions("key"), _compare, SPANS)
+    spans = repeated.unionByName(compared)
+    if several.where(F.col("words") > large).isEmpty():
         return spans
     # Groups of any size: equal windows are counted where they are made and matched by their hashes.
-    windows = cut(map_arrow(contents(found.where(F.col("n") > large)), _windows, WINDOWS))
+    windows = cut(map_arrow(contents(dictionary.where(F.col("words") > large)), _windows, WINDOWS))
     equal = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     matched = windows.join(equal, ["one", "two"])
     extents = matched.groupBy("id", "tag", "first").agg(F.min("at").alias("low"), F.max("at").alias("high"))

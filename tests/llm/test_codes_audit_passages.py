@@ -224,7 +224,7 @@ def test_passages_in_blocks(table, monkeypatch):
     def windows(block):
         monkeypatch.setattr(passages, "BLOCK", block)
         found = set()
-        for number, key, first, last in passages._parsed(texts):
+        for number, key, _, first, last in passages._parsed(texts):
             for n, k, a, b in zip(number.tolist(), key.tolist(), first.tolist(), last.tolist()):
                 found |= {(n, k, i) for i in range(a, b + 1)}
         return found
