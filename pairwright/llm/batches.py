@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in order, cut so that the texts of a slice have about `size` bytes, or it is one row."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -60,12 +61,17 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 class Log:
-    """The messages of one conversation, folded from its events in their order."""
+    """The messages of one conversation, folded from its events in their order.
+
+    Events of a null or unknown kind say nothing and are passed over. A null message is one message of its own,
+    which stands before all others.
+    """
 
     def __init__(self) -> None:
-        self.messages: dict[int, tuple[str, list[str]]] = {}
+        self.messages: dict[float, tuple[str, list[str]]] = {}
 
-    def add(self, kind: str, message: int, role: str | None, text: str | None) -> None:
+    def add(self, kind: str | None, message: int | None, role: str | None, text: str | None) -> None:
+        message = -math.inf if message is None else message
         if kind == "begin":
             self.messages[message] = (role or "", [text or ""])
         elif kind == "delta":
@@ -79,8 +85,6 @@ class Log:
             for later in [m for m in self.messages if m > message]:
                 del self.messages[later]
             self.messages[message] = (role if role is not None else before, [text or ""])
-        else:
-            raise ValueError(f"unknown kind of event: {kind!r}")
 
     def final(self) -> list[tuple[str, str]]:
         return [(role, "".join(parts)) for _, (role, parts) in sorted(self.messages.items())]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -16,24 +19,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.llm.batches import slices
-from pairwright.llm.tables import column, map_arrow
+from pairwright.llm.tables import column, map_arrow, ship
 
 ORDER = 5
 UNKNOWN = "und"
-#: The sample that the models are fitted on: rows per language, and code points per row at most. A further
-#: third of the rows calibrates scores and rejection.
-FIT_ROWS, FIT_CHARS = 900, 50_000
-#: Standard deviations from a language's usual cross-entropy beyond which a text is rejected.
-REJECT_AT = 10.0
+#: The sample that the models are taken from: rows per language, and code points per row at most. Of four rows
+#: three are fitted on and one calibrates scores and rejection, however many there are.
+FIT_ROWS, FIT_CHARS = 1200, 50_000
+#: Lengths, in characters, at which rejection is calibrated; in between the limit is interpolated.
+BANDS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
+#: Shares of texts of the learned languages over the limit of a band, and of foreign ones under it, that are aimed at.
+LOST, MISSED = 0.001, 0.01
+#: With fewer calibration rows, or beside a single language, nothing is rejected for being unlike.
+LEAST_ROWS = 20
 #: Words whose scores a task keeps; the store is emptied when it has more.
 KEPT_WORDS = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=None)
+def _word():
+    """An expression for a letter and the letters and combining marks that follow it, numerals left out."""
+
+    def ranges(first: str) -> str:
+        of = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in first]
+        cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1] + 1), len(of)]
+        return "".join(f"{chr(of[a])}-{chr(of[b - 1])}" for a, b in zip(cuts, cuts[1:]))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*").findall
+
+
 def words_of(text: str) -> list[str]:
-    """The lower-case letter runs of a text, which are what the models read."""
-    return _WORD.findall(text.lower())
+    """The lower-case words of a text, letters with their marks, which are what the models read."""
+    return _word()(text.lower())
 
 
 @dataclass
@@ -53,10 +71,13 @@ class Model:
     languages: list[str]
     base: np.ndarray  # log-probability of a letter never seen
     grams: list[Grams]  # by order, from 1
-    mean: np.ndarray  # usual cross-entropy by language, nats a character
-    between: np.ndarray  # variance of it between long texts
-    within: np.ndarray  # variance of it times the characters
     sharpness: float = 50.0
+    limits: np.ndarray | None = None  # by band: the cross-entropy from which a text is rejected; None if not calibrated
+
+    def limit(self, chars: np.ndarray) -> np.ndarray:
+        if self.limits is None:
+            return np.full(len(chars), np.inf)
+        return np.interp(np.log(np.maximum(chars, 1)), np.log(BANDS), self.limits)
 
 
 def _hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -141,8 +162,7 @@ def fit(counts: dict[str, Counter]) -> Model:
         p = own + back[of_context] * lower
         grams.append(Grams(keys, np.log(p).astype(np.float32), contexts, np.log(back).astype(np.float32)))
         lower_p = p
-    n = len(languages)
-    return Model(languages, base + grams[0].log_back[0], grams, np.zeros(n), np.zeros(n), np.full(n, np.inf))
+    return Model(languages, base + grams[0].log_back[0], grams)
 
 
 def _discount(n: np.ndarray) -> float:
@@ -225,38 +245,53 @@ def predict(store: Store, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     best = entropy.argmin(1)
     low = entropy[np.arange(len(texts)), best]
     score = 1 / np.exp(-model.sharpness * (entropy - low[:, None])).sum(1)
-    spread = np.sqrt(model.between[best] + model.within[best] / np.maximum(chars, 1))
-    rejected = (chars == 0) | (low > model.mean[best] + REJECT_AT * spread)
+    rejected = (chars == 0) | (low > model.limit(chars))
     return np.where(chars == 0, -1, best), np.where(chars == 0, 0.0, score), np.where(chars == 0, 0.0, low), rejected
 
 
 def calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
-    """Set what is usual for each language, and the sharpness of scores, by (language, text) rows not fitted on.
+    """Set the sharpness of scores and the limits of rejection by (language, text) rows not fitted on.
 
-    The variance of a text's cross-entropy is taken as one part that stays and one that falls with its
-    length. A language with fewer than 20 rows rejects nothing.
+    For every band each row gives a stretch of that length. Its lowest cross-entropy is one of a known language;
+    the lowest without its own language's model is one of a foreign text. The limit stands in the middle between
+    the quantile that loses a share of `LOST` of the known and the one that misses `MISSED` of the foreign, or at the
+    first where they overlap, as for a word or two.
     """
-    entropy, chars = Store(model).entropies([t for _, t in rows])
+    store = Store(model)
+    entropy, chars = store.entropies([t for _, t in rows])
     truth = np.array([model.languages.index(x) for x, _ in rows], np.int64)
-    rows_at = np.arange(len(rows))
-    for i in range(len(model.languages)):
-        of = np.flatnonzero((truth == i) & (chars > 0))
-        if len(of) < 20:
-            continue
-        e, n = entropy[of, i], chars[of].astype(np.float64)
-        long = n >= np.median(n)
-        model.mean[i] = np.average(e, weights=np.minimum(n, 5000))
-        off = (e - model.mean[i]) ** 2
-        model.between[i] = off[long].mean() + 1e-4
-        model.within[i] = (off * n)[~long].mean() + 4.0 if (~long).any() else 4.0
     good = chars > 0
     if good.any():
         low = entropy.min(1, keepdims=True)
         worth = []
         for sharpness in (1, 2, 5, 10, 20, 50, 100, 200):
             p = np.exp(-sharpness * (entropy - low))
-            worth.append((np.log(p[rows_at, truth] / p.sum(1))[good].mean(), sharpness))
+            worth.append((np.log(p[np.arange(len(rows)), truth] / p.sum(1))[good].mean(), sharpness))
         model.sharpness = float(max(worth)[1])
+    if good.sum() < LEAST_ROWS or len(model.languages) < 2:
+        return model
+    words = [words_of(t) for _, t in rows]
+    ends = [np.cumsum([len(w) + 1 for w in own]) for own in words]
+    limits: list[float | None] = []
+    for band in BANDS:
+        of = [i for i, e in enumerate(ends) if len(e) and e[-1] >= band]
+        if len(of) < LEAST_ROWS:
+            limits.append(None)
+            continue
+        stretches = [" ".join(words[i][: int(np.searchsorted(ends[i], band)) + 1]) for i in of]
+        found = store.entropies(stretches)[0]
+        known = np.quantile(found.min(1), 1 - LOST)
+        found[np.arange(len(of)), truth[of]] = np.inf
+        foreign = np.quantile(found.min(1), MISSED)
+        limits.append(float(max(known, (known + foreign) / 2)))
+    if all(x is None for x in limits):
+        return model
+    # A band without stretches has the limit of the next shorter one, or else the next longer.
+    for order in (range(1, len(BANDS)), range(len(BANDS) - 2, -1, -1)):
+        step = 1 if order.step > 0 else -1
+        for i in order:
+            limits[i] = limits[i - step] if limits[i] is None else limits[i]
+    model.limits = np.array(limits)
     return model
 
 
@@ -268,24 +303,23 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS)
     """Fit and calibrate on labelled rows outside the held-out quarter.
 
     Languages are counted, rows are thinned by a hash to about twice what is needed and cut to exactly
-    `fit_rows` and a third more by rank, so no task sorts all rows of a language. Words are counted in
+    `fit_rows` by rank, so no task sorts all rows of a language; every fourth rank calibrates. Words are counted in
     parallel; the driver gets the word counts of the sample, at most `fit_rows` times `fit_chars` characters
     a language. Rows without a language, text or doc_id, and longer ones, don't take part.
     """
     own = docs.select(column(docs, "doc_id", "bigint"), column(docs, "lang", "string"), column(docs, "text", "string"))
     rows = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 2))
     rows = rows.where(F.char_length("text") <= fit_chars)
-    wanted = fit_rows + fit_rows // 3
     per_language = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not per_language:
-        return Model([], np.zeros(0), [], np.zeros(0), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros(0), [])
     scale = 1 << 30
-    cuts = F.create_map(*(F.lit(x) for k, n in per_language.items() for x in (k, min(scale, scale * 2 * wanted // n + 1))))
+    cuts = F.create_map(*(F.lit(x) for k, n in per_language.items() for x in (k, min(scale, scale * 2 * fit_rows // n + 1))))
     draw = F.xxhash64("doc_id")
     rows = rows.where(F.pmod(draw, F.lit(scale)) < F.element_at(cuts, F.col("lang")))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
-    sample = rows.withColumn("_rank", rank).where(F.col("_rank") <= wanted)
-    sample = sample.withColumn("fit", F.col("_rank") <= fit_rows)
+    sample = rows.withColumn("_rank", rank).where(F.col("_rank") <= fit_rows)
+    sample = sample.withColumn("fit", F.col("_rank") % 4 != 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +347,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS)
         else:
             counts[row["lang"]][row["word"]] += row["n"]
     if not counts:
-        return Model([], np.zeros(0), [], np.zeros(0), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros(0), [])
     checks = sorted(c for c in checks if c[0] in counts)
     return calibrate(fit({k: Counter(dict(sorted(c.items()))) for k, c in counts.items()}), checks)
 
@@ -328,15 +362,21 @@ def store_of(model: Model) -> Store:
     return _STORE[0]
 
 
-PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
+def forget() -> None:
+    """Free the store: the worker goes on to the tasks of later stages, which need the memory."""
+    _STORE.clear()
+
+
+PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean, calibrated boolean"
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row per row of (doc_id, lang, text): the language with the lowest cross-entropy a character.
 
-    The model is fitted on `docs` unless given. `score` is the calibrated probability of the prediction,
-    `rejected` says that the text is unlike its language, or has no letters: then the prediction is `und`, as
-    for null texts, and the score 0. Whole texts are read, in one pass; equal texts get equal results. A null
+    The model is fitted on `docs` unless given. `score` is the calibrated probability of the prediction.
+    `rejected` says that the text is unlike all languages, or has no letters. Only without letters, as for null
+    texts, the prediction is `und` and the score 0. `calibrated` is false where there were too few labelled rows,
+    or one language only, to tell what is unlike: then letters are never rejected. Whole texts are read, in one pass; equal texts get equal results. A null
     doc_id is not held out. Tables without usable labels give `und` everywhere, empty ones no rows.
     """
     model = train(docs) if model is None else model
@@ -347,7 +387,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in slices(batches, "text"):
             best, score, entropy, rejected = predict(store_of(m), batch.column("text").to_pylist())
             names = [m.languages[i] if i >= 0 else UNKNOWN for i in best.tolist()]
-            columns = [pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)]
+            known = pa.array([m.limits is not None] * len(names), pa.bool_())
+            columns = [pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected), known]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *columns], names=[f.split()[0] for f in PREDICTED.split(", ")]
             )
@@ -358,15 +399,21 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of `docs`, all columns, that are not rejected."""
+    """The rows of `docs`, all columns, that are not rejected; see `identify`.
+
+    Null and empty texts and those without letters go, however often they occur; an empty table stays one. Python
+    gets the texts in slices and returns a flag, the rows stay where they are; a text of any length is one slice.
+    """
     model = train(docs) if model is None else model
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rejected = predict(store_of(sent.value), batch.column("text").to_pylist())[3]
-            yield batch.filter(pa.array(~rejected))
-        # The worker goes on to the tasks of later stages, which need the memory.
-        _STORE.clear()
+    @F.arrow_udf("boolean")
+    def rejected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+            flags = [predict(store_of(sent.value), part.column(0).to_pylist())[3] for part in slices(iter([whole]), "text")]
+            yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool), pa.bool_())
+        forget()
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.where(~rejected(F.col("`text`").cast("string")))

@@ -364,20 +364,30 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_arrow(docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")), run, ENCODED)
 
 
+#: Piece ids that are decoded at once, or those of one row if it has more.
+DECODED_IDS = 500_000
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """`encoded` without `ids`, but with the `text` they decode to; null ids and no ids give an empty text."""
+    """`encoded` without `ids`, but with the `text` they decode to; null ids and no ids give an empty text.
+
+    Rows that repeat are decoded alike, an empty table gives an empty one. One pass, with memory for half a million
+    ids, or those of one text if it has more.
+    """
     model = encoded.sparkSession.sparkContext.broadcast(load(path or default_path()))
     kept = [c for c in encoded.columns if c not in ("ids", "text")]
     out = T.StructType([encoded.schema[c] for c in kept]).add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                ids = part.column("ids")
-                lengths = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = pa.array(decode_batch(model.value, flat, lengths.astype(np.int64)), pa.string())
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // DECODED_IDS)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                flat = part.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = pa.array(decode_batch(model.value, flat, sizes[a:b].astype(np.int64)), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), texts], names=[*kept, "text"])
 
     return map_arrow(encoded, run, out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import audit, chat, codes, cws, kdtree, langid, mixing, neardup, passages, pieces, secrets, templates, urls
-from pairwright.llm.tables import read
+from pairwright.llm.tables import cut, read
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again, with the digest of what comes back."""
-    encoded = pieces.encode(read(spark, sf_dir, "documents"))
+    """Every text encoded and decoded again, with the digest of what comes back.
+
+    The ids are written between, so that no core runs two Python workers with a model each.
+    """
+    encoded = cut(pieces.encode(read(spark, sf_dir, "documents")))
     decoded = pieces.decode(encoded.withColumn("piece_ids", F.col("ids")))
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
     return decoded.select("doc_id", "n_chars", "n_tokens", "n_bytes", F.col("piece_ids").alias("ids"), digest)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import column, map_arrow
+from pairwright.llm.tables import column, map_arrow, ship
 
 #: Kinds in the order of reports; the first three are the base.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -32,7 +32,7 @@ _HEX = re.compile(rb"[0-9a-f]+")
 _CHECKED = re.compile(rb"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 
 SCHEMA = (
-    "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_checked bigint, base_sha256 string, spans string"
+    "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_checked bigint"
 )
 
 
@@ -131,9 +131,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 n = [0] * len(KINDS)
                 for _, kind, _ in spans:
                     n[kind] += 1
-                rows.append((*n[:BASE], sum(n[BASE:]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+                rows.append((*n[:BASE], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sum(n[BASE:])))
             columns = [batch.column("doc_id")]
-            for values, kind in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(),) * 2):
+            for values, kind in zip(zip(*rows), (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),)):
                 columns.append(pa.array(values, kind))
             if rows:
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -144,26 +144,28 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every secret in `text` replaced by `mark`; spans that overlap become one mark.
 
-    Other columns stay, but `n_chars`, if there, follows a changed text. Texts without secrets, null texts
-    among them, are unchanged.
+    Other columns stay, but `n_chars`, if there, follows a changed text. Texts without secrets, null and empty
+    ones among them, are unchanged; rows that repeat are changed alike, and an empty table stays one. Python gets
+    the texts of a batch, whatever their length, and returns only those it has changed.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            hidden = {i: _hidden(t, s, mark.encode()) for i, t in enumerate(texts) if t and (s := spans_of(t))}
-            if hidden:
-                kind = batch.schema.field(at)
-                batch = batch.set_column(at, kind, pa.array([hidden.get(i, t) for i, t in enumerate(texts)], pa.binary()).cast(kind.type))
-                if (n := batch.schema.get_field_index("n_chars")) >= 0:
-                    counts = batch.column(n).to_pylist()
-                    for i, text in hidden.items():
-                        counts[i] = len(text.decode("utf-8", "replace"))
-                    batch = batch.set_column(n, batch.schema.field(n), pa.array(counts, batch.schema.field(n).type))
-            yield batch
-
-    return map_arrow(docs, run, docs.schema)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def hidden(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.cast(pa.binary()):
+            text = text.as_py()
+            spans = spans_of(text) if text else None
+            out.append(_hidden(text, spans, mark.encode()).decode("utf-8", "replace") if spans else None)
+        return pa.array(out, pa.string())
+
+    changed = F.col("_pw_changed")
+    found = docs.withColumn("_pw_changed", hidden(F.col("`text`").cast("string")))
+    kinds = dict(docs.dtypes)
+    out = {"text": F.coalesce(changed, F.col("`text`")).cast(kinds["text"])}
+    if "n_chars" in kinds:
+        out["n_chars"] = F.when(changed.isNotNull(), F.char_length(changed)).otherwise(F.col("`n_chars`")).cast(kinds["n_chars"])
+    return found.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def _hidden(text: bytes, spans: list[tuple[int, int, int]], mark: bytes) -> bytes:

@@ -10,7 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 import pairwright
 
@@ -18,9 +17,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset, as in tests."""
+    """`spark.checkpoint.dir` of the session; a temporary folder where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _OWN.setdefault("dir", "") or _OWN.update(dir=tempfile.mkdtemp(prefix="checkpoints-")) or _OWN["dir"]
     return found.rstrip("/")
 
@@ -109,10 +110,6 @@ def column(df: DataFrame, name: str, kind: str) -> "F.Column":
     return F.col(f"`{name}`").cast(kind).alias(name)
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
-
-
 @atexit.register
 def _forget() -> None:
     _OWN.clear()
