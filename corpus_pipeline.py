@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import langid, mixing, neardup, pieces, secrets
-from pairwright.llm.tables import read, shared_dir
+from pairwright.llm.tables import cut, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`, each written to the shared folder and read by the next."""
+    """The stages applied to `documents`, each written to the shared folder and read by the next.
+
+    What is written between goes when the session ends.
+    """
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return made
-        made.write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
