@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairwright.llm.batches import slices
+from pairwright.llm.batches import slices, words_in_lists
 from pairwright.llm.tables import column, map_arrow, ship
 
 ORDER = 5
@@ -38,7 +38,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=None)
-def _word():
+def _word() -> re.Pattern:
     """An expression for a letter and the letters and combining marks that follow it, numerals left out."""
 
     def ranges(first: str) -> str:
@@ -46,12 +46,12 @@ def _word():
         cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1] + 1), len(of)]
         return "".join(f"{chr(of[a])}-{chr(of[b - 1])}" for a, b in zip(cuts, cuts[1:]))
 
-    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*").findall
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
 def words_of(text: str) -> list[str]:
     """The lower-case words of a text, letters with their marks, which are what the models read."""
-    return _word()(text.lower())
+    return _word().findall(text.lower())
 
 
 @dataclass
@@ -207,14 +207,15 @@ class Store:
         """Cross-entropy, nats a character, by text and language; and the characters. Texts without letters have 0."""
         if len(self.at) > KEPT_WORDS:
             self.clear()
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            found = words_of(text) if text else []
-            words += found
-            counts.append(len(found))
+        numbers, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        counts = np.zeros(len(texts), np.int64)
         before = len(self.at)
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        for i, text in enumerate(texts):
+            for words in words_in_lists(_word(), text.lower()) if text else ():
+                numbers.append(np.fromiter(map(self.at.__getitem__, words), np.int64, len(words)))
+                lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
+                counts[i] += len(words)
+        which = np.concatenate(numbers)
         new = list(islice(reversed(self.at), len(self.at) - before))[::-1]
         if len(self.at) > len(self.scores):
             grown = np.zeros((2 * len(self.at), self.scores.shape[1]))
@@ -223,9 +224,9 @@ class Store:
         for at in range(0, len(new), 50_000):
             part = score_words(self.model, new[at : at + 50_000])
             self.scores[before + at : before + at + len(part)] = part
-        sizes = np.array(list(map(len, words)), np.int64) + 1
-        ends = np.cumsum(np.array(counts, np.int64))
-        full = np.flatnonzero(np.array(counts) > 0)
+        sizes = np.concatenate(lengths) + 1
+        ends = np.cumsum(counts)
+        full = np.flatnonzero(counts > 0)
         total = np.zeros((len(texts), self.scores.shape[1]))
         chars = np.zeros(len(texts), np.int64)
         if len(full):

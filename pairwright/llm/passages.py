@@ -25,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.llm.batches import freed
 from pairwright.llm.tables import column, cut, cut_in_buckets, map_arrow
 
 #: Bytes of a passage, of a trigger, and mean bytes of a phrase.
@@ -177,6 +178,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         for a, b in zip([0, *cuts], [*cuts, len(batch)]):
             part = batch.slice(a, b - a)
             yield part, part.column("text").cast(pa.large_binary()).to_pylist()
+        freed()
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:

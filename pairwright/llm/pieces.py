@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairwright.llm.batches import slices
+from pairwright.llm.batches import slices, words_in_lists
 from pairwright.llm.tables import column, map_arrow
 
 SPACE = "▁"
@@ -284,16 +284,18 @@ class Store:
         self.at.default_factory = self.at.__len__  # a new word gets the next number
         self.flat, self.begin, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """The number of every word, after the pieces of new words have been found."""
-        before = len(self.at)
-        found = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+    def number(self, words: list[str]) -> np.ndarray:
+        """The number of every word; new ones get the next numbers."""
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def find_pieces(self) -> None:
+        """Find the pieces of the words that got a number since the last time."""
+        before = len(self.lengths)
         if len(self.at) > before:
             ids, lengths = encode_words(self.model, list(islice(reversed(self.at), len(self.at) - before))[::-1])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, ids])
-        return found
 
 
 #: The store of a Python worker, which serves the tasks that come after each other.
@@ -313,20 +315,19 @@ def encode_batch(store: Store, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     """
     if len(store.at) > KEPT_WORDS:
         store.clear()
-    findall = re.compile(store.model.word).findall
-    words: list[str] = []
-    counts = []
-    for text in texts:
+    word = re.compile(store.model.word)
+    numbers = [np.zeros(0, np.int64)]
+    counts = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
         if text:
-            found = findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
-            words += found
-            counts.append(len(found))
-        else:
-            counts.append(0)
-    which = store.look_up(words)
+            for words in words_in_lists(word, SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)):
+                numbers.append(store.number(words))
+                counts[i] += len(words)
+    store.find_pieces()
+    which = np.concatenate(numbers)
     ids = _gather(store.flat, store.begin[which], store.lengths[which])
     ends = np.concatenate([[0], np.cumsum(store.lengths[which])])
-    doc = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    doc = np.concatenate([[0], np.cumsum(counts)])
     return ids, np.diff(ends[doc])
 
 
