@@ -52,15 +52,60 @@ def product(left: str, right: str) -> str:
     return f"(CAST({left} AS DECIMAL(19, 0)) * CAST({right} AS DECIMAL(19, 0)))"
 
 
+def listed(column: str, values: Sequence[str]) -> Column:
+    """The place of the column's value in ``values``, their number for null; any other value is an error."""
+    place = F.when(F.col(column).isNull(), F.lit(len(values)))
+    for i, value in enumerate(values):
+        place = place.when(F.col(column) == value, F.lit(i))
+    message = F.concat(F.lit(f"unlisted {column}: "), F.col(column))
+    return place.otherwise(F.raise_error(message).cast("int"))
+
+
+def _counts_by_value(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], carry: str, values: Sequence[str]
+) -> DataFrame:
+    """``pair_counts`` where the values of ``carry`` are listed: a counter for each of them, so one shuffle does."""
+
+    def side(df: DataFrame, slot: Column) -> DataFrame:
+        return df.select(*keys, "parsed_winner", slot.alias("_slot"))
+
+    slots = [*values, None]
+    place = listed(carry, values) if carry in left.columns else F.lit(len(values))
+    counts = (
+        side(left, place)
+        .unionByName(side(right, F.lit(-1)))
+        .groupBy(*keys)
+        .agg(
+            *[c for i in range(len(slots)) for c in count_verdicts(f"left{i}", f"_slot = {i}")],
+            *count_verdicts("right", "_slot = -1"),
+        )
+        .filter(f"{total('right')} > 0")
+    )
+    rows = [
+        F.struct(F.lit(v).cast("string").alias(carry), *[F.col(f"left{i}_{s}").alias(f"left_{s}") for s in _CLASSES])
+        for i, v in enumerate(slots)
+    ]
+    right_side = [f"right_{s}" for s in _CLASSES]
+    return counts.select(*keys, *right_side, F.inline(F.array(*rows))).filter(f"{total('left')} > 0")
+
+
 def pair_counts(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], carry: str | None = None
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    carry: str | None = None,
+    values: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per key, verdict counters of both sides; only keys present on both.
 
     ``carry`` names a column that comes from the left side (the language). It
-    splits the left counters; the right ones are then summed over the key. Rows
-    normally agree on it, so the second step sees one row per key.
+    splits the left counters. Where its ``values`` are listed, each has counters of
+    its own and verdicts are shuffled once; a value that is not listed is an error.
+    Otherwise rows are counted per key and value, and the right counters are
+    then summed over the key in a second shuffle.
     """
+    if carry and values is not None:
+        return _counts_by_value(left, right, keys, carry, values)
     names = [*keys, "parsed_winner"] + ([carry] if carry else [])
 
     def side(df: DataFrame, is_left: bool) -> DataFrame:
@@ -110,23 +155,26 @@ def matched_pairs(counts: DataFrame, left: str, right: str) -> DataFrame:
     return counts.selectExpr(*kept, f"inline(array({options}))").filter("pairs > 0")
 
 
-def swap_counts(main: DataFrame, swapped: DataFrame) -> DataFrame:
+def swap_counts(main: DataFrame, swapped: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
     known = F.col("model").isNotNull()
     return pair_counts(
-        valid(main, False).filter(known), valid(swapped, True).filter(known), SWAP_KEYS, "lang_code"
+        valid(main, False).filter(known), valid(swapped, True).filter(known), SWAP_KEYS, "lang_code", languages
     )
 
 
-def prompt_counts(main: DataFrame, other: DataFrame) -> DataFrame:
+def prompt_counts(main: DataFrame, other: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
     known = F.col("model").isNotNull()
     return pair_counts(
-        valid(main, False).filter(known), valid(other, False).filter(known), PROMPT_KEYS, "lang_code"
+        valid(main, False).filter(known), valid(other, False).filter(known), PROMPT_KEYS, "lang_code", languages
     )
 
 
-def swap_matched(main: DataFrame, swapped: DataFrame) -> DataFrame:
-    """Verdicts in plain and swapped order side by side, with ``swap_consistent``."""
-    matched = matched_pairs(swap_counts(main, swapped), "winner_main", "winner_swap")
+def swap_matched(main: DataFrame, swapped: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """Verdicts in plain and swapped order side by side, with ``swap_consistent``.
+
+    ``languages``, where known, saves a shuffle; see ``pair_counts``.
+    """
+    matched = matched_pairs(swap_counts(main, swapped, languages), "winner_main", "winner_swap")
     return matched.select(
         *SWAP_KEYS,
         "winner_main",
@@ -137,9 +185,9 @@ def swap_matched(main: DataFrame, swapped: DataFrame) -> DataFrame:
     )
 
 
-def prompt_matched(main: DataFrame, other: DataFrame) -> DataFrame:
-    """Verdicts under two prompts side by side, with ``prompt_consistent``."""
-    matched = matched_pairs(prompt_counts(main, other), "winner_main", "winner_minimal")
+def prompt_matched(main: DataFrame, other: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """Verdicts under two prompts side by side, with ``prompt_consistent``; ``languages`` as in ``swap_matched``."""
+    matched = matched_pairs(prompt_counts(main, other, languages), "winner_main", "winner_minimal")
     return matched.select(
         *PROMPT_KEYS,
         "winner_main",

@@ -1,14 +1,17 @@
 """Reproducible sampling without sorting the table or gathering a stratum.
 
-A draw takes the rows with the smallest hash keys. To find the cut, rows are
-counted per stratum and key prefix; the counts tell how many rows to take under
-each prefix. Rows are then matched and ranked per stratum *and prefix*, that is
-in groups of about 1/65,536 of a stratum, so neither a huge stratum nor a huge
+A draw takes the rows with the smallest hash keys. Draws of a bounded size rank rows
+under a literal bound, by which Spark cuts every stratum in each task before the shuffle.
+
+For larger ones, rows are counted per stratum and key prefix; the counts tell how many
+rows to take under each prefix. Rows are then matched and ranked per stratum *and
+prefix*; prefixes get longer with the table, so that neither a huge stratum nor a huge
 quota ends up in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.hashing import draw_key
 
-_PREFIX = 4
+# Rows of the table under one key prefix, if keys were spread over a single stratum.
+PREFIX_ROWS = 100_000
 # Tables that provably have no more rows than this are broadcast, larger ones are not.
 BROADCAST_ROWS = 100_000
 
@@ -42,6 +46,23 @@ def _takes(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFrame:
     )
 
 
+def _ranked(df: DataFrame, by: Sequence[str], key: str, id_col: str, most: int) -> DataFrame:
+    """The ``most`` rows of smallest key per group with their rank ``_rn``, cut in every task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key, id_col))
+    return df.withColumn("_rn", rank).filter(F.col("_rn") <= most)
+
+
+def draw_bounded(
+    df: DataFrame, key: Column, quota: Column, strata: Sequence[str], most: int, id_col: str = "sample_id"
+) -> DataFrame:
+    """``draw`` for quotas of at most ``most`` rows, a literal: the table is read once and nothing is counted."""
+    columns = df.columns
+    for name in strata:
+        df = df.filter(F.col(name).isNotNull())
+    ranked = _ranked(df.withColumn("_key", key), strata, "_key", id_col, most)
+    return ranked.filter(F.col("_rn") <= quota).select(*columns)
+
+
 def draw(
     df: DataFrame,
     key: Column,
@@ -55,14 +76,16 @@ def draw(
     ``df`` should be narrow (ids and strata) with unique ids per stratum; ties of
     the key go by ``id_col``. Rows with a null stratum are left out. ``most``, where
     known, bounds the rows drawn over all strata and so the prefixes they fall
-    under; few prefixes are broadcast and only rows under them are shuffled.
+    under; few prefixes are broadcast and only rows under them are shuffled. The table
+    is counted first, which tells how long a prefix has to be.
     """
     columns = df.columns
     for name in strata:
         df = df.filter(F.col(name).isNotNull())
     by = list(strata) or ["_all"]
+    digits = max(1, math.ceil(math.log(max(df.count() / PREFIX_ROWS, 1), 16)))
     keyed = df if strata else df.withColumn("_all", F.lit(0))
-    keyed = keyed.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, _PREFIX))
+    keyed = keyed.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, digits))
     group = [*by, "_prefix"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_key", id_col))
     ranked = keyed.join(bounded(_takes(keyed, by, quota), most), group).withColumn("_rn", rank)
@@ -72,69 +95,87 @@ def draw(
     return ranked.filter(F.col("_rn") <= F.col("_take")).select(*columns)
 
 
-def _checked(n: int, rows: Column) -> Column:
-    """``n``, or an error at run time when the table has fewer rows."""
-    message = F.concat(F.lit(f"asked for {n} rows of "), rows.cast("string"))
-    return F.when(rows >= n, F.lit(n)).otherwise(F.raise_error(message).cast("int"))
-
-
-def _or_error(sample: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """``sample``, or an error at run time when ``items`` has fewer than n rows, none included."""
-    few = items.agg(F.count("*").alias("rows")).filter(_checked(n, F.col("rows")) < 0)
-    nothing = few.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema])
-    return sample.unionByName(nothing)
-
-
-def _row_count(df: DataFrame) -> Column:
-    return df.agg(F.count("*").alias("rows")).scalar()
+def _enough(items: DataFrame, n: int) -> DataFrame:
+    """``items``, or an error when there are fewer than n; reads on only until n rows are found."""
+    one = items.select(F.lit(1))
+    rows = len(one.take(n)) if n <= BROADCAST_ROWS else one.limit(n).count()
+    if rows < n:
+        raise ValueError(f"asked for {n} rows of {rows}")
+    return items
 
 
 def simple_sample(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly n items, each equally likely; an error if there are fewer."""
-    ids = items.select("sample_id")
-    picked = draw(ids, draw_key(seed, "sample_id"), _checked(n, F.col("stratum_size")), most=n)
-    return _or_error(items.join(bounded(picked, n), "sample_id", "left_semi"), items, n)
+    ids = _enough(items, n).select("sample_id")
+    key = draw_key(seed, "sample_id")
+    if n <= BROADCAST_ROWS:
+        picked = ids.orderBy(key, "sample_id").limit(n)
+    else:
+        picked = draw(ids, key, F.lit(n), most=n)
+    return items.join(bounded(picked, n), "sample_id", "left_semi")
+
+
+def _quotas(ids: DataFrame, n: int, by: str) -> DataFrame:
+    """(stratum, quota): the half-even share of n, at least one. Rows without a stratum count in the shares."""
+    sizes = ids.groupBy(by).agg(F.count("*").alias("_size"))
+    # A row per stratum is all that this window sees.
+    total = F.sum("_size").over(Window.partitionBy(F.lit(0)))
+    quota = F.greatest(F.lit(1.0), F.bround(n * F.col("_size") / total)).cast("long")
+    return sizes.select(by, quota.alias("_quota")).filter(F.col(by).isNotNull())
 
 
 def stratified_ids(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
-    """Ids of a proportional sample: half-even share of n per stratum, at least one.
+    """(sample_id, stratum) of a proportional sample: half-even share of n per stratum, at least one.
 
     Rounding can make the total differ from n; items without a stratum count in
-    the shares but are not drawn.
+    the shares but are not drawn. An error if there are fewer than n items.
     """
-    ids = items.select("sample_id", by)
-    rows = _row_count(ids)
-    share = F.bround(_checked(n, rows) * F.col("stratum_size") / rows)
-    return draw(ids, draw_key(seed, by, "sample_id"), F.greatest(F.lit(1.0), share), [by])
+    ids = _enough(items, n).select("sample_id", by)
+    key = draw_key(seed, by, "sample_id")
+    if n <= BROADCAST_ROWS:
+        ranked = _ranked(ids.filter(F.col(by).isNotNull()).withColumn("_key", key), [by], "_key", "sample_id", max(n, 1))
+        drawn = ranked.join(_quotas(ids, n, by), by).filter(F.col("_rn") <= F.col("_quota"))
+        return drawn.select("sample_id", by)
+    rows = ids.agg(F.count("*").alias("rows")).scalar()
+    share = F.bround(n * F.col("stratum_size") / rows)
+    return draw(ids, key, F.greatest(F.lit(1.0), share), [by])
 
 
 def stratified_sample(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
     """Items of ``stratified_ids``."""
-    return _or_error(items.join(stratified_ids(items, n, seed, by), "sample_id", "left_semi"), items, n)
+    return items.join(stratified_ids(items, n, seed, by).select("sample_id"), "sample_id", "left_semi")
 
 
 def stratified_exact(items: DataFrame, n: int, seed: int = 42, by: str = "lang_code") -> DataFrame:
     """Proportional sample of exactly n items.
 
     Drawn items come first and the rest after them, both in hash order; the first
-    n are kept. That trims a draw that is too large and tops up one too small.
+    n are kept. That trims a draw that is too large and tops up one too small. A draw of
+    fewer than n leaves at least as many of the 2 n smallest keys as are lacking, so only
+    those are looked at.
     """
-    ids = items.select("sample_id", by)
-    picked = stratified_ids(items, n, seed, by).select("sample_id", F.lit(True).alias("_picked"))
-    ranked = ids.join(picked, "sample_id", "left").select(
-        "sample_id", F.when(F.col("_picked"), "0").otherwise("1").alias("_class")
-    )
-    key = F.concat("_class", draw_key(seed, F.lit("exact"), "sample_id"))
-    kept = draw(ranked, key, F.lit(n), most=n).select("sample_id")
-    return _or_error(items.join(bounded(kept, n), "sample_id", "left_semi"), items, n)
+    picked = stratified_ids(items, n, seed, by).select("sample_id", F.lit("0").alias("_class"))
+    key = draw_key(seed, F.lit("exact"), "sample_id")
+    ids = items.select("sample_id")
+    if n <= BROADCAST_ROWS:
+        rest = ids.orderBy(key, "sample_id").limit(2 * n)
+        ranked = rest.join(picked, "sample_id", "full").withColumn("_class", F.coalesce("_class", F.lit("1")))
+        kept = ranked.orderBy("_class", key, "sample_id").limit(n)
+    else:
+        ranked = ids.join(picked, "sample_id", "left").withColumn("_class", F.coalesce("_class", F.lit("1")))
+        kept = draw(ranked, F.concat("_class", key), F.lit(n), most=n)
+    return items.join(bounded(kept.select("sample_id"), n), "sample_id", "left_semi")
 
 
 def draw_cases(
     pool: DataFrame, quotas: Mapping[str, int], strata: Sequence[str], seed: int, most: int
 ) -> DataFrame:
-    """Up to ``quotas[case]`` ids per stratum and ``case``; the pool has no repeated ids."""
+    """Up to ``quotas[case]`` ids per stratum and ``case``, ``most`` in all; the pool has no repeated ids."""
     quota = F.coalesce(*[F.when(F.col("case") == c, F.lit(n)) for c, n in quotas.items()])
     key = draw_key(seed, *strata, "case", "sample_id")
+    largest = max(quotas.values())
+    if largest <= BROADCAST_ROWS:
+        return draw_bounded(pool, key, quota, [*strata, "case"], max(largest, 1))
     return draw(pool, key, quota, [*strata, "case"], most)
 
 

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.operators.items import for_each_judge
-from pairwright.operators.pairing import count_verdicts, total, valid
+from pairwright.operators.pairing import count_verdicts, total, union_runs, valid
 from pairwright.operators.sampling import bounded, draw_cases
 
 JUDGE_QUOTAS = {"incorrect": 12, "unstable": 12, "control": 6}
@@ -71,19 +70,58 @@ def unstable_items(main: DataFrame, swapped: DataFrame) -> DataFrame:
     return case_flags(main, swapped).filter("unstable").select("model", "sample_id")
 
 
-def _controls(
-    items: DataFrame, flags: DataFrame, judges: Sequence[str], require_tested: bool
-) -> DataFrame:
-    """(model, sample_id) of items that are neither incorrect nor unstable for the judge.
+#: Judges in one bitmap of a bigint.
+_BITS = 63
+
 
-    Items never judged count too, unless ``require_tested``.
+def case_bits(main: DataFrame, swapped: DataFrame, judges: Sequence[str]) -> DataFrame:
+    """Per item, one row with bitmaps over the judges: what verdicts there are in either order.
+
+    Cases only ask whether there is such a verdict, so a bit per judge is all that is kept of any number of rows,
+    in buffers of a fixed width. Judges beyond 63 have bitmaps of their own.
     """
-    every = for_each_judge(items.select("sample_id"), [(j, "") for j in judges]).drop("tier")
-    keys = ["model", "sample_id"]
-    if require_tested:
-        clean = flags.filter("tested AND NOT incorrect AND NOT unstable").select(*keys)
-        return every.join(clean, keys, "left_semi")
-    return every.join(flags.filter("incorrect OR unstable").select(*keys), keys, "left_anti")
+    rows = _both_orders(main, swapped).filter(F.col("model").isin(*judges))
+    place = F.coalesce(*[F.when(F.col("model") == j, F.lit(i)) for i, j in enumerate(judges)])
+    placed = rows.withColumn("_place", place).selectExpr(
+        "*", f"_place DIV {_BITS} AS _map", f"shiftleft(1L, _place % {_BITS}) AS _bit"
+    )
+    where = {
+        "wrong": "NOT _swap AND NOT is_correct",
+        "main_a": "NOT _swap AND parsed_winner <=> 'A'",
+        "main_other": "NOT _swap AND NOT parsed_winner <=> 'A'",
+        "swap_other": "_swap AND NOT parsed_winner <=> 'B'",
+        "swap_b": "_swap AND parsed_winner <=> 'B'",
+        "swap_not_a": "_swap AND NOT parsed_winner <=> 'A'",
+    }
+    maps = range((len(judges) + _BITS - 1) // _BITS)
+    return placed.groupBy("sample_id").agg(
+        *[
+            F.coalesce(F.bit_or(F.expr(f"CASE WHEN _map = {m} AND {condition} THEN _bit END")), F.lit(0)).alias(f"_{name}{m}")
+            for m in maps
+            for name, condition in where.items()
+        ]
+    )
+
+
+def _per_judge(bits: DataFrame, judges: Sequence[str], *kept: str) -> DataFrame:
+    """``kept``, and for each judge ``incorrect``, ``unstable`` and ``tested``; unfolded inside the task, no shuffle."""
+    rows = []
+    for i, judge in enumerate(judges):
+        bit = f"{1 << i % _BITS}L"
+
+        def has(name: str, bit: str = bit, m: int = i // _BITS) -> str:
+            return f"coalesce(_{name}{m} & {bit}, 0) <> 0"
+
+        name = judge.replace("\\", "\\\\").replace("'", "\\'")
+        rows.append(
+            f"struct('{name}' AS model, {has('wrong')} AS incorrect,"
+            f" ({has('main_a')} AND {has('swap_other')} OR {has('main_other')} AND {has('swap_not_a')}) AS unstable,"
+            f" (({has('main_a')} OR {has('main_other')}) AND ({has('swap_b')} OR {has('swap_other')})) AS tested)"
+        )
+    if not rows:
+        nothing = "struct<model:string,incorrect:boolean,unstable:boolean,tested:boolean>"
+        return bits.selectExpr(*kept, f"inline(CAST(array() AS array<{nothing}>))")
+    return bits.selectExpr(*kept, f"inline(array({', '.join(rows)}))")
 
 
 def control_pool(
@@ -93,8 +131,14 @@ def control_pool(
     judges: Sequence[str],
     require_tested: bool = False,
 ) -> DataFrame:
-    """(model, sample_id) that may serve as controls; see ``_controls``."""
-    return _controls(items, case_flags(main, swapped), judges, require_tested)
+    """(model, sample_id) of items that are neither incorrect nor unstable for the judge.
+
+    Items never judged count too, unless ``require_tested``. Items meet one row of bitmaps each; they are
+    multiplied by the judges after that.
+    """
+    joined = items.select("sample_id").join(case_bits(main, swapped, judges), "sample_id", "left")
+    clean = _per_judge(joined, judges, "sample_id").filter("NOT incorrect AND NOT unstable")
+    return (clean.filter("tested") if require_tested else clean).select("model", "sample_id")
 
 
 def _as_pool(flags: DataFrame, keys: Sequence[str], cases: Sequence[str]) -> DataFrame:
@@ -123,20 +167,29 @@ def comment_subset_judge(
     """Items to comment on, for every judge in one job.
 
     ``quotas`` maps incorrect, unstable and control to the most ids drawn of each,
-    in order of priority. A judge without rows in the results gets controls only.
+    in order of priority. A judge without rows in the results gets controls only; `silent_judges` names those.
     """
-    known = F.col("model").isin(*judges)
-    flags = case_flags(main.filter(known), swapped.filter(known))
     keys = ["model", "sample_id"]
-    pool = _as_pool(flags, keys, ["incorrect", "unstable"]).unionByName(
-        _controls(items, flags, judges, require_tested).withColumn("case", F.lit("control"))
-    )
+    # Verdicts on unknown items count as incorrect and unstable cases, items without verdicts as controls.
+    known = items.select("sample_id", F.lit(True).alias("_item"))
+    everything = known.join(case_bits(main, swapped, judges), "sample_id", "full")
+    clean = "_item AND NOT incorrect AND NOT unstable" + (" AND tested" if require_tested else "")
+    flags = _per_judge(everything, judges, "sample_id", "_item").selectExpr("*", f"coalesce({clean}, false) AS control")
+    pool = _as_pool(flags, keys, ["incorrect", "unstable", "control"])
     most = sum(quotas.values()) * len(judges)
     labelled = _first_case(draw_cases(pool, quotas, ["model"], seed, most), keys, list(quotas))
     chosen = labelled.withColumnRenamed("model", "comment_target_model")
     return items.join(bounded(chosen, most), "sample_id")
 
 
+def silent_judges(judges: Sequence[str], *tables: DataFrame) -> DataFrame:
+    """(model, rows) of the judges without a valid row in any of the tables, who would get controls only."""
+    rows = union_runs(*[valid(t).select("model") for t in tables]).filter(F.col("model").isin(*judges))
+    counted = rows.groupBy("model").agg(F.count("*").alias("rows"))
+    asked = counted.sparkSession.createDataFrame([(j,) for j in judges], "model string")
+    return asked.join(counted, "model", "left").filter("rows IS NULL").select("model", F.lit(0).cast("long").alias("rows"))
+
+
 def comment_subset_shared(
     items: DataFrame,
     main: DataFrame,

@@ -29,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
 SAMPLE_N = 45
 ROSTER = item_ops.judge_list(CONFIG)
+VERDICT_PROMPTS = sorted({prompt for prompt, _ in CONDITIONS})
 
 _QUERIES: dict[str, Query] = {}
 
@@ -204,19 +205,26 @@ def agreement_by_model(spark, sf):
 
 @_query
 def swap_matched(spark, sf):
-    return _whole(pairing.swap_matched(*_main_and_swapped(spark, sf)), "pairs")
+    return _whole(pairing.swap_matched(*_main_and_swapped(spark, sf), views.languages(spark, sf)), "pairs")
+
+
+@_query
+def swap_matched_rows(spark, sf):
+    """One row per pair of rows, as a join gives them."""
+    pairs = pairing.swap_matched(*_main_and_swapped(spark, sf), views.languages(spark, sf))
+    return pairing.expand_pairs(pairs)
 
 
 @_query
 def swap_matched_repeated(spark, sf):
     """Matching when the key is far from unique: one key per document source."""
-    matched = pairing.swap_matched(*_repeated(spark, sf))
+    matched = pairing.swap_matched(*_repeated(spark, sf), views.languages(spark, sf))
     return matched.withColumn("pairs", F.col("pairs").cast("double"))
 
 
 @_query
 def swap_consistency_repeated(spark, sf):
-    rated = metrics.swap_consistency(*_repeated(spark, sf))
+    rated = metrics.swap_consistency(*_repeated(spark, sf), views.languages(spark, sf))
     return _rates(rated, "swap_consistency_rate").withColumn("n", F.col("n").cast("double"))
 
 
@@ -227,17 +235,20 @@ def _repeated(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 @_query
 def prompt_matched(spark, sf):
-    return _whole(pairing.prompt_matched(_judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL)), "pairs")
+    tables = _judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL)
+    return _whole(pairing.prompt_matched(*tables, views.languages(spark, sf)), "pairs")
 
 
 @_query
 def swap_consistency(spark, sf):
-    return _whole(_rates(metrics.swap_consistency(*_main_and_swapped(spark, sf)), "swap_consistency_rate"), "n")
+    rated = metrics.swap_consistency(*_main_and_swapped(spark, sf), views.languages(spark, sf))
+    return _whole(_rates(rated, "swap_consistency_rate"), "n")
 
 
 @_query
 def prompt_consistency(spark, sf):
-    rated = metrics.prompt_consistency(_judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL))
+    tables = _judged(spark, sf, MAIN), _judged(spark, sf, MINIMAL)
+    rated = metrics.prompt_consistency(*tables, views.languages(spark, sf))
     return _whole(_rates(rated, "prompt_consistency_rate"), "n")
 
 
@@ -248,7 +259,8 @@ def swap_single_file(spark, sf):
 
 @_query
 def prompt_single_file(spark, sf):
-    return _rates(metrics.prompt_single_file(_judged(spark, sf), judges=JUDGES), "prompt_consistency_rate")
+    rated = metrics.prompt_single_file(_judged(spark, sf), judges=JUDGES, prompts=VERDICT_PROMPTS)
+    return _rates(rated, "prompt_consistency_rate")
 
 
 @_query
@@ -281,7 +293,7 @@ def metrics_summary(spark, sf):
     return metrics.metrics_summary(
         metrics.agreement_by_model(_judged(spark, sf, MAIN)),
         metrics.swap_single_file(judged),
-        metrics.prompt_single_file(judged, judges=JUDGES),
+        metrics.prompt_single_file(judged, judges=JUDGES, prompts=VERDICT_PROMPTS),
     )
 
 
@@ -367,6 +379,14 @@ def control_pool(spark, sf):
     return subsets.control_pool(_items(spark, sf), *_main_and_swapped(spark, sf), JUDGES)
 
 
+@_query
+def silent_judges(spark, sf):
+    """Judges of the roster without a verdict in tables that lack some of them."""
+    main, swapped = _main_and_swapped(spark, sf)
+    some = [t.filter("tier <> 'unknown' AND model <> 'east/judge-3'") for t in (main, swapped)]
+    return subsets.silent_judges(JUDGES, *some)
+
+
 @_query
 def comment_subset_judge(spark, sf):
     picked = subsets.comment_subset_judge(_items(spark, sf), *_main_and_swapped(spark, sf), JUDGES, seed=SEED)

@@ -422,6 +422,8 @@ SELECT model, prompt_version, swap_order, count(*) AS n_rows, count(raw_response
 SELECT model, n, round(k / n, 6) AS agreement_rate, ci_lower, ci_upper,
   round(binom_log10_p, 4) AS binom_log10_p FROM rated""",
         "swap_matched": _pairs(_SWAP, _SWAP_KEYS, "winner_swap", "swap_consistent"),
+        "swap_matched_rows": f"""WITH {_SWAP}
+SELECT {_SWAP_KEYS}, winner_main, lang_code, winner_swap, swap_consistent FROM matched""",
         "swap_matched_repeated": _pairs(_REPEATED, _SWAP_KEYS, "winner_swap", "swap_consistent", "DOUBLE"),
         "swap_consistency_repeated": _summary(_REPEATED, "swap_consistent", "swap_consistency_rate", "DOUBLE"),
         "prompt_matched": _pairs(_PROMPT, "sample_id, model", "winner_minimal", "prompt_consistent"),
@@ -496,6 +498,10 @@ SELECT DISTINCT sample_id FROM main WHERE NOT is_correct AND model IN ({_FIRST_T
         "judge_disagreement": f"""WITH {_JUDGED}, {_DISAGREE}
 SELECT sample_id, first_winner, second_winner, count(*) AS pairs FROM disagree GROUP BY ALL""",
         "control_pool": f"WITH {_CONTROLS} SELECT model, sample_id FROM controls",
+        "silent_judges": f"""WITH {_JUDGED}
+SELECT model, 0::BIGINT AS rows FROM (VALUES {_ROSTER}) r(model, tier, skill, judge_no)
+WHERE model NOT IN (SELECT model FROM judged WHERE parse_success AND prompt_version = 'main'
+  AND tier <> 'unknown' AND model <> 'east/judge-3')""",
         "comment_subset_judge": f"""WITH {_CONTROLS},
 pool AS (
   SELECT *, 'incorrect' AS "case" FROM incorrect UNION ALL SELECT *, 'unstable' FROM unstable

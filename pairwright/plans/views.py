@@ -72,6 +72,12 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
+def languages(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The languages of the documents, from that column alone; a handful, however many documents there are."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang").distinct().collect()
+    return sorted(r[0] for r in found if r[0] is not None)
+
+
 def _words(text: str) -> str:
     return f"array_join(regexp_extract_all({text}, '(?i)[a-z]+', 0), ' ')"
 

@@ -294,3 +294,66 @@ def test_counts_beyond_a_bigint(spark):
     rated = metrics._summary(counts, "swap_consistent", "rate").filter("group = 'overall'").first()
     assert rated.n == 7 * 2 * many**2 and rated.rate == pytest.approx(0.5)
     assert rated.ci_lower == pytest.approx(0.5, abs=1e-8) and rated.ci_upper == pytest.approx(0.5, abs=1e-8)
+
+
+def mixed_tables(spark):
+    """Keys that repeat, on several languages and none, with verdicts of all kinds."""
+    rng = random.Random(3)
+    made = []
+    for swap in (False, True):
+        made.append([
+            (f"i{rng.randrange(40)}", rng.choice(["de", "fr", None]), rng.choice(["j", "k", None]), rng.choice(["main", "minimal"]),
+             swap, rng.choice("AB"), rng.choice(["A", "B", "A", None]))
+            for _ in range(400)
+        ])
+    return judged(spark, made[0]), judged(spark, made[1])
+
+
+def hash_exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return text.count("Exchange hashpartitioning(")
+
+
+def test_listed_languages_change_the_plan_only(spark):
+    main, swapped = mixed_tables(spark)
+    for matched in (pairing.swap_matched, pairing.prompt_matched):
+        other = swapped if matched is pairing.swap_matched else main
+        listed = matched(main, other, ["de", "fr", "unused"])
+        assert rows(listed) == rows(matched(main, other)) and listed.count() > 50
+        assert hash_exchanges(listed) == 1 and hash_exchanges(matched(main, other)) == 2
+    assert rows(metrics.swap_consistency(main, swapped, ["fr", "de"])) == rows(metrics.swap_consistency(main, swapped))
+    with pytest.raises(Exception, match="unlisted lang_code: fr"):
+        pairing.swap_matched(main, swapped, ["de"]).collect()
+    assert pairing.swap_matched(main.limit(0), swapped, ["de"]).count() == 0
+
+
+def test_listed_prompts_change_the_plan_only(spark):
+    main, swapped = mixed_tables(spark)
+    both = main.unionByName(swapped)
+    listed = metrics.prompt_single_file(both, prompts=["minimal", "main", "other"])
+    assert rows(listed) == rows(metrics.prompt_single_file(both)) and listed.count() == 2
+    assert hash_exchanges(metrics._prompt_pairs(both, "row_ordinal", ["main", "minimal"])) == 2
+    only = both.filter("prompt_version = 'minimal'")
+    assert metrics.prompt_single_file(only, prompts=["main", "minimal"]).count() == 0
+    assert metrics.prompt_single_file(only, prompts=["minimal"]).count() == 0
+    with pytest.raises(Exception, match="unlisted prompt_version: minimal"):
+        metrics.prompt_single_file(both, prompts=["main"]).collect()
+
+
+def test_leaderboard_is_its_parts(spark):
+    main, swapped = mixed_tables(spark)
+    other = main.filter("prompt_version = 'minimal'")
+    board = {r.model: r for r in metrics.judge_leaderboard(main, swapped, other).collect()}
+    parts = {
+        "validity": (metrics.agreement_by_model(main), "agreement_rate"),
+        "swap": (metrics.swap_consistency(main, swapped).filter("group = 'overall'"), "swap_consistency_rate"),
+        "prompt": (metrics.prompt_consistency(main, other).filter("group = 'overall'"), "prompt_consistency_rate"),
+    }
+    assert set(board) == {"j", "k"}
+    for part, (table, rate) in parts.items():
+        for r in table.collect():
+            of = board[r.model]
+            assert of[f"{part}_n"] == r.n and of[f"{part}_pct"] == pytest.approx(100 * r[rate], abs=0.0501)
+            assert of[f"{part}_ci_lower_pct"] == pytest.approx(100 * r.ci_lower, abs=0.0501)
+    alone = metrics.judge_leaderboard(main, swapped.limit(0), other.limit(0)).first()
+    assert alone.swap_n is None and alone.prompt_pct is None and alone.validity_n > 0

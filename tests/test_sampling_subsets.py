@@ -143,3 +143,54 @@ def test_shared_subset(spark):
     assert {i for i, c in labels.items() if c == "control"} == {"i10", "i6", "i8", "i9"}
     fewer = subsets.comment_subset_shared(table, both, swapped, "j", "k", {**subsets.SHARED_QUOTAS, "control": 1})
     assert sum(r.comment_case_type == "control" for r in fewer.collect()) == 1
+
+
+def scans(df):
+    """Reads of the table in the first plan, before exchanges are reused."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[0].count("FileScan")
+
+
+def test_samples_and_subsets_read_their_tables_a_few_times(spark, tmp_path):
+    main, swapped = verdicts(spark)
+    table = items(spark, [(f"i{i}", "de") for i in range(11)])
+    stored = []
+    for name, df in {"items": table, "main": main, "swapped": swapped}.items():
+        df.write.parquet(str(tmp_path / name))
+        stored.append(spark.read.parquet(str(tmp_path / name)))
+    assert scans(sampling.stratified_exact(stored[0], 4)) <= 4
+    assert scans(sampling.stratified_sample(stored[0], 4)) <= 3
+    assert scans(subsets.control_pool(*stored, ["j"])) == 3
+    assert scans(subsets.comment_subset_judge(*stored, ["j", "k"])) == 4
+    assert rows(subsets.comment_subset_judge(*stored, ["j"])) == rows(subsets.comment_subset_judge(table, main, swapped, ["j"]))
+
+
+def test_large_samples_equal_small_ones(spark, monkeypatch):
+    """Draws beyond the bounded size count prefixes, one digit or several, and give the same rows."""
+    table = languages(spark, de=300, fr=200, ru=1)
+    small = [rows(f(table, 200), "sample_id") for f in (sampling.simple_sample, sampling.stratified_sample, sampling.stratified_exact)]
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 0)
+    for prefix_rows in (100_000, 3):
+        monkeypatch.setattr(sampling, "PREFIX_ROWS", prefix_rows)
+        large = [rows(f(table, 200), "sample_id") for f in (sampling.simple_sample, sampling.stratified_sample, sampling.stratified_exact)]
+        assert large == small
+
+
+def test_bitmaps_hold_more_judges_than_bits(spark):
+    main, swapped = verdicts(spark)
+    judges = [f"judge {i} it's" for i in range(70)] + ["j"]
+    last = main.withColumn("model", F.lit(judges[69])), swapped.withColumn("model", F.lit(judges[69]))
+    table = items(spark, [(f"i{i}", "de") for i in range(11)])
+    pool = subsets.control_pool(table, main.unionByName(last[0]), swapped.unionByName(last[1]), judges)
+    of = {}
+    for model, item in rows(pool, "model", "sample_id"):
+        of.setdefault(model, []).append(item)
+    assert of["j"] == of[judges[69]] == ["i10", "i6", "i7", "i8", "i9"] and len(of[judges[5]]) == 11 and len(of) == 71
+    flags = subsets.case_flags(main, swapped)
+    bits = subsets._per_judge(subsets.case_bits(main, swapped, judges), judges, "sample_id").filter("model = 'j'")
+    assert rows(bits, "sample_id", "incorrect", "unstable", "tested") == rows(flags, "sample_id", "incorrect", "unstable", "tested")
+    assert subsets.control_pool(table, main, swapped, []).count() == 0
+
+
+def test_silent_judges_are_named(spark):
+    main, swapped = verdicts(spark)
+    assert rows(subsets.silent_judges(["j", "k", "l"], main, swapped)) == [("k", 0), ("l", 0)]
