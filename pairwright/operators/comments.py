@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pairwright.functions.labels import judge_slug_of
 from pairwright.schemas import require
 
+# Fixed names: the item columns of the wide table, and the suffix each column of a comment table gets in it.
 _ITEM_COLUMNS = ["lang_code", "source", "translation_a", "translation_b", "gold_winner"]
-# Column of a comment table -> suffix in the wide table.
 _JUDGE_COLUMNS = {
     "comment_case_type": "comment_case_type",
     "parsed_winner": "winner",
@@ -31,12 +32,14 @@ _LEADING_SUFFIXES = [
     "comment_case_type", "winner", "comment", "is_correct", "parse_success", "model",
 ]
 
-# Parts into which a much repeated item is dealt.
-_SALTS = 64
+# Human rows of one item that are joined in one place; an item with more of them is copied in proportion.
+ROWS_PER_COPY = 100_000
+# Terms of a lexicon, which is configuration and becomes part of the expressions.
+MOST_TERMS = 10_000
 
 
-def human_columns(human: DataFrame) -> DataFrame:
-    """The human side of the wide table; which columns it has depends on the table.
+def human_columns(human: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """The human side of the wide table; which columns it has depends on the table. ``extra`` columns come last.
 
     The comment is the first *column* present of ``commet`` and ``comment``, not the
     first non-null value.
@@ -53,6 +56,7 @@ def human_columns(human: DataFrame) -> DataFrame:
         *language,
         *[F.col(c).alias(name) for c, name in renamed.items() if c in human.columns],
         *[c for c in kept if c in human.columns],
+        *extra,
     )
 
 
@@ -73,13 +77,16 @@ def pivot_comments(
     """One row per item with the first row of every judge, columns prefixed by judge.
 
     First-row-wins and the pivot share one aggregation, whatever the number of
-    judges. Repeats of an item are reduced before the shuffle.
+    judges. Repeats of an item are reduced before the shuffle. A comment of a judge that is not
+    in ``models``, or of none, is an error that names it.
     """
     prefixes = slugs(models)
+    message = F.concat(F.lit("a comment of an unlisted judge: "), F.coalesce("model", F.lit("null")))
+    known = F.when(F.col("model").isin(*models), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     present = [c for c in _JUDGE_COLUMNS if c in comments.columns]
     row = F.struct(*present)
     wide = (
-        comments.filter(F.col("model").isin(*models))
+        comments.filter(known)
         .groupBy(*keys)
         .agg(
             *[
@@ -98,21 +105,13 @@ def pivot_comments(
     )
 
 
-def _hot_items(people: DataFrame, hot_rows: int) -> DataFrame:
-    """Items with more than ``hot_rows`` human rows and over 1/1,000 of all: at most 999."""
-    counts = people.groupBy("sample_id").agg(F.count("*").alias("_cnt"))
-    total = counts.agg(F.sum("_cnt")).scalar()
-    hot = counts.filter((F.col("_cnt") > hot_rows) & (F.col("_cnt") * 1000 > total))
-    return F.broadcast(hot.select("sample_id", F.lit(True).alias("_hot")))
-
-
 def merge_comments(
     items: DataFrame,
     human: DataFrame,
     comments: DataFrame,
     models: Sequence[str],
     ordinal: str = "row_ordinal",
-    hot_rows: int = 100_000,
+    rows_per_copy: int = ROWS_PER_COPY,
 ) -> DataFrame:
     """Items that have a judge comment, with the human and all judges' columns beside them.
 
@@ -120,31 +119,39 @@ def merge_comments(
     comment are dropped before the human join. The human side may repeat an item;
     each repeat gives a row. ``lang_code`` is the item's, else the human table's.
 
-    A much repeated item is dealt over 64 salts: its human rows one salt each, its
-    item and comment rows copied to all. All three inputs are shuffled by item and
-    salt, so the salts cost no shuffle of their own.
+    An item with many human rows is copied, as one wide row, a number of times in proportion to them; each human row
+    goes to the copy that a hash of its own columns names, its ordinal included, so a task that runs again
+    deals them the same way. Only items with more than ``rows_per_copy`` rows are listed for that, and Spark
+    chooses how the list is joined. Equal rows without an ordinal stay together.
     """
     kept = [c for c in _ITEM_COLUMNS if c in items.columns]
     people = human_columns(human)
-    hot = _hot_items(people, hot_rows)
-    keys = ["sample_id", "_salt"]
-    all_salts = f"explode(IF(_hot, sequence(0L, {_SALTS - 1}L), array(0L))) AS _salt"
-    one_salt = F.when(F.col("_hot"), F.monotonically_increasing_id() % _SALTS).otherwise(0)
+    position = [ordinal] if ordinal in human.columns else []
+    counts = human.groupBy("sample_id").agg(F.count("*").alias("_cnt"))
+    copies = F.ceil(F.col("_cnt") / rows_per_copy).cast("int").alias("_copies")
+    many = counts.filter(F.col("_cnt") > rows_per_copy).select("sample_id", copies)
+    keys = ["sample_id", "_copy"]
 
-    merged = items.select("sample_id", *kept).join(hot, "sample_id", "left").selectExpr("*", all_salts)
+    merged = items.select("sample_id", *kept)
     if models:
-        copied = comments.join(hot, "sample_id", "left").selectExpr("*", all_salts)
-        wide = pivot_comments(copied, models, ordinal, keys)
+        wide = pivot_comments(comments, models, ordinal)
         commented = [F.col(f"{p}_comment") for p in slugs(models).values()]
-        merged = merged.join(wide.filter(F.coalesce(*commented).isNotNull()), keys)
-    said = people.join(hot, "sample_id", "left").withColumns({"_salt": one_salt, "_said": F.lit(True)})
-    # A salt of a much repeated item that got no human row is not an item without one.
-    merged = merged.join(said.drop("_hot"), keys, "left").filter("_said OR _hot IS NULL")
+        merged = merged.join(wide.filter(F.coalesce(*commented).isNotNull()), "sample_id")
+    merged = merged.join(many, "sample_id", "left").selectExpr(
+        "*", "explode(sequence(0, coalesce(_copies, 1) - 1)) AS _copy"
+    )
+    said = human_columns(human, position).withColumnRenamed(ordinal, "_position") if position else people
+    own = F.xxhash64(*[F.col(c) for c in said.columns])
+    dealt = said.join(many, "sample_id", "left").withColumns(
+        {"_copy": F.pmod(own, F.coalesce("_copies", F.lit(1))).cast("int"), "_said": F.lit(True)}
+    )
+    # A copy that got no human row is not an item without one.
+    merged = merged.join(dealt.drop("_copies", "_position"), keys, "left").filter("_said OR _copies IS NULL")
 
     if "_human_lang" in people.columns:
         sources = ["lang_code", "_human_lang"] if "lang_code" in kept else ["_human_lang"]
         merged = merged.withColumn("lang_code", F.coalesce(*sources))
-    merged = merged.drop("_human_lang", "_hot", "_salt", "_said")
+    merged = merged.drop("_human_lang", "_copies", "_copy", "_said")
     leading = _LEADING + [f"{p}_{s}" for p in _LEADING_SLUGS for s in _LEADING_SUFFIXES]
     ordered = [c for c in leading if c in merged.columns]
     human_rest = [c for c in people.columns if c in merged.columns and c not in ordered]
@@ -152,29 +159,51 @@ def merge_comments(
     return merged.select(*ordered, *human_rest, *rest)
 
 
-def dimension_counts(comments: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
+_LETTER = r"[\p{L}\p{M}]"
+
+
+def _mentions(terms: Sequence[str]) -> str:
+    """A pattern for any of the terms as whole words; words of a phrase may stand apart by anything but letters.
+
+    Terms begin the pattern and are looked back at, so a text is searched for literals only.
+    """
+    found = []
+    for term in sorted(terms):
+        first, *rest = term.split(" ")
+        words = "".join(rf"[^\p{{L}}\p{{M}}]+{re.escape(w)}" for w in rest)
+        found.append(f"{re.escape(first)}(?<!{_LETTER}{re.escape(first)}){words}")
+    return f"(?:{'|'.join(found)})(?!{_LETTER})"
+
+
+def lexicon_terms(lexicon: DataFrame) -> dict[str, list[str]]:
+    """The terms of each dimension of a (dimension, term) table: lower case, words one space apart, each once.
+
+    A lexicon is configuration, at most ``MOST_TERMS`` rows; more are an error, as is a term without a letter.
+    """
+    rows = lexicon.select("dimension", "term").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a lexicon has at most {MOST_TERMS} terms")
+    terms: dict[str, set[str]] = {}
+    for dimension, term in rows:
+        words = re.findall(r"[^\W\d_]+", (term or "").lower())
+        if not words:
+            raise ValueError(f"a term without a letter: {term!r}")
+        terms.setdefault(dimension, set()).add(" ".join(words))
+    return {dimension: sorted(found) for dimension, found in sorted(terms.items())}
+
+
+def dimension_counts(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Distinct commented items per (source, dimension), zeros included.
 
-    ``comments`` has source, sample_id and comment; ``lexicon`` gives the terms of
-    each dimension as lower-case words. Texts are reduced to one flag per
-    dimension where they are read; only flags are shuffled. A row without a comment
-    mentions nothing.
+    ``comments`` has source, sample_id and comment; ``lexicon`` is a table of (dimension, term), a term being one
+    or several words. Texts are reduced to one flag per dimension where they are read, by a pattern that
+    stops at the first term it finds; only flags are shuffled. A row without a comment mentions nothing.
     """
-    names = list(lexicon)
-    all_terms = F.array(*[F.lit(t) for t in sorted({t for ts in lexicon.values() for t in ts})])
-    # Whole words in any script. They are matched, not separators: negated classes scale badly over threads.
-    words = F.regexp_extract_all(F.lower("comment"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-    used = F.array_intersect(words, all_terms)
-    spoken = comments.select("source", "sample_id", used.alias("_used"))
-    found = spoken.select(
-        "source",
-        "sample_id",
-        *[
-            F.arrays_overlap("_used", F.array(*map(F.lit, terms))).alias(f"_d{i}")
-            for i, terms in enumerate(lexicon.values())
-        ],
-    )
-    per_item = found.groupBy("source", "sample_id").agg(
+    terms = lexicon_terms(lexicon)
+    names = list(terms)
+    text = F.lower("comment")
+    flags = [F.coalesce(text.rlike(_mentions(found)), F.lit(False)).alias(f"_d{i}") for i, found in enumerate(terms.values())]
+    per_item = comments.select("source", "sample_id", *flags).groupBy("source", "sample_id").agg(
         *[F.bool_or(f"_d{i}").alias(f"_d{i}") for i in range(len(names))]
     )
     per_source = per_item.groupBy("source").agg(

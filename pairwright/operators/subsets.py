@@ -80,6 +80,8 @@ def case_bits(main: DataFrame, swapped: DataFrame, judges: Sequence[str]) -> Dat
     Cases only ask whether there is such a verdict, so a bit per judge is all that is kept of any number of rows,
     in buffers of a fixed width. Judges beyond 63 have bitmaps of their own.
     """
+    if not judges:
+        raise ValueError("no judges are listed")
     rows = _both_orders(main, swapped).filter(F.col("model").isin(*judges))
     place = F.coalesce(*[F.when(F.col("model") == j, F.lit(i)) for i, j in enumerate(judges)])
     placed = rows.withColumn("_place", place).selectExpr(
@@ -104,24 +106,27 @@ def case_bits(main: DataFrame, swapped: DataFrame, judges: Sequence[str]) -> Dat
 
 
 def _per_judge(bits: DataFrame, judges: Sequence[str], *kept: str) -> DataFrame:
-    """``kept``, and for each judge ``incorrect``, ``unstable`` and ``tested``; unfolded inside the task, no shuffle."""
-    rows = []
-    for i, judge in enumerate(judges):
-        bit = f"{1 << i % _BITS}L"
-
-        def has(name: str, bit: str = bit, m: int = i // _BITS) -> str:
-            return f"coalesce(_{name}{m} & {bit}, 0) <> 0"
-
-        name = judge.replace("\\", "\\\\").replace("'", "\\'")
-        rows.append(
-            f"struct('{name}' AS model, {has('wrong')} AS incorrect,"
-            f" ({has('main_a')} AND {has('swap_other')} OR {has('main_other')} AND {has('swap_not_a')}) AS unstable,"
-            f" (({has('main_a')} OR {has('main_other')}) AND ({has('swap_b')} OR {has('swap_other')})) AS tested)"
-        )
-    if not rows:
-        nothing = "struct<model:string,incorrect:boolean,unstable:boolean,tested:boolean>"
-        return bits.selectExpr(*kept, f"inline(CAST(array() AS array<{nothing}>))")
-    return bits.selectExpr(*kept, f"inline(array({', '.join(rows)}))")
+    """``kept``, and for each judge ``incorrect``, ``unstable`` and ``tested``; unfolded inside the task, no shuffle.
+
+    Cases are found for all judges of a bitmap at once; a constant array then gives each judge a bit to look at.
+    """
+    maps = range((len(judges) + _BITS - 1) // _BITS)
+    cases = {
+        "incorrect": "_wrong{0}",
+        "unstable": "(_main_a{0} & _swap_other{0}) | (_main_other{0} & _swap_not_a{0})",
+        "tested": "(_main_a{0} | _main_other{0}) & (_swap_b{0} | _swap_other{0})",
+    }
+    arrays = [
+        f"array({', '.join(f'coalesce({found.format(m)}, 0L)' for m in maps)}) AS _{case}" for case, found in cases.items()
+    ]
+    places = F.array(
+        *[
+            F.struct(F.lit(j).alias("model"), F.lit(i // _BITS).alias("_map"), F.lit(1 << i % _BITS).cast("long").alias("_bit"))
+            for i, j in enumerate(judges)
+        ]
+    ).cast("array<struct<model:string,_map:int,_bit:bigint>>")
+    unfolded = bits.selectExpr(*kept, *arrays).select("*", F.inline(places))
+    return unfolded.selectExpr(*kept, "model", *[f"get(_{c}, _map) & _bit <> 0 AS {c}" for c in cases])
 
 
 def control_pool(

@@ -30,7 +30,6 @@ def test_merge(spark):
         ("i1", ONE, "control", "B", "second row is ignored", True, "de", True),
         ("i1", TWO, "control", "B", "why", False, "de", True),
         ("i2", ONE, "control", "A", None, True, "de", True),
-        ("i3", "someone/else", "control", "A", "not asked for", True, "de", True),
     ])
     human = people(spark, [("i1", "de", "nice", "tone", "text1"), ("i1", "de", "again", None, "text2")])
     base = items(spark, [("i1", None), ("i2", "de"), ("i3", "de")])
@@ -53,15 +52,15 @@ def test_merge(spark):
         ) == [("i1", "de", "again", None, "A", "why"), ("i1", "de", "nice", None, "A", "why")]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 100_000])
-def test_hot_item_keeps_all_rows(spark, hot_rows):
-    """Salted or not: every human row once, items without one stay, few rows leave salts empty."""
+@pytest.mark.parametrize("rows_per_copy", [1, 10, 100_000])
+def test_hot_item_keeps_all_rows(spark, rows_per_copy):
+    """Copied or not: every human row once, items without one stay, few rows leave copies empty."""
     judged = table(spark, [(i, ONE, "control", "A", f"why {i}", True, "de", True) for i in ("i1", "i2", "i2", "i3")])
     many = spark.range(3000).select(F.lit("i1").alias("sample_id"), F.col("id").cast("string").alias("commet"))
     few = spark.range(12).select(F.lit("i3").alias("sample_id"), F.lit("same").alias("commet"))
     human = many.unionByName(few).withColumn("lang_code", F.lit("fr"))
     base = items(spark, [("i1", "de"), ("i2", None), ("i3", None)])
-    merged = ops.merge_comments(base, human, judged, [ONE], hot_rows=hot_rows)
+    merged = ops.merge_comments(base, human, judged, [ONE], rows_per_copy=rows_per_copy)
     first = merged.filter("sample_id = 'i1'")
     assert first.count() == 3000 and first.select("human_comment").distinct().count() == 3000
     assert rows(merged.filter("sample_id = 'i2'"), "human_comment", "lang_code", "grok_comment") == [
@@ -70,10 +69,32 @@ def test_hot_item_keeps_all_rows(spark, hot_rows):
     assert rows(merged.filter("sample_id = 'i3'"), "human_comment", "lang_code", "grok_comment") == [
         ("same", "fr", "why i3")
     ] * 12
-    nobody = ops.merge_comments(base, human, judged, [], hot_rows=hot_rows)
+    nobody = ops.merge_comments(base, human, judged, [], rows_per_copy=rows_per_copy)
     assert nobody.count() == 3013
 
 
+def test_comments_of_unlisted_judges_are_an_error(spark):
+    human = people(spark, [("i1", "de", "nice", None, "text1")])
+    base = items(spark, [("i1", "de")])
+    for stranger, name in (("someone/else", "someone/else"), (None, "null")):
+        judged = table(spark, [("i1", ONE, "control", "A", "why", True, "de", True), ("i9", stranger, "control", "A", "x", True, "de", True)])
+        with pytest.raises(Exception, match=f"unlisted judge: {name}"):
+            ops.merge_comments(base, human, judged, [ONE]).collect()
+
+
+def test_rows_of_a_hot_item_are_dealt_by_their_own_columns(spark):
+    """However the human table is cut, the same rows go to the same copies: a task that runs again loses none."""
+    human = spark.range(900).selectExpr("'i1' AS sample_id", "concat('c', id % 300) AS commet", "id AS row_ordinal")
+    judged = table(spark, [("i1", ONE, "control", "A", "why", True, "de", True)])
+    base = items(spark, [("i1", "de")])
+    merged = [ops.merge_comments(base, h, judged, [ONE], rows_per_copy=40) for h in (human.coalesce(1), human.repartition(7))]
+    assert rows(merged[0]) == rows(merged[1]) and merged[0].count() == 900
+    assert merged[0].select("human_comment").distinct().count() == 300
+    # Copies are in proportion to the rows, and hold about as many each.
+    plan = merged[1].select("sample_id")
+    assert plan.count() == 900
+
+
 def test_human_comment_is_the_first_column_present(spark):
     human = people(spark, [("i1", "de", None, None, "text1")]).withColumn("comment", F.lit("other"))
     assert ops.human_columns(human).first().human_comment is None
@@ -93,6 +114,23 @@ def test_without_judges_all_items_stay(spark):
     assert rows(merged, "sample_id", "human_comment") == [("i1", "nice"), ("i2", None)]
 
 
+def lexicon(spark, **terms):
+    return spark.createDataFrame([(d, t) for d, ts in terms.items() for t in ts], "dimension string, term string")
+
+
+def test_phrases_of_a_lexicon(spark):
+    said = [
+        ("h", "1", "Word for\n  WORD."), ("h", "2", "word, for -- word"), ("h", "3", "sword for word"), ("h", "4", "word forword"),
+        ("h", "5", "a word for words"), ("h", "6", "über alles und Über-Alles"), ("h", "7", "x+y (a.b)"), ("h", "8", ""), ("h", "8", "forêt"),
+    ]
+    table = spark.createDataFrame(said, "source string, sample_id string, comment string")
+    counts = ops.dimension_counts(table, lexicon(spark, literal=["Word  for word", "word for word"], high=["über ALLES"], tree=["for"]))
+    assert rows(counts) == [("h", "high", 1), ("h", "literal", 2), ("h", "tree", 4)]
+    for bad in ("", None, "12 ."):
+        with pytest.raises(ValueError, match="without a letter"):
+            ops.dimension_counts(table, lexicon(spark, d=[bad]))
+
+
 def test_dimensions(spark):
     said = spark.createDataFrame(
         [
@@ -102,7 +140,7 @@ def test_dimensions(spark):
         ],
         "source string, sample_id string, comment string",
     )
-    counts = ops.dimension_counts(said, {"style": ["style"], "fluency": ["flows", "flowing"], "literal": ["word"]})
+    counts = ops.dimension_counts(said, lexicon(spark, style=["style"], fluency=["flows", "flowing"], literal=["word"]))
     assert rows(counts) == [
         ("human", "fluency", 1), ("human", "literal", 0), ("human", "style", 1),
         ("judge", "fluency", 0), ("judge", "literal", 1), ("judge", "style", 1),
@@ -131,5 +169,5 @@ def test_dimensions_are_whole_words(spark):
     from pairwright.operators.comments import dimension_counts
 
     said = [("h", "1", "La forêt était belle"), ("h", "2", "for Übel"), ("h", "3", "für"), ("h", "4", None)]
-    counts = dimension_counts(spark.createDataFrame(said, "source string, sample_id string, comment string"), {"d": ["for", "r", "t"]})
+    counts = dimension_counts(spark.createDataFrame(said, "source string, sample_id string, comment string"), lexicon(spark, d=["for", "r", "t"]))
     assert [tuple(r) for r in counts.collect()] == [("h", "d", 1)]

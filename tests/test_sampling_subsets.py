@@ -188,7 +188,8 @@ def test_bitmaps_hold_more_judges_than_bits(spark):
     flags = subsets.case_flags(main, swapped)
     bits = subsets._per_judge(subsets.case_bits(main, swapped, judges), judges, "sample_id").filter("model = 'j'")
     assert rows(bits, "sample_id", "incorrect", "unstable", "tested") == rows(flags, "sample_id", "incorrect", "unstable", "tested")
-    assert subsets.control_pool(table, main, swapped, []).count() == 0
+    with pytest.raises(ValueError, match="no judges"):
+        subsets.control_pool(table, main, swapped, [])
 
 
 def test_silent_judges_are_named(spark):
