@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,14 +21,65 @@ from pairwright.schemas import COMMENTS, JUDGMENTS
 Judge = Callable[[str, str, str], str | None]
 
 
+# Replies handed on at once.
+CHUNK_ROWS = 32
+
+
+def answering(
+    make_judge: Callable[[], Judge], names: Sequence[str], concurrency: int = 1, pause: float = 0.0, rows: int = CHUNK_ROWS
+) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function over batches of requests that yields ``names`` with replies and errors, ``rows`` at a time.
+
+    Calls of several threads begin at least ``pause`` seconds apart. No call begins before the last rows are handed on.
+    All of it is nested, so that it travels to the workers by value: they need not have this package.
+    """
+
+    def answer_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = make_judge()
+        lock, begin = threading.Lock(), [0.0]
+
+        def wait() -> None:
+            with lock:
+                now = time.monotonic()
+                turn = max(begin[0], now)
+                begin[0] = turn + pause
+            time.sleep(turn - now)
+
+        def one(call: tuple[str, str, str]) -> tuple[str | None, str | None]:
+            if pause > 0:
+                wait()
+            try:
+                return judge(*call), None
+            except Exception as failure:
+                return None, str(failure)
+
+        with ThreadPoolExecutor(concurrency) as threads:
+            for batch in batches:
+                for at in range(0, len(batch), rows):
+                    chunk = batch.iloc[at : at + rows]
+                    calls = zip(chunk["model"], chunk["system_prompt"], chunk["user_message"], strict=True)
+                    found = list(threads.map(one, calls))
+                    answered = chunk[list(names)].copy()
+                    for i, name in enumerate(("raw_response", "error")):
+                        answered[name] = pd.Series([f[i] for f in found], index=chunk.index, dtype="object")
+                    yield answered
+
+    return answer_all
+
+
 def collect_replies(
-    requests: DataFrame, make_judge: Callable[[], Judge], parallelism: int | None = None, pause: float = 0.0
+    requests: DataFrame,
+    make_judge: Callable[[], Judge],
+    parallelism: int | None = None,
+    pause: float = 0.0,
+    concurrency: int = 1,
 ) -> DataFrame:
     """Requests with ``raw_response`` and ``error`` in place of the texts sent.
 
     ``make_judge`` is called once per task, on the worker, so a client need not be
-    shippable. A failing call becomes a row with ``error``; the run goes on. The
-    rate is at most ``parallelism`` calls per ``pause`` seconds.
+    shippable; with ``concurrency`` it is called from so many threads of the task. A failing call
+    becomes a row with ``error``; the run goes on. The rate is at most ``parallelism`` calls per ``pause``
+    seconds, whatever the threads. Replies leave a task some tens of rows at a time.
 
     Replies cost money: write the result to storage and parse what was written,
     so that later steps never call the judge again; send what a lost run left
@@ -38,31 +91,8 @@ def collect_replies(
     out = T.StructType(
         [*kept, T.StructField("raw_response", T.StringType()), T.StructField("error", T.StringType())]
     )
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = make_judge()
-        for batch in batches:
-            replies: list[str | None] = []
-            errors: list[str | None] = []
-            for model, prompt, message in zip(
-                batch["model"], batch["system_prompt"], batch["user_message"], strict=True
-            ):
-                reply = error = None
-                try:
-                    reply = judge(model, prompt, message)
-                except Exception as failure:
-                    error = str(failure)
-                replies.append(reply)
-                errors.append(error)
-                if pause > 0:
-                    time.sleep(pause)
-            answered = batch[names].copy()
-            answered["raw_response"] = pd.Series(replies, index=batch.index, dtype="object")
-            answered["error"] = pd.Series(errors, index=batch.index, dtype="object")
-            yield answered
-
     spread = requests.repartition(parallelism) if parallelism else requests
-    return spread.mapInPandas(call, out)
+    return spread.mapInPandas(answering(make_judge, names, concurrency, pause, max(CHUNK_ROWS, concurrency)), out)
 
 
 def judgments_from_replies(replies: DataFrame, strict: bool = False) -> DataFrame:

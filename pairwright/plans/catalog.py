@@ -23,7 +23,7 @@ from pairwright.operators import comments as comment_ops
 from pairwright.operators import items as item_ops
 from pairwright.operators import judging, metrics, pairing, sampling, subsets
 from pairwright.plans import views
-from pairwright.plans.views import CONDITIONS, CONFIG, JUDGES, LEXICON, MAIN, MINIMAL, PROMPTS, SWAPPED
+from pairwright.plans.views import CONDITIONS, CONFIG, JUDGES, MAIN, MINIMAL, PROMPTS, SWAPPED
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
@@ -145,6 +145,25 @@ def run_judges(spark, sf):
     return judging.judgments_from_replies(judging.collect_replies(requests, make_judge))
 
 
+@_query
+def run_comment_judges(spark, sf):
+    """A run for comments on items that carry a case label."""
+
+    def make_judge():
+        def judge(model, prompt, message):
+            digit = hashlib.md5(f"{model}|{message}".encode()).hexdigest()[0]
+            if digit == "f":
+                raise RuntimeError("429 Too Many Requests")
+            return f'{{"winner":"{"A" if digit < "8" else "B"}","comment":"because of {digit}"}}'
+
+        return judge
+
+    case = F.expr(f"get(array('incorrect', 'unstable', 'control'), {views.bucket('case', 'sample_id', 3)})")
+    picked = _items(spark, sf).withColumn("comment_case_type", case)
+    requests = item_ops.judge_requests(picked, ROSTER, "comment", PROMPTS["comment"])
+    return judging.comments_from_replies(judging.collect_replies(requests, make_judge, concurrency=4))
+
+
 @_query
 def pending_requests(spark, sf):
     pending = judging.pending_requests(
@@ -414,6 +433,17 @@ def merge_comments(spark, sf):
     return comment_ops.merge_comments(_items(spark, sf), people, _comments(spark, sf), JUDGES)
 
 
+@_query
+def merge_comments_hot(spark, sf):
+    """A third of the human rows are about one item."""
+    people = views.human(spark, sf)
+    first = people.agg(F.min_by("sample_id", "row_ordinal")).first()[0]
+    hot = F.expr(f"{views.bucket('hot', 'sample_id', 3)} = 0")
+    people = people.withColumn("sample_id", F.when(hot, F.lit(first)).otherwise(F.col("sample_id")))
+    merged = comment_ops.merge_comments(_items(spark, sf), people, _comments(spark, sf), JUDGES, rows_per_copy=50)
+    return merged.select("sample_id", "human_comment", "human_issues", "choice", "north_judge_1_0_winner")
+
+
 def _dimension_counts(spark: SparkSession, sf: str) -> DataFrame:
     people = views.human(spark, sf).select(
         F.lit("human").alias("source"), "sample_id", F.col("commet").alias("comment")
@@ -421,7 +451,7 @@ def _dimension_counts(spark: SparkSession, sf: str) -> DataFrame:
     judges = _comments(spark, sf).select(
         judge_slug(F.col("model")).alias("source"), "sample_id", "comment"
     )
-    return comment_ops.dimension_counts(people.unionByName(judges), LEXICON)
+    return comment_ops.dimension_counts(people.unionByName(judges), views.lexicon(spark))
 
 
 @_query

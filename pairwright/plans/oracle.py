@@ -8,6 +8,7 @@ lgamma where it multiplies ratios.
 from __future__ import annotations
 
 from pairwright.functions.labels import KNOWN_SLUGS
+from pairwright.functions.parsing import _SPACES
 from pairwright.operators.items import judge_list
 from pairwright.operators.subsets import JUDGE_QUOTAS, SHARED_QUOTAS
 from pairwright.plans.catalog import SAMPLE_N, SEED
@@ -22,13 +23,27 @@ def _bucket(salt: str, key: str, size: int) -> str:
     return f"(('0x' || substr(md5('{salt}/' || {key}), 1, 8))::BIGINT % {size})"
 
 
-_WORDS = "array_to_string(regexp_extract_all({}, '[A-Za-z]+'), ' ')"
+_SAID = r"regexp_replace({}, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')"
+
+
+def _escaped(text: str) -> str:
+    """A text inside a JSON string."""
+    for raw, escape in (
+        ("chr(92)", "chr(92) || chr(92)"), ("'\"'", "chr(92) || '\"'"), ("chr(10)", "chr(92) || 'n'"),
+        ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'"),
+    ):
+        text = f"replace({text}, {raw}, {escape})"
+    return text
+
+
+# Every character that is stripped from both ends of a comment.
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in _SPACES)
 
 _HUMAN = f"""
 ids AS (SELECT *, 's_' || lang || '_' || doc_id::VARCHAR AS sample_id FROM documents),
 chosen AS (
   SELECT *, {_bucket("choice", "sample_id", 100)} AS mood,
-    CASE WHEN {_bucket("cm", "sample_id", 10)} >= 3 THEN {_WORDS.format("text")} END AS commet FROM ids),
+    CASE WHEN {_bucket("cm", "sample_id", 10)} >= 3 THEN {_SAID.format("text")} END AS commet FROM ids),
 human AS (
   SELECT sample_id, lang AS lang_code, text AS source,
     replace(text, chr(10), ' ') AS text1, replace(text, ', ', ' ') AS text2,
@@ -109,7 +124,7 @@ minimal AS (SELECT * FROM judged WHERE parse_success AND prompt_version = 'minim
 _COMMENTS = f"""{_CALLS},
 shaped AS (
   SELECT *, {_bucket("cfmt", "key", 100)} AS shape,
-    {_WORDS.format("source")} AS words,
+    {_escaped(_SAID.format("source"))} AS words,
     '{{"winner":"' || side || '","comment":"' AS head
   FROM sided WHERE prompt_version = 'main' AND NOT swap_order),
 comment_replies AS (
@@ -129,7 +144,7 @@ comment_steps AS (
 comments AS (
   SELECT * EXCLUDE (w_json, c_json, w_key, c_key),
     CASE WHEN w_json IN ('A', 'B') THEN w_json ELSE w_key END AS parsed_winner,
-    CASE WHEN w_json IN ('A', 'B') THEN c_json ELSE trim(c_key, ' ' || chr(10)) END AS comment
+    CASE WHEN w_json IN ('A', 'B') THEN c_json ELSE trim(c_key, {_BLANKS}) END AS comment
   FROM comment_steps)"""
 
 
@@ -310,10 +325,12 @@ said AS (
   UNION ALL SELECT {_slug("model")}, sample_id, comment FROM comments),
 lexicon AS ({_MENTIONS}),
 worded AS (
-  SELECT source, sample_id, regexp_extract_all(lower(comment), '[\\p{{L}}\\p{{M}}]+') AS words
+  SELECT source, sample_id,
+    ' ' || array_to_string(regexp_extract_all(lower(comment), '[\\p{{L}}\\p{{M}}]+'), ' ') || ' ' AS words
   FROM said WHERE comment IS NOT NULL),
 dims AS (
-  SELECT source, dimension, count(DISTINCT sample_id) FILTER (list_has_any(words, terms)) AS cnt
+  SELECT source, dimension, count(DISTINCT sample_id) FILTER (
+    len(list_filter(terms, lambda term: contains(words, ' ' || term || ' '))) > 0) AS cnt
   FROM worded, lexicon GROUP BY ALL),
 shares AS (
   SELECT source, dimension, cnt, cnt / nullif(sum(cnt) OVER (PARTITION BY source), 0) AS share FROM dims)"""
@@ -400,6 +417,16 @@ scored AS (
 SELECT sample_id, lang_code, model, tier, prompt_version, swap_order, gold_winner, parsed_winner,
   parsed_winner IS NOT NULL AS parse_success, parsed_winner = gold_winner AS is_correct,
   '{{"winner":"' || parsed_winner || '"}}' AS raw_response,
+  CASE WHEN digit = 'f' THEN '429 Too Many Requests' END AS error FROM scored""",
+        "run_comment_judges": f"""WITH {_STUB},
+scored AS (
+  SELECT *, CASE WHEN digit = 'f' THEN NULL WHEN digit < '8' THEN 'A' ELSE 'B' END AS parsed_winner
+  FROM answered)
+SELECT sample_id, ['incorrect', 'unstable', 'control'][({_bucket("case", "sample_id", 3)} + 1)::INTEGER]
+    AS comment_case_type, lang_code, model, tier, 'comment' AS prompt_version, gold_winner, parsed_winner,
+  parsed_winner IS NOT NULL AS parse_success, parsed_winner = gold_winner AS is_correct,
+  CASE WHEN digit <> 'f' THEN 'because of ' || digit END AS comment,
+  '{{"winner":"' || parsed_winner || '","comment":"because of ' || digit || '"}}' AS raw_response,
   CASE WHEN digit = 'f' THEN '429 Too Many Requests' END AS error FROM scored""",
         "pending_requests": f"""WITH {_JUDGED}
 SELECT sample_id, lang_code, model, tier, prompt_version, swap_order FROM judged
@@ -520,6 +547,16 @@ pool AS (
 {_cases(SHARED_QUOTAS, "")}
 SELECT sample_id, lang_code, gold_winner, comment_case_type FROM items JOIN labelled USING (sample_id)""",
         "merge_comments": _merged(),
+        "merge_comments_hot": f"""WITH {_COMMENTS},
+hot AS (SELECT arg_min(sample_id, doc_id) AS first FROM human),
+people AS (
+  SELECT CASE WHEN {_bucket("hot", "sample_id", 3)} = 0 THEN first ELSE sample_id END AS sample_id, commet, issues, choice
+  FROM human, hot),
+said AS (SELECT sample_id FROM comments WHERE comment IS NOT NULL GROUP BY sample_id)
+SELECT i.sample_id, p.commet AS human_comment, p.issues AS human_issues, p.choice,
+  c.parsed_winner AS north_judge_1_0_winner
+FROM items i JOIN said USING (sample_id) LEFT JOIN people p ON p.sample_id = i.sample_id
+LEFT JOIN comments c ON c.sample_id = i.sample_id AND c.model = {_text(JUDGES[0])}""",
         "dimension_counts": f"WITH {_DIMENSIONS} SELECT source, dimension, cnt FROM dims",
         "dimension_share": f"""WITH {_DIMENSIONS}
 SELECT source, dimension, cnt, round(share, 6) AS share FROM shares""",

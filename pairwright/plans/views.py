@@ -42,7 +42,7 @@ PROMPTS = {
 
 # Dimension -> terms that stand for it (frequent words of the documents).
 LEXICON = {
-    "faithfulness": ["that", "qui", "von"],
+    "faithfulness": ["that", "qui", "von", "in the", "de la"],
     "fluency": ["was", "pour", "zu"],
     "style": ["with", "avec", "ein"],
     "literalness": ["for", "sur", "que"],
@@ -53,6 +53,11 @@ LEXICON = {
 }
 
 
+def lexicon(spark: SparkSession) -> DataFrame:
+    rows = [(dimension, term) for dimension, terms in LEXICON.items() for term in terms]
+    return spark.createDataFrame(rows, "dimension string, term string")
+
+
 def bucket(salt: str, key: str, size: int) -> str:
     """SQL for a hash of ``key`` below ``size``."""
     return f"CAST(conv(substr(md5(concat('{salt}/', {key})), 1, 8), 16, 10) AS BIGINT) % {size}"
@@ -78,8 +83,16 @@ def languages(spark: SparkSession, sf_dir: str) -> list[str]:
     return sorted(r[0] for r in found if r[0] is not None)
 
 
-def _words(text: str) -> str:
-    return f"array_join(regexp_extract_all({text}, '(?i)[a-z]+', 0), ' ')"
+def _said(text: str) -> str:
+    """SQL for a whole text as a comment; rare control characters become blanks."""
+    return f"regexp_replace({text}, '[\\\\x00-\\\\x08\\\\x0b\\\\x0c\\\\x0e-\\\\x1f]', ' ')"
+
+
+def _escaped(text: str) -> str:
+    """SQL for a text inside a JSON string."""
+    for raw, escape in (("\\\\", "\\\\\\\\"), ('"', '\\\\"'), ("\\n", "\\\\n"), ("\\r", "\\\\r"), ("\\t", "\\\\t")):
+        text = f"replace({text}, '{raw}', '{escape}')"
+    return text
 
 
 def human(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +112,7 @@ def human(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"IF(mood < 99 AND (mood < 52) = ({bucket('gold', 'sample_id', 100)} >= 5), 'text1', 'text2')"
             " AS gold",
             f"IF({bucket('issue', 'sample_id', 10)} < 2, 'tone', NULL) AS issues",
-            f"IF({bucket('cm', 'sample_id', 10)} >= 3, {_words('text')}, NULL) AS commet",
+            f"IF({bucket('cm', 'sample_id', 10)} >= 3, {_said('text')}, NULL) AS commet",
             "doc_id AS row_ordinal",
         )
         .withColumn("comment_len", F.length("commet"))
@@ -120,7 +133,7 @@ def _calls(spark: SparkSession, sf_dir: str, conditions: Sequence[tuple[str, boo
         for prompt, swap in conditions
         for j, model in enumerate(JUDGES)
     )
-    annotated = human(spark, sf_dir).withColumn("commet", F.expr(_words("source")))
+    annotated = human(spark, sf_dir).withColumn("commet", F.expr(_escaped(_said("source"))))
     calls_per_item = build_items(annotated).withColumnRenamed("comment", "words")
     return (
         swap_items(
@@ -168,7 +181,7 @@ def judgments(
 
 
 def comment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unparsed replies with comments; the comment holds all words of the document."""
+    """Unparsed replies with comments; the comment is the whole text of the document."""
     raw = r"""CASE
         WHEN _shape < 60 THEN concat(_head, words, '"}')
         WHEN _shape < 70 THEN concat(_head, 'so \\"fine\\": ', words, '"}')

@@ -148,3 +148,54 @@ def test_only_open_requests_are_sent_again(spark):
     assert pending.columns == ops.judge_requests(table, ROSTER, "main", "sys").columns
     swapped = judging.pending_requests(table, ROSTER, "main", "sys", done, swap=True)
     assert rows(swapped, "sample_id", "model") == [("i1", "org/one"), ("i1", "org/two"), ("i2", "org/two")]
+
+
+def test_replies_are_handed_on_before_later_calls_begin():
+    """What has been yielded is out of reach of a later call, even one that ends the task."""
+    import pandas as pd
+
+    made = []
+
+    def make_judge():
+        def judge(model, prompt, message):
+            made.append(message)
+            if message == "40":
+                raise SystemExit("the worker is lost")
+            return message
+
+        return judge
+
+    batch = pd.DataFrame({"model": "m", "system_prompt": "s", "user_message": [str(i) for i in range(60)]})
+    found = judging.answering(make_judge, ["user_message"], concurrency=4, rows=16)(iter([batch]))
+    first, second = next(found), next(found)
+    assert list(first.raw_response) + list(second.raw_response) == [str(i) for i in range(32)]
+    assert len(made) == 32
+    with pytest.raises(SystemExit):
+        next(found)
+
+
+def test_threads_share_one_pace():
+    import time
+
+    import pandas as pd
+
+    begun = []
+
+    def make_judge():
+        def judge(model, prompt, message):
+            begun.append(time.monotonic())
+            time.sleep(0.05)
+            if message == "3":
+                raise RuntimeError("429")
+            return message
+
+        return judge
+
+    batch = pd.DataFrame({"model": "m", "system_prompt": "s", "user_message": [str(i) for i in range(12)]})
+    start = time.monotonic()
+    (found,) = judging.answering(make_judge, ["user_message"], concurrency=6, pause=0.02)(iter([batch]))
+    took = time.monotonic() - start
+    assert found.raw_response.tolist() == [None if i == 3 else str(i) for i in range(12)]
+    assert found.error.tolist() == ["429" if i == 3 else None for i in range(12)]
+    # One at a time the calls alone would take 0.6 s; begun together they would take 0.1 s.
+    assert 0.22 < took < 0.6 and min(b - a for a, b in zip(sorted(begun), sorted(begun)[1:])) > 0.01
