@@ -11,8 +11,10 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Nodes of the integral over the part of the integrand above exp(-_DEPTH).
 _NODES = 96
@@ -173,3 +175,92 @@ def bootstrap_by_resampling(
 
     bounds = {"ci_lower": percentile(alpha / 2), "ci_upper": percentile(1 - alpha / 2)}
     return _in_steps(df, [_counts(n, k), bounds]).select(*by, "ci_lower", "ci_upper")
+
+
+def _poisson_cuts() -> list[int]:
+    """Of 2**32 equally likely numbers, how many stand for 0, for 1 or less, and so on, of a Poisson count of mean 1."""
+    cuts, mass, total = [], math.exp(-1), 0.0
+    for k in range(1, 14):
+        total += mass
+        cuts.append(int(total * 2**32))
+        mass /= k
+    return cuts
+
+
+# Replicates that one hash of a row gives weights for.
+_PER_HASH = 4
+
+
+def bootstrap_mean(
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    id_col: str = "sample_id",
+    n_boot: int = 200,
+    alpha: float = 0.05,
+    seed: int = 42,
+) -> DataFrame:
+    """Bootstrap bounds of the mean of a numeric column per group: (by, n, mean, ci_lower, ci_upper).
+
+    In each replicate a row counts a Poisson number of times, of mean 1, drawn from a hash of the seed, the replicate
+    and the row's id: that is resampling with replacement without a fixed size, and needs no row to know another. Weights
+    and weighted values are summed where rows are read, into ``n_boot`` sums a group; work is linear in rows,
+    and what is shuffled does not depend on them. Rows without a value drop out; rows that share an id share their weights.
+    ``n_boot`` is a multiple of four. Replicates in which no row of a group counts are left out.
+    """
+    if n_boot % _PER_HASH:
+        raise ValueError(f"n_boot must be a multiple of {_PER_HASH}")
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *by, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.col(value).cast("double").alias("_x")
+    )
+    hashed = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_boot // _PER_HASH - 1)))).withColumn(
+        "_md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col("_id")))
+    )
+    weights = {}
+    for j in range(_PER_HASH):
+        number = f"CAST(conv(substr(_md5, {8 * j + 1}, 8), 16, 10) AS BIGINT)"
+        steps = " ".join(f"WHEN {number} < {cut} THEN {k}" for k, cut in enumerate(_poisson_cuts()))
+        weights[f"_w{j}"] = F.expr(f"CASE {steps} ELSE {len(_poisson_cuts())} END")
+    sums = hashed.withColumns(weights).groupBy(*by, "_block").agg(
+        F.count("*").alias("n"),
+        F.sum("_x").alias("_sum"),
+        *[F.sum(f"_w{j}").alias(f"_n{j}") for j in range(_PER_HASH)],
+        *[F.sum(F.col(f"_w{j}") * F.col("_x")).alias(f"_s{j}") for j in range(_PER_HASH)],
+    )
+    means = F.array(*[F.try_divide(F.col(f"_s{j}"), F.col(f"_n{j}").cast("double")) for j in range(_PER_HASH)])
+    bounds = F.percentile("_mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return (
+        sums.select(*by, "n", "_sum", F.explode(means).alias("_mean"))
+        .groupBy(*by)
+        .agg(F.max("n").alias("n"), (F.max("_sum") / F.max("n")).alias("mean"), bounds.alias("_bounds"))
+        .select(*by, "n", "mean", F.col("_bounds")[0].alias("ci_lower"), F.col("_bounds")[1].alias("ci_upper"))
+    )
+
+
+def bootstrap_parity(
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    ordinal: str = "row_ordinal",
+    n_boot: int = 2000,
+    alpha: float = 0.05,
+    seed: int = 42,
+) -> DataFrame:
+    """(by, n, mean, ci_lower, ci_upper) as one seeded generator gives them, group by group in file order.
+
+    For comparing with recorded intervals: every group is resampled in one task, so groups must be small. Use
+    ``with_bootstrap_ci`` or ``bootstrap_mean`` for anything else. Rows without a value drop out.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(ordinal).alias("_at"), F.col(value).cast("double").alias("_x"))
+    out = T.StructType([df.schema[c] for c in by]).add("n", "long")
+    for name in ("mean", "ci_lower", "ci_upper"):
+        out = out.add(name, "double")
+
+    def resample(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        values = group.sort_values("_at")["_x"].to_numpy()
+        draw = np.random.default_rng(seed)
+        means = [values[draw.integers(0, len(values), len(values))].mean() for _ in range(n_boot)]
+        low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
+        return pd.DataFrame([(*key, len(values), values.mean(), low, high)], columns=out.names)
+
+    return rows.groupBy(*by).applyInPandas(resample, out)

@@ -82,9 +82,9 @@ def user_message(source: Column, a: Column, b: Column) -> Column:
 
 
 def judge_list(config: Mapping[str, Sequence[Mapping[str, str]]]) -> list[tuple[str, str]]:
-    """(name, tier) of every judge in a parsed config, groups in order."""
+    """(name, tier) of every judge in a parsed config, groups in order; no tier and a null one are ``unknown``."""
     return [
-        (judge["name"], judge.get("tier", "unknown"))
+        (judge["name"], "unknown" if judge.get("tier") is None else judge["tier"])
         for group in config.values()
         for judge in group
     ]

@@ -16,14 +16,17 @@ from pairwright.functions.labels import judge_slug, safe_name
 from pairwright.functions.parsing import parse_winner, parse_winner_comment, score
 from pairwright.functions.statistics import (
     bootstrap_by_resampling,
+    bootstrap_mean,
     with_binom_test,
     with_bootstrap_ci,
 )
 from pairwright.operators import comments as comment_ops
 from pairwright.operators import items as item_ops
 from pairwright.operators import judging, metrics, pairing, sampling, subsets
-from pairwright.plans import views
+from pairwright.plans import scratch, views
 from pairwright.plans.views import CONDITIONS, CONFIG, JUDGES, MAIN, MINIMAL, PROMPTS, SWAPPED
+from pairwright.schemas import JUDGMENTS
+from pairwright.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
@@ -125,6 +128,20 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
     return views.documents(spark, sf).select("doc_id", model.alias("model"))
 
 
+# Files
+
+
+@_query
+def jsonl_round_trip(spark, sf):
+    """Judgements written as JSONL and read again, then as tables by judge and read again."""
+    folder = scratch.folder(spark)
+    judged = _judged(spark, sf, MAIN).select(*JUDGMENTS.fieldNames())
+    writers.write_jsonl(judged, f"{folder}/jsonl")
+    back = readers.read_judgments(spark, f"{folder}/jsonl").drop("row_ordinal")
+    writers.write_table(back, f"{folder}/judges", by_judge=True)
+    return spark.read.parquet(f"{folder}/judges").drop("model_slug")
+
+
 # Judging
 
 
@@ -350,6 +367,13 @@ def bootstrap_ci_hash(spark, sf):
     return _rounded(bootstrap_by_resampling(counts, ["model"], seed=SEED), "ci_lower", "ci_upper")
 
 
+@_query
+def bootstrap_ci_numeric(spark, sf):
+    """The mean length of human comments per language, with its interval."""
+    rated = bootstrap_mean(views.human(spark, sf), ["lang_code"], "comment_len", seed=SEED)
+    return _rounded(rated, "mean", "ci_lower", "ci_upper")
+
+
 # Sampling and subsets
 
 

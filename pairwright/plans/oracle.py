@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pairwright.functions.labels import KNOWN_SLUGS
 from pairwright.functions.parsing import _SPACES
+from pairwright.functions.statistics import _poisson_cuts
 from pairwright.operators.items import judge_list
 from pairwright.operators.subsets import JUDGE_QUOTAS, SHARED_QUOTAS
 from pairwright.plans.catalog import SAMPLE_N, SEED
@@ -410,6 +411,9 @@ SELECT model, tier, count(*) AS requests FROM documents, roster GROUP BY ALL""",
 SELECT doc_id, model, replace(replace(replace(model, '/', '_'), ':', '_'), chr(92), '_') AS safe_name
 FROM names""",
         "judge_slug": f"WITH {_NAMES} SELECT doc_id, model, {_slug('model')} AS slug FROM names",
+        "jsonl_round_trip": f"""WITH {_JUDGED}
+SELECT sample_id, lang_code, model, tier, prompt_version, swap_order, gold_winner, parsed_winner, parse_success,
+  is_correct, raw_response, error FROM judged WHERE prompt_version = 'main' AND NOT swap_order""",
         "run_judges": f"""WITH {_STUB},
 scored AS (
   SELECT *, CASE WHEN digit = 'f' THEN NULL WHEN digit < '8' THEN 'A' ELSE 'B' END AS parsed_winner
@@ -509,6 +513,23 @@ draws AS (
   SELECT model, min(i) / any_value(n) AS mean FROM uniforms JOIN cumulated ON below >= u GROUP BY model, u)
 SELECT model, round(quantile_cont(mean, 0.025), 6) AS ci_lower,
   round(quantile_cont(mean, 0.975), 6) AS ci_upper FROM draws GROUP BY model""",
+        "bootstrap_ci_numeric": f"""WITH {_HUMAN},
+hashed AS (
+  SELECT lang_code, comment_len, block, md5('{SEED}|' || block::VARCHAR || '|' || sample_id) AS h
+  FROM human, range(0, 50) r(block) WHERE comment_len IS NOT NULL),
+drawn AS (
+  SELECT lang_code, comment_len, block, j, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT AS u
+  FROM hashed, range(0, 4) s(j)),
+means AS (
+  SELECT lang_code, sum(w * comment_len) / sum(w) AS mean
+  FROM (SELECT *, len(list_filter([{", ".join(map(str, _poisson_cuts()))}], lambda cut: u >= cut)) AS w FROM drawn)
+  GROUP BY lang_code, block, j HAVING sum(w) > 0),
+bounds AS (
+  SELECT lang_code, quantile_cont(mean, 0.025) AS ci_lower, quantile_cont(mean, 0.975) AS ci_upper
+  FROM means GROUP BY lang_code)
+SELECT lang_code, count(*) AS n, round(avg(comment_len), 6) AS mean, round(any_value(ci_lower), 6) AS ci_lower,
+  round(any_value(ci_upper), 6) AS ci_upper
+FROM human JOIN bounds USING (lang_code) WHERE comment_len IS NOT NULL GROUP BY lang_code""",
         "simple_sample": f"""WITH {_ITEMS}
 SELECT {_ITEM_COLUMNS} FROM items ORDER BY {_draw_key("sample_id")}, sample_id LIMIT {SAMPLE_N}""",
         "stratified_sample": f"""WITH {_STRATIFIED}

@@ -12,6 +12,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+# Fixed names: the columns of the files of an evaluation.
 HUMAN_REQUIRED = ["sample_id", "lang_code", "source", "text1", "text2", "choice"]
 
 ITEMS = _struct(

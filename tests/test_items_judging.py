@@ -199,3 +199,9 @@ def test_threads_share_one_pace():
     assert found.error.tolist() == ["429" if i == 3 else None for i in range(12)]
     # One at a time the calls alone would take 0.6 s; begun together they would take 0.1 s.
     assert 0.22 < took < 0.6 and min(b - a for a, b in zip(sorted(begun), sorted(begun)[1:])) > 0.01
+
+
+def test_a_null_tier_is_unknown_in_both_forms(spark):
+    config = {"g": [{"name": "a", "tier": None}, {"name": "b"}, {"name": "c", "tier": "x"}]}
+    assert ops.judge_list(config) == [("a", "unknown"), ("b", "unknown"), ("c", "x")]
+    assert rows(ops.judges(spark, config), "model", "tier") == ops.judge_list(config)

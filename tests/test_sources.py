@@ -98,3 +98,42 @@ def test_prompts(spark, tmp_path):
     (tmp_path / "other.txt").write_text("x")
     (tmp_path / "note.md").write_text("no prompt")
     assert rows(readers.read_prompts(spark, str(tmp_path))) == [("main", "line one\nline two"), ("other", "x")]
+
+
+def test_many_files_are_one_scan_in_the_order_listed(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    paths = []
+    for i in range(1000):
+        path = folder / f"part {i:04}.jsonl"
+        path.write_text(line(f"{i:04}-0", "A") + "\n\n" + line(f"{i:04}-1", "B") + "\n")
+        paths.append(str(path))
+    listed = paths[500:] + paths[:500]
+    table = readers.read_judgments(spark, listed)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert dict(table.dtypes)["row_ordinal"] == "bigint"
+    ids = [r.sample_id for r in table.repartition(5).orderBy("row_ordinal").collect()]
+    assert ids == [f"{i:04}-{j}" for i in [*range(500, 1000), *range(500)] for j in (0, 1)]
+    # A pattern, then a folder that holds the same files and one more place: the first that names a file counts.
+    other = tmp_path / "z"
+    other.mkdir()
+    (other / "a.jsonl").write_text(line("last", "A") + "\n")
+    few = readers.read_judgments(spark, [str(folder / "part 099*.jsonl"), str(folder / "part 0003.jsonl"), str(other)])
+    assert [r.sample_id[:4] for r in few.orderBy("row_ordinal").collect()][::2] == [f"{i:04}" for i in range(990, 1000)] + ["0003", "last"]
+
+
+def test_order_holds_with_whole_and_shared_blocks(spark, tmp_path):
+    """Files of several blocks, whose last ones share tasks."""
+    for i in range(12):
+        (tmp_path / f"f{i:02}.jsonl").write_text("".join(line(f"{i:02}-{j:05}", "A") + "\n" for j in range(300 + 170 * i)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        ids = [r.sample_id for r in readers.read_judgments(spark, str(tmp_path)).orderBy("row_ordinal").collect()]
+        table = readers.read_judgments(spark, str(tmp_path))
+        assert table.select("row_ordinal").distinct().count() == len(ids)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ids == sorted(ids) and len(ids) == sum(300 + 170 * i for i in range(12))

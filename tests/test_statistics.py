@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
+from pairwright.functions import statistics
 from pairwright.functions.statistics import (
     bootstrap_by_resampling,
     with_binom_test,
@@ -146,3 +147,55 @@ def test_interval_shrinks_with_alpha(spark):
     wide = with_bootstrap_ci(frame(spark, [(400, 300)]), alpha=0.01).first()
     narrow = with_bootstrap_ci(frame(spark, [(400, 300)]), alpha=0.2).first()
     assert wide.ci_lower < narrow.ci_lower < 0.75 < narrow.ci_upper < wide.ci_upper
+
+
+# Recorded runs of 99 items, the places of the wrong verdicts among the parsed ones, and the published bounds.
+RECORDED = [
+    (88, [0, 15, 19, 36, 39, 47, 54], 0.863636, 0.965909),
+    (99, [15, 27, 31, 39, 51, 61, 65, 78, 81, 95], 0.838384, 0.959596),
+    (99, [15, 25, 27, 43, 51, 58, 65, 66, 71, 78, 81, 82], 0.808081, 0.939394),
+    (99, [19, 25, 27, 43, 51, 58, 67, 78, 82, 86, 95], 0.828283, 0.949495),
+    (99, [0, 47, 51, 58, 65], 0.898990, 0.989899),
+]
+
+
+def test_parity_reproduces_recorded_intervals(spark):
+    table = [(str(j), i, float(i not in wrong)) for j, (n, wrong, _, _) in enumerate(RECORDED) for i in range(n)]
+    table += [("9", 0, None), ("8", 0, 1.0)]
+    df = spark.createDataFrame(table, "judge string, row_ordinal long, correct double").repartition(5)
+    found = {r.judge: r for r in statistics.bootstrap_parity(df, ["judge"], "correct").collect()}
+    assert set(found) == {"0", "1", "2", "3", "4", "8"}
+    for j, (n, wrong, low, high) in enumerate(RECORDED):
+        r = found[str(j)]
+        assert (r.n, round(r.ci_lower, 6), round(r.ci_upper, 6)) == (n, low, high)
+        assert r.mean == pytest.approx(1 - len(wrong) / n)
+
+
+def test_bootstrap_of_a_numeric_column(spark):
+    """Replicate by replicate against weights drawn in Python; rows in any order and partition."""
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    table = [(f"i{i}", "ab"[i % 3 == 0], float(rng.gamma(2.0, 50.0))) for i in range(300)] + [("x", "a", None), (None, "c", 4.0)]
+    df = spark.createDataFrame(table, "sample_id string, part string, size double")
+    found = {r.part: r for r in statistics.bootstrap_mean(df.repartition(4), ["part"], "size").collect()}
+    cuts = np.array(statistics._poisson_cuts())
+    for part in "abc":
+        own = [(i or "", x) for i, p, x in table if p == part and x is not None]
+        x = np.array([v for _, v in own])
+        means = []
+        for b in range(200):
+            digits = [hashlib.md5(f"42|{b // 4}|{i}".encode()).hexdigest()[8 * (b % 4) :][:8] for i, _ in own]
+            w = np.searchsorted(cuts, [int(d, 16) for d in digits], side="right")
+            if w.sum():
+                means.append((w * x).sum() / w.sum())
+        low, high = np.quantile(means, [0.025, 0.975])
+        r = found[part]
+        assert (r.n, r.mean, r.ci_lower, r.ci_upper) == (len(own), pytest.approx(x.mean()), pytest.approx(low), pytest.approx(high))
+    spread = np.std([x for _, p, x in table if p == "a" and x], ddof=1) / found["a"].n ** 0.5
+    assert 0.75 < (found["a"].ci_upper - found["a"].ci_lower) / (2 * 1.96 * spread) < 1.3
+    assert statistics.bootstrap_mean(df.limit(0), ["part"], "size").count() == 0
+    with pytest.raises(ValueError, match="multiple of 4"):
+        statistics.bootstrap_mean(df, ["part"], "size", n_boot=10)
