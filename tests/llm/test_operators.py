@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -454,6 +455,123 @@ def test_extract_keeps_a_headline_beside_the_text(table):
     assert all(r.text.startswith(f"Head {r.page_id} Lead {r.page_id} long") for r in got) and len(got) == 2
 
 
+KEPT = [
+    ('<div class="layout has-sidebar"><article class="post comments-open"><p>{0}</article></div>', "{0}"),
+    ("<main class='content no-sidebar'><p>{0}</main>", "{0}"),
+    ("<article><p>{0}<section class=discussion><p>We discuss {0}</section></article>", "{0} We discuss {0}"),
+    ("<article><div class=navigation-systems>{0} one</div><div class=related-work>{0} two</div><p id=copyright-law>three</article>", "{0} one {0} two three"),
+    ("<div class=text><p>{0} is a long text of many words</div><article class=teaser>Read {0}</article>", "{0} is a long text of many words"),
+    ("<div class=sidebar><article>{0}</article></div>", "{0}"),
+    ("<article>{0}<div class=related-posts>no</div><div id=cookie-notice>no</div><p class=shareButtons>no</article><div class=site-header>no</div>", "{0}"),
+]
+
+
+def test_extract_loses_no_article_to_names(table):
+    rows = [(10 * k + i, f"http://h{k}.net/{i}", page.format(f"text{i}")) for k, (page, _) in enumerate(KEPT) for i in range(5)]
+    got = {r.page_id: r.text for r in templates.extract(table("page_id long, url string, html string", rows)).collect()}
+    assert got == {10 * k + i: text.format(f"text{i}") for k, (_, text) in enumerate(KEPT) for i in range(5)}
+
+
+class _Page(HTMLParser):
+    """The tokens of a page of div elements in page order, as (token, elements around it), and its blocks."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.elements, self.chain, self.blocks, self.order = [], [], {}, [], []
+        self.feed(page)
+        self.said = {}
+        for e, text in self.blocks:
+            self.said.setdefault(e, []).append(text)
+        self.tokens = [(("page",), -1, len(self.order))]
+        for kind, e, end in self.order:
+            path = "/".join(self.elements[i] for i in self.chain[e])
+            self.tokens.append(((path,), e, end) if kind == "element" else ((path, " ".join(self.said[e])), e, end))
+
+    def handle_starttag(self, tag, attrs):
+        e = len(self.elements)
+        self.elements.append(tag + "." + dict(attrs).get("class", ""))
+        self.chain[e] = [*self.stack, e]
+        self.stack.append(e)
+        self.order.append(["element", e, len(self.order) + 1])
+
+    def handle_endtag(self, tag):
+        e = self.stack.pop()
+        next(x for x in self.order if x[:2] == ["element", e])[2] = len(self.order)
+
+    def handle_data(self, data):
+        e = self.stack[-1]
+        if all(e != other for other, _ in self.blocks):
+            self.order.append(["text", e, len(self.order) + 1])
+        self.blocks.append((e, data))
+
+
+def _template_by_hand(pages):
+    """The text tokens of the template, from whole occurrence vectors and all pairs of occurrences of classes."""
+    vectors = {}
+    for i, page in enumerate(pages):
+        for token, _, _ in page.tokens:
+            vectors.setdefault(token, [0] * len(pages))[i] += 1
+    classes = {}
+    for token, vector in vectors.items():
+        n = sum(map(bool, vector))
+        if n >= 0.8 * len(pages) and (len(token) == 1 or n >= 3):
+            classes.setdefault(tuple(vector), []).append(token)
+    classes = [set(c) for c in classes.values() if len(c) > 1]
+    before, places, bad = {}, {}, set()
+    for page in pages:
+        runs = []  # class, [(number, token, end)]
+        for c, members in enumerate(classes):
+            of_class = []
+            for number, (token, _, end) in enumerate(page.tokens):
+                if token in members:
+                    if not of_class or token in [t for _, t, _ in of_class[-1][1]]:
+                        of_class.append((c, []))
+                    of_class[-1][1].append((number, token, end))
+            if any(len(run) < len(members) for _, run in of_class):
+                bad.add(c)
+            runs += of_class
+        for c, run in runs:
+            last = None
+            for _, token, _ in run:
+                before.setdefault(token, set()).add(last)
+                last = token
+            start, end = run[0][0], max(e for _, _, e in run)
+            around = [(r[0][0], d, r) for d, r in runs if r[0][0] < start and (start <= max(e for _, _, e in r) or r[-1][0] > start)]
+            _, d, r = max(around, default=(0, None, []))
+            places.setdefault(c, set()).add((d, max(((n, t) for n, t, _ in r if n < start), default=(0, None))[1]))
+            if any(start < n <= end for _, _, r in around for n, _, _ in r):
+                bad.add(c)
+    return {t for c, members in enumerate(classes) if c not in bad and len(places[c]) == 1 for t in members if len(t) > 1 and len(before[t]) == 1}
+
+
+def test_template_equals_brute_force(table):
+    rng, rows, want, ordered, disordered = random.Random(5), [], {}, 0, 0
+    for host in range(24):
+        fixed = [f"<div class=k{k}>fixed {k}<div class=i>inner {k}</div></div>" for k in "abcd"]
+        pages = []
+        for i in range(rng.choice([2, 4, 6, 9])):
+            parts = list(fixed)
+            if host % 3 == 1 and i % 2:
+                parts[1], parts[2] = parts[2], parts[1]
+            if host % 4 == 2 and i == 1:
+                del parts[3]
+            if host % 5 == 3:
+                parts = [f"<div class=row><div class=a>same</div><div class=b>own {i} {n}</div></div>" for n in range(1 + i % 3)] + parts
+            parts.insert(rng.randrange(len(parts) + 1) if host % 2 else 2, f"<div class=text>unique {host} {i}</div>")
+            pages.append("<div class=page>" + "".join(parts) + "</div>")
+        parsed = [_Page(p) for p in pages]
+        template = _template_by_hand(parsed)
+        for i, (source, page) in enumerate(zip(pages, parsed)):
+            path = {e: "/".join(page.elements[j] for j in chain) for e, chain in page.chain.items()}
+            kept = [text for e, text in page.blocks if (path[e], " ".join(page.said[e])) not in template]
+            want[100 * host + i] = " ".join(kept or [t for _, t in page.blocks])
+            rows.append((100 * host + i, f"http://h{host}.net/", source))
+            ordered += len(kept) == 1
+            disordered += any("fixed" in t for t in kept)
+    got = {r.page_id: r.text for r in templates.extract(table("page_id long, url string, html string", rows)).collect()}
+    assert got == want and ordered > 10 and disordered > 10
+
+
 # ---- mixing
 
 
