@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.llm.batches import slices
-from pairwright.llm.tables import column, map_arrow, small
+from pairwright.llm.tables import column, cut, map_arrow
 
 SAMPLES = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -106,79 +108,67 @@ EDITED = (
 )
 
 
-def _larger(bounds: list[int], value):
-    """How many of the bounds, largest first, are larger than the value: a search by halves, whatever their number."""
-    steps = [2**i for i in reversed(range(len(bounds).bit_length()))]
-    if not steps:
-        return F.lit(0)
-    padded = bounds + [-(2**63)] * (2 * steps[0] - 1 - len(bounds))
-    every = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: n + F.when(F.element_at(every, n + step) > value, step).otherwise(0))
+def in_order(docs: DataFrame, rows_per_part: int = 5000) -> DataFrame:
+    """(doc_id, text) in ranges of descending doc_id, a task each, sorted within.
 
-
-def with_next(docs: DataFrame, rows_per_part: int = 5000) -> DataFrame:
-    """(part, extra, doc_id, text), in tasks sorted by descending doc_id, where each row's next row follows it.
-
-    Ids are cut into ranges at quantiles, and each range is one task. The row that begins a range also goes,
-    marked `extra`, to the end of the range before it, and the first of all to the end of the last: one
-    shuffle of the texts and no task over all rows. Rows of one id come in the order of their texts' hashes;
-    null ids come last. Null texts are empty.
+    The ranges are of some `rows_per_part` rows. Rows of one id come in the order of their texts' hashes, and so
+    do null ids, which come last: either may be in many ranges. Null texts are empty.
     """
     own = docs.select(column(docs, "doc_id", "bigint"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
-    rows = docs.count()
-    parts = max(1, rows // rows_per_part)
-    at = [i / parts for i in range(1, parts)]
-    bounds = own.agg(F.percentile_approx("doc_id", at, max(10_000, 4 * parts))).first()[0] if at else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    # Ranges are numbered from the largest ids; null ids have the last number.
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_larger(bounds, F.col("doc_id")))
-    numbered = own.withColumn("part", part.cast("int")).withColumn("tie", F.xxhash64("text"))
-    firsts = numbered.groupBy("part").agg(F.max(F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"), F.bitwise_not("tie").alias("t"))).alias("f"))
-    firsts = sorted((r["part"], r["f"]["d"], ~r["f"]["t"]) for r in firsts.collect())
-    # One row per range, joined by key: no expression grows with the number of ranges.
-    before = [(number, doc_id, tie, firsts[i - 1][0]) for i, (number, doc_id, tie) in enumerate(firsts)]
-    before = docs.sparkSession.createDataFrame(before, "_part int, _doc_id bigint, _tie bigint, _goes int")
-    is_first = (F.col("part") == F.col("_part")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_doc_id")) & (F.col("tie") == F.col("_tie"))
-    numbered = numbered.join(small(before, 200_000), is_first, "left")
-    goes = F.col("_goes")
-    copies = F.array(
-        F.struct(F.col("part").alias("to"), F.lit(False).alias("extra")), F.struct(goes.alias("to"), F.lit(True).alias("extra"))
-    )
-    spread = numbered.withColumn("c", F.explode(copies)).where(F.col("c.to").isNotNull())
-    spread = spread.select(F.col("c.to").alias("part"), F.col("c.extra").alias("extra"), "doc_id", "tie", "text")
-    return spread.repartition(len(bounds) + 2, "part").sortWithinPartitions(
-        "part", "extra", F.col("doc_id").desc_nulls_last(), "tie"
-    )
-
-
-def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    keys = F.col("doc_id").desc_nulls_last(), F.col("tie").asc()
+    parts = max(1, -(-docs.count() // rows_per_part))
+    return own.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+
+
+#: What a task over a range gives: finished rows, and its first and last row as ends.
+IN_RANGE = EDITED + ", part int, end string, text string"
+
+
+def compare_edited(docs: DataFrame, samples: int = SAMPLES, rows_per_part: int = 5000) -> DataFrame:
     """Fingerprints of every text and of an edit of it, and how alike they and the next text are.
 
     The edit replaces the last half of a text (rounded down) by as many first code points of the next
     document by descending doc_id, or by all of it if it is shorter; the last document is followed by the
-    first. Rows of one id are neighbours of each other; a single row is its own next one.
+    first. Rows of one id are neighbours of each other; a single row is its own next one. Texts are shuffled
+    once, into ranges of ids. The last row of a range waits for the first one of the next range; these rows,
+    one a range, are joined afterwards.
     """
+    names = [f.split()[0] for f in EDITED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the last row, which waits for its next
-        first_extra, part = False, None
+    def end(part: int, side: str, row: tuple) -> pa.RecordBatch:
+        values = [row[0], *[None] * (len(names) - 1), part, side, row[1]]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[*names, "part", "end", "text"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), None
         for batch in slices(batches, "text", 2_000_000):
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("part", "extra", "doc_id", "text"))))
             pairs = []
-            for row in rows:
-                if row[0] != part:
-                    before, first_extra, part = None, False, row[0]
-                if row[1]:
-                    if first_extra:
-                        continue  # a copy of the row that began the next range
-                    first_extra = True
-                if before is not None:
-                    pairs.append((before[2], before[3], row[3]))
-                before = None if row[1] else row
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if before is None:
+                    yield end(part, "first", row)
+                else:
+                    pairs.append((*before, row[1]))
+                before = row
             if pairs:
-                yield _compared(pairs, samples)
+                done = _compared(pairs, samples)
+                yield pa.RecordBatch.from_arrays([*done.columns, *(pa.nulls(len(pairs), k) for k in kinds[len(names) :])], names=[*names, "part", "end", "text"])
+        if before is not None:
+            yield end(part, "last", before)
 
-    return map_arrow(with_next(docs), run, EDITED)
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2_000_000):
+            # Each pair by itself: two rows of ends may lie anywhere.
+            for pair in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after"))):
+                yield _compared([pair], samples)
+
+    found = cut(map_arrow(in_order(docs, rows_per_part), within, IN_RANGE))
+    # The numbers of ranges are ordered in one task, without texts; after the last non-empty range comes the first.
+    parts = found.where("end = 'first'").select("part")
+    following = parts.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next"))
+    firsts = found.where("end = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    pairs = found.where("end = 'last'").select("part", "doc_id", "text").join(following, "part").join(firsts, "next")
+    return found.where("end is null").select(*names).union(map_arrow(pairs.select("doc_id", "text", "after"), across, EDITED))
 
 
 def _compared(pairs: list[tuple], samples: int) -> pa.RecordBatch:

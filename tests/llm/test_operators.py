@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -366,12 +367,46 @@ def test_weighted_sampling_estimates_generalised_jaccard():
         assert abs((codes[0] == codes[1]).mean() - exact) < 0.04
 
 
-def test_edited(table, monkeypatch):
+def _signature_by_hand(weights, samples):
+    """The sampler term by term in exact integers and double precision."""
+    full = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    out = []
+    for sample in range(1, samples + 1):
+        best = None
+        for term, weight in weights.items():
+            seed = mixed(int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")) + sample * 0x9E3779B97F4A7C15 & full
+            draws = mixed(seed), mixed(seed ^ 0xA5A5A5A5A5A5A5A5), mixed(seed + 0x632BE59BD9B4E019 & full)
+            (r1, r2), (c1, c2), (b, _) = [((d >> 32) / 2**32 + 2**-33, (d & 0xFFFFFFFF) / 2**32 + 2**-33) for d in draws]
+            r, c = -math.log(r1 * r2), -math.log(c1 * c2)  # gamma(2, 1): the sum of two exponentials
+            t = math.floor(math.log(weight) / r + b)
+            y = math.exp(r * (t - b))
+            arrival = c / (y * math.exp(r))
+            if best is None or arrival < best[0]:
+                best = arrival, mixed(seed ^ ((t % 2**64) * 0x9E3779B97F4A7C15 & full)) >> 48
+        out.append(best[1])
+    return out
+
+
+def test_signatures_equal_brute_force():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "B", "cé", "d", "e!"]) * rng.randrange(1, 3) for _ in range(n)) for n in (1, 2, 5, 40, 300)]
+    codes, has = cws.signatures([*texts, "", " \n"])
+    assert has.tolist() == [True] * 5 + [False] * 2
+    same = [a == b for text, row in zip(texts, codes.tolist()) for a, b in zip(row, _signature_by_hand(Counter(text.lower().split()), 64))]
+    # Single precision may decide a step or a tie the other way.
+    assert sum(same) >= 0.99 * len(same)
+
+
+def test_edited(table):
     rng = random.Random(7)
     rows = [(i * 3, words(rng, rng.randrange(0, 30))) for i in range(200)] + [(700, None), (701, ""), (702, "é😀x"), (3, words(rng, 4)), (None, "last one"), (702, "é😀x")]
-    plain = cws.with_next
-    monkeypatch.setattr(cws, "with_next", lambda docs: plain(docs, rows_per_part=20))
-    got = cws.compare_edited(table(DOC, rows)).collect()
+    got = cws.compare_edited(table(DOC, rows), rows_per_part=20).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     unique = {i: t or "" for i, t in rows if i not in (3, 702, None)}
     edits = {r.doc_id: r for r in got}
@@ -393,18 +428,16 @@ def test_edited(table, monkeypatch):
 
 
 def test_next_over_many_ranges(table):
-    rows = [(i * 7 % 1999, f"t{i * 7 % 1999}") for i in range(1999)] + [(None, "none"), (None, "none")]
-    got = [(r.part, r.extra, r.doc_id, r.text) for r in cws.with_next(table(DOC, rows), rows_per_part=2).collect()]
-    assert sorted((i, t) for _, extra, i, t in got if not extra if i is not None) == sorted(rows[:-2])
-    ranges = {}
-    for number, extra, doc_id, text in got:
-        ranges.setdefault(number, []).append((doc_id, text, extra))
-    assert len(ranges) > 900
-    order = sorted(ranges)
-    for a, b in zip(order, order[1:] + order[:1]):
-        own = [i for i, _, extra in ranges[a] if not extra]
-        assert own == sorted(own, key=lambda i: -1 if i is None else i, reverse=True)
-        assert {(i, t) for i, t, extra in ranges[a] if extra} == {ranges[b][0][:2]} and ranges[a][-1][2]
+    rows = [(i * 7 % 1999, f"t{i * 7 % 1999}") for i in range(1999)] + [(2500, f"same id {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)]
+    ranges = [[(r.doc_id, r.text) for r in part] for part in cws.in_order(table(DOC, rows), 20).rdd.glom().collect() if part]
+    order = [i for part in ranges for i, _ in part]
+    assert order == [2500] * 300 + list(range(1998, -1, -1)) + [None] * 300
+    # Rows of one id and of null ids are in many ranges, and no range is large.
+    assert len(ranges) > 80 and max(map(len, ranges)) < 150 and sum(part[0][0] == 2500 for part in ranges) > 5 and sum(part[-1][0] is None for part in ranges) > 5
+    got = cws.compare_edited(table(DOC, rows), rows_per_part=20).collect()
+    flat = [row for part in ranges for row in part]
+    want = [text[: len(text) - len(text) // 2] + after[: len(text) // 2] for (_, text), (_, after) in zip(flat, flat[1:] + flat[:1])]
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == Counter((i, hashlib.sha256(e.encode()).hexdigest()) for (i, _), e in zip(flat, want))
 
 
 # ---- html
