@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import column, cut, map_arrow
+from pairwright.llm.tables import column, cut, map_arrow, small
 
 LEAF = 256
-#: Rows of a shard at most, on average; a task holds one shard and its tree.
+#: Rows of a shard, and bytes of its vectors, at most, on average; a task holds one shard and its tree.
 SHARD_ROWS = 200_000
+SHARD_BYTES = 128_000_000
+#: Rows, and bytes of their vectors, from which the splits between shards are taken.
+SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 32_000_000
+#: Bytes of the boxes of all leaves that are sent to the tasks at most; beyond, queries go to all shards.
+BOX_BYTES = 32_000_000
 #: Queries of a task that are searched together.
 BLOCK = 2048
 
@@ -91,6 +97,99 @@ class Tree:
                     heapq.heapreplace(best, item)
 
 
+class Splits:
+    """Median splits of a sample, widest dimensions and largest parts first, into leaves that cover all of space."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.nodes: dict[int, tuple[int, int, int, int]] = {}  # node: dimension, threshold, below it, from it on
+        self.leaf_of = {0: 0}
+        queue, made = [(-len(sample), 0, np.arange(len(sample)))], 1
+        while queue and len(self.leaf_of) < leaves:
+            _, node, rows = heapq.heappop(queue)
+            mine = sample[rows]
+            wide = int((mine.max(0) - mine.min(0)).argmax()) if len(rows) > 1 else 0
+            values = mine[:, wide]
+            if len(rows) < 2 or values.max() == values.min():
+                continue
+            threshold = np.partition(values, len(values) // 2)[len(values) // 2]
+            if threshold == values.min():
+                threshold = values[values > threshold].min()
+            below = values < threshold
+            self.nodes[node] = (wide, int(threshold), made, made + 1)
+            leaf = self.leaf_of.pop(node)
+            self.leaf_of |= {made: leaf, made + 1: len(self.leaf_of) + 1}
+            for child, part in ((made, rows[below]), (made + 1, rows[~below])):
+                heapq.heappush(queue, (-len(part), child, part))
+            made += 2
+
+    def place(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        out = np.zeros(len(vectors), np.int32)
+        stack = [(0, np.arange(len(vectors)))]
+        while stack:
+            node, rows = stack.pop()
+            if node in self.leaf_of:
+                out[rows] = self.leaf_of[node]
+            elif len(rows):
+                wide, threshold, under, over = self.nodes[node]
+                below = vectors[rows, wide] < threshold
+                stack += [(under, rows[below]), (over, rows[~below])]
+        return out
+
+
+PLACED = "leaf int, vec_id bigint, v array<bigint>"
+
+
+def _placing(splits: Splits, dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = splits.place(_matrix(batch.column("v"), dims, False))
+            yield pa.RecordBatch.from_arrays([pa.array(leaves), batch.column("vec_id"), batch.column("v")], names=["leaf", "vec_id", "v"])
+
+    return run
+
+
+BOXES = "leaf int, rows bigint, low array<bigint>, high array<bigint>"
+
+
+def _boxing(dims: int):
+    """A function over placed rows: for each leaf the number of rows and their tight box, by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list] = {}
+        for batch in batches:
+            leaves, values = batch.column("leaf").to_numpy(zero_copy_only=False), _matrix(batch.column("v"), dims, False)
+            order = np.argsort(leaves, kind="stable")
+            starts = np.flatnonzero(np.diff(leaves[order], prepend=-1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                mine = values[order[a:b]]
+                box = seen.setdefault(int(leaves[order[a]]), [0, mine[0], mine[0]])
+                box[:] = box[0] + b - a, np.minimum(box[1], mine.min(0)), np.maximum(box[2], mine.max(0))
+        for leaf, (n, low, high) in seen.items():
+            arrays = [pa.array([leaf], pa.int32()), pa.array([n], pa.int64()), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (low, high))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["leaf", "rows", "low", "high"])
+
+    return run
+
+
+def _addressing(low: np.ndarray, high: np.ndarray, shards_of: list[list[int]], dims: int, exact: bool):
+    """A function over (vec_id, v, floor): the shards whose box may hold a vector with a score of the floor or more."""
+    low, high = (x.astype(np.float64) if exact else x for x in (low, high))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                queries = _matrix(part.column("v"), dims, exact)
+                floors = part.column("floor").to_numpy(zero_copy_only=False)
+                bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+                to = [[s for leaf in np.flatnonzero(row).tolist() for s in shards_of[leaf]] for row in bounds >= floors[:, None]]
+                columns = [*(part.column(c) for c in ("vec_id", "v", "floor")), pa.array(to, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "floor", "shards"])
+
+    return run
+
+
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -144,15 +243,17 @@ def _search_block(tree: Tree, ids: np.ndarray, queries: np.ndarray, floors: np.n
 
 
 def top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = SHARD_ROWS, leaf: int = LEAF
+    vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every` the k other vectors of largest score.
 
-    Components are floor(scale * x), scores integer inner products, ties go to the smaller vec_id. Rows are
-    dealt to shards by a hash of the id; a task builds the tree of a shard and searches the queries that
-    reach it in blocks. Each query is first searched in one shard only; its k-th score there goes along to
-    the other shards as a floor, under which nothing is opened or returned. So what is merged is little more
-    than k rows a query, and neither the queries nor the vectors pass through the driver or one task.
+    Components are floor(scale * x), scores integer inner products, ties go to the smaller vec_id. Median
+    splits, taken from the rows with the smallest hashes (`SAMPLE_ROWS` at most), cut space into leaves; a leaf
+    is a shard, or as many as its rows need, dealt by a hash. A task builds the tree of a shard and searches the
+    queries that reach it in blocks. Each query is first searched in a shard of its own leaf; its k-th score
+    there is a floor for all others: it goes only to shards whose box may hold as good a score, and nothing is
+    opened or returned below it. Neither the queries nor the vectors pass through the driver or one task, but
+    for that sample and a box per leaf.
 
     Vectors null, empty, or with a null or infinite or undefined component take no part, nor do rows without
     a vec_id; shorter vectors count as followed by zeros. Rows that repeat a vec_id are candidates each, but
@@ -165,33 +266,51 @@ def top_k(
     found = whole.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     rows, dims, largest = found[0], found[1] or 0, found[2] or 0
     spark = vectors.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // shard_rows))
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(t).alias(n) for n, t in (("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint"))))
+    per_shard = max(1, min(shard_rows, SHARD_BYTES // (8 * dims)))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_shard))
     # Products that stay under 2**53 are exact in floating point, which is faster.
     exact = dims * largest * largest < 2**53
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dims) - F.size("v"))).alias("v")
-    whole = whole.select("vec_id", padded, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
+    whole = whole.select("vec_id", padded)
+    sample = whole.orderBy(F.xxhash64("vec_id", "v")).limit(max(2, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dims)))).select("v").toArrow()
+    splits = Splits(_matrix(sample.column("v").combine_chunks(), dims, False), wanted)
+    placed = cut(map_arrow(whole, _placing(splits, dims), PLACED))
+    boxes = map_arrow(placed, _boxing(dims), BOXES)
+    size = {r["leaf"]: r["n"] for r in boxes.groupBy("leaf").agg(F.sum("rows").alias("n")).collect()}
+    leaves, shards, shards_of = sorted(size), 0, []
+    for leaf in leaves:
+        parts = -(-size[leaf] // per_shard)
+        shards_of.append(list(range(shards, shards + parts)))
+        shards += parts
+    dealt = spark.createDataFrame([(leaf, of[0], len(of)) for leaf, of in zip(leaves, shards_of)], "leaf int, start int, parts int")
+    by_hash = (F.col("start") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int")
+    whole = placed.join(small(dealt, 200_000), "leaf").select("vec_id", "v", by_hash.alias("shard"))
     nothing = F.lit(float("-inf"))
     candidates = whole.select("shard", F.lit(False).alias("is_query"), "vec_id", "v", nothing.alias("floor"))
-    queries = whole.where(F.col("vec_id") % every == 0).drop("shard").distinct()
-    run = _searching(k, dims, exact, leaf)
+    queries = whole.where(F.col("vec_id") % every == 0).distinct()
+    run = _searching(k, dims, exact, leaf_rows)
 
     def searched(asked: DataFrame) -> DataFrame:
         both = candidates.union(asked.select("shard", F.lit(True), "vec_id", "v", "floor"))
-        dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "vec_id")
-        return map_arrow(dealt, run, RESULT)
+        return map_arrow(both.repartitionById(shards, "shard").sortWithinPartitions("shard", "is_query", "vec_id"), run, RESULT)
 
-    if not rows:
-        return spark.range(0).select(*(F.lit(None).cast(t).alias(n) for n, t in (("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint"))))
-    # The shard after the query's own: dealt by a hash too, so the first searches are spread evenly.
-    home = F.pmod(F.xxhash64("vec_id") + 1, F.lit(shards)).cast("int")
-    first = searched(queries.withColumn("shard", home).withColumn("floor", nothing))
+    first = searched(queries.withColumn("floor", nothing))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("f"))
     # A query vector that occurs with several values has several searches, and no floor that holds for all.
     kth = kth.join(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("n")), "query_id").where("n = 1")
     asked = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left")
     asked = asked.select("vec_id", "v", F.coalesce("f", nothing).alias("floor"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    results = searched(asked.select("vec_id", "v", "floor", everywhere))
+    if len(leaves) * dims * 16 <= BOX_BYTES:
+        sides = boxes.select("leaf", F.posexplode(F.arrays_zip("low", "high")).alias("at", "b"))
+        sides = sides.groupBy("leaf", "at").agg(F.min("b.low").alias("low"), F.max("b.high").alias("high"))
+        sides = sides.orderBy("leaf", "at").toArrow()
+        low, high = (sides.column(c).to_numpy().reshape(len(leaves), dims) for c in ("low", "high"))
+        to = map_arrow(asked, _addressing(low, high, shards_of, dims, exact), "vec_id bigint, v array<bigint>, floor double, shards array<int>")
+    else:
+        to = asked.withColumn("shards", F.sequence(F.lit(0), F.lit(shards - 1)))
+    results = searched(to.select("vec_id", "v", "floor", F.explode("shards").alias("shard")))
     ranks = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = results.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairwright.llm import chat, cws, graph, kdtree, langid, mixing, neardup, pieces, secrets, templates, urls
@@ -257,7 +258,7 @@ def test_top_k(table, low, high, every):
     rows = [(i, v) for i, v in enumerate(values)] + [(300, None), (301, [1.0, None] * 3), (305, [float("nan")] * 6), (310, [float("inf")] * 6), (None, values[0]), (315, [])]
     rows += [(400 + i, values[0]) for i in range(9)]
     got = {}
-    for r in kdtree.top_k(table("vec_id long, embedding array<double>", rows), every=every, leaf=8, scale=256.0 if high == 1 else 1.0).collect():
+    for r in kdtree.top_k(table("vec_id long, embedding array<double>", rows), every=every, leaf_rows=8, scale=256.0 if high == 1 else 1.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     scale = 256.0 if high == 1 else 1.0
     good = {i: [int(np.floor(scale * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
@@ -272,6 +273,39 @@ def test_top_k_of_few(table):
     assert [tuple(r) for r in kdtree.top_k(table("vec_id long, embedding array<double>", [(0, [1.0]), (1, [0.5])])).collect()] == [(0, 1, 1, 256 * 128)]
 
 
+def test_top_k_of_clusters_copies_and_repeated_ids(table):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 5, (6, 8))
+    values = [(centres[i % 6] + rng.normal(0, 0.1, 8)).tolist() for i in range(400)]
+    # A third of all rows is one vector, some ids repeat with other vectors, one vector is longer.
+    rows = list(enumerate(values)) + [(1000 + i, values[7]) for i in range(250)] + [(20, values[3]), (20, values[20]), (21, values[4])] + [(2000, [1.0] * 11)]
+    wide = {}
+    for i, v in rows:
+        wide.setdefault(i, []).append([int(np.floor(256 * x)) for x in v] + [0] * (11 - len(v)))
+    got = {}
+    for r in kdtree.top_k(table("vec_id long, embedding array<double>", rows), every=10, leaf_rows=4, shard_rows=30).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i in wide if i % 10 == 0}
+    for q, found in got.items():
+        asked = [list(v) for v in {tuple(v) for v in wide[q]}]
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for own in asked for i, vs in wide.items() if i != q for v in vs)[:5]
+        assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+
+
+def test_splits_cover_space_evenly():
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(-500, 500, (4000, 5))
+    splits = kdtree.Splits(vectors[:500], 24)
+    sizes = Counter(splits.place(vectors).tolist())
+    assert sorted(sizes) == list(range(24)) and max(sizes.values()) < 4 * min(sizes.values())
+    assert set(kdtree.Splits(np.ones((50, 3), np.int64), 8).place(vectors).tolist()) == {0}
+    # A query near one of two far clusters is sent to the shards of that one only.
+    low, high = np.array([[100, 100], [-200, -200]]), np.array([[200, 200], [-100, -100]])
+    batch = pa.RecordBatch.from_pydict({"vec_id": [1, 2], "v": [[1, 1], [1, 1]], "floor": [250.0, float("-inf")]})
+    (out,) = kdtree._addressing(low, high, [[0, 1], [2]], 2, True)([batch])
+    assert out.column("shards").to_pylist() == [[0, 1], [0, 1, 2]]
+
+
 # ---- urls
 
 
