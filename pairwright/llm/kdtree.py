@@ -26,6 +26,16 @@ BOX_BYTES = 32_000_000
 BLOCK = 2048
 
 
+def _within_bigint(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond the range of a bigint as its ends; only unbounded integers get there."""
+    return np.clip(scores, -(2**63), 2**63 - 1) if scores.dtype == object else scores
+
+
+def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """[query, box]: no vector in the box has a larger inner product."""
+    return _within_bigint(np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T)
+
+
 class Tree:
     """Vectors under median splits of the widest dimension, with the tight bounding box of every node."""
 
@@ -65,7 +75,7 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """[query, node]: no vector in the box of the node has a larger inner product."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return _bounds(queries, self.low, self.high)
 
     def search(self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: float, best: list) -> None:
         """Add the k best of this tree to the heap `best` of (score, -id), best bounds first.
@@ -86,7 +96,7 @@ class Tree:
                         heapq.heappush(queue, (-bounds[child], child))
                 continue
             start, end = self.spans[node]
-            scores = self.vectors[start:end] @ query
+            scores = _within_bigint(self.vectors[start:end] @ query)
             at = np.flatnonzero((scores >= kth) & (self.ids[start:end] != own))
             at = at[np.lexsort((self.ids[start:end][at], -scores[at]))]
             for i in at[:k].tolist():
@@ -107,7 +117,7 @@ class Splits:
         while queue and len(self.leaf_of) < leaves:
             _, node, rows = heapq.heappop(queue)
             mine = sample[rows]
-            wide = int((mine.max(0) - mine.min(0)).argmax()) if len(rows) > 1 else 0
+            wide = int((mine.max(0).astype(np.float64) - mine.min(0)).argmax()) if len(rows) > 1 else 0
             values = mine[:, wide]
             if len(rows) < 2 or values.max() == values.min():
                 continue
@@ -143,7 +153,7 @@ PLACED = "leaf int, vec_id bigint, v array<bigint>"
 def _placing(splits: Splits, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = splits.place(_matrix(batch.column("v"), dims, False))
+            leaves = splits.place(_matrix(batch.column("v"), dims, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(leaves), batch.column("vec_id"), batch.column("v")], names=["leaf", "vec_id", "v"])
 
     return run
@@ -158,7 +168,7 @@ def _boxing(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list] = {}
         for batch in batches:
-            leaves, values = batch.column("leaf").to_numpy(zero_copy_only=False), _matrix(batch.column("v"), dims, False)
+            leaves, values = batch.column("leaf").to_numpy(zero_copy_only=False), _matrix(batch.column("v"), dims, np.int64)
             order = np.argsort(leaves, kind="stable")
             starts = np.flatnonzero(np.diff(leaves[order], prepend=-1))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
@@ -172,17 +182,17 @@ def _boxing(dims: int):
     return run
 
 
-def _addressing(low: np.ndarray, high: np.ndarray, shards_of: list[list[int]], dims: int, exact: bool):
+def _addressing(low: np.ndarray, high: np.ndarray, shards_of: list[list[int]], dims: int, kind: type):
     """A function over (vec_id, v, floor): the shards whose box may hold a vector with a score of the floor or more."""
-    low, high = (x.astype(np.float64) if exact else x for x in (low, high))
+    low, high = low.astype(kind), high.astype(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                queries = _matrix(part.column("v"), dims, exact)
-                floors = part.column("floor").to_numpy(zero_copy_only=False)
-                bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+                queries = _matrix(part.column("v"), dims, kind)
+                floors = _floors(part)
+                bounds = _bounds(queries, low, high)
                 to = [[s for leaf in np.flatnonzero(row).tolist() for s in shards_of[leaf]] for row in bounds >= floors[:, None]]
                 columns = [*(part.column(c) for c in ("vec_id", "v", "floor")), pa.array(to, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "floor", "shards"])
@@ -193,12 +203,22 @@ def _addressing(low: np.ndarray, high: np.ndarray, shards_of: list[list[int]], d
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
-def _matrix(column: pa.Array, dims: int, exact: bool) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
-    return values.astype(np.float64) if exact else values
+def _matrix(column: pa.Array, dims: int, kind: type) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims).astype(kind, copy=False)
+
 
+def _floors(queries: pa.RecordBatch) -> np.ndarray:
+    """The floors, a step lower: a double may stand above the score it was rounded from."""
+    return np.nextafter(queries.column("floor").to_numpy(zero_copy_only=False), -np.inf)
 
-def _searching(k: int, dims: int, exact: bool, leaf: int):
+
+def _kind(dims: int, largest: float) -> type:
+    """The numbers in which no inner product is rounded or wraps, the fastest first."""
+    most = dims * largest * largest
+    return np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
+
+
+def _searching(k: int, dims: int, kind: type, leaf: int):
     """A function over batches sorted by shard, candidates before queries: the k best of each shard by query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +232,7 @@ def _searching(k: int, dims: int, exact: bool, leaf: int):
                 if shards[a] != shard:
                     shard, tree, ids, vectors = shards[a], None, [], []
                 own = part.column("vec_id").to_numpy(zero_copy_only=False)
-                values = _matrix(part.column("v"), dims, exact)
+                values = _matrix(part.column("v"), dims, kind)
                 if not is_query[a]:
                     ids.append(own)
                     vectors.append(values)
@@ -221,7 +241,7 @@ def _searching(k: int, dims: int, exact: bool, leaf: int):
                     tree, ids, vectors = Tree(np.concatenate(ids), np.concatenate(vectors), leaf), [], []
                 if tree is None:
                     continue
-                floors = part.column("floor").to_numpy(zero_copy_only=False)
+                floors = _floors(part)
                 for at in range(0, len(own), BLOCK):
                     yield _search_block(tree, own[at : at + BLOCK], values[at : at + BLOCK], floors[at : at + BLOCK], k)
 
@@ -255,6 +275,9 @@ def top_k(
     opened or returned below it. Neither the queries nor the vectors pass through the driver or one task, but
     for that sample and a box per leaf.
 
+    Components and scores beyond the range of a bigint stand as its ends, and such scores are equal; tables that
+    hold components large enough are searched with unbounded integers, slowly.
+
     Vectors null, empty, or with a null or infinite or undefined component take no part, nor do rows without
     a vec_id; shorter vectors count as followed by zeros. Rows that repeat a vec_id are candidates each, but
     not for queries of that id, of which each distinct vector is searched and the best results are kept.
@@ -263,19 +286,18 @@ def top_k(
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = raw.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & ~bad)
     whole = cut(ok.select("vec_id", F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x)).alias("v")))
-    found = whole.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    found = whole.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
     rows, dims, largest = found[0], found[1] or 0, found[2] or 0
     spark = vectors.sparkSession
     if not rows:
         return spark.range(0).select(*(F.lit(None).cast(t).alias(n) for n, t in (("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint"))))
     per_shard = max(1, min(shard_rows, SHARD_BYTES // (8 * dims)))
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_shard))
-    # Products that stay under 2**53 are exact in floating point, which is faster.
-    exact = dims * largest * largest < 2**53
+    kind = _kind(dims, largest)
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dims) - F.size("v"))).alias("v")
     whole = whole.select("vec_id", padded)
     sample = whole.orderBy(F.xxhash64("vec_id", "v")).limit(max(2, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dims)))).select("v").toArrow()
-    splits = Splits(_matrix(sample.column("v").combine_chunks(), dims, False), wanted)
+    splits = Splits(_matrix(sample.column("v").combine_chunks(), dims, np.int64), wanted)
     placed = cut(map_arrow(whole, _placing(splits, dims), PLACED))
     boxes = map_arrow(placed, _boxing(dims), BOXES)
     size = {r["leaf"]: r["n"] for r in boxes.groupBy("leaf").agg(F.sum("rows").alias("n")).collect()}
@@ -290,7 +312,7 @@ def top_k(
     nothing = F.lit(float("-inf"))
     candidates = whole.select("shard", F.lit(False).alias("is_query"), "vec_id", "v", nothing.alias("floor"))
     queries = whole.where(F.col("vec_id") % every == 0).distinct()
-    run = _searching(k, dims, exact, leaf_rows)
+    run = _searching(k, dims, kind, leaf_rows)
 
     def searched(asked: DataFrame) -> DataFrame:
         both = candidates.union(asked.select("shard", F.lit(True), "vec_id", "v", "floor"))
@@ -307,7 +329,7 @@ def top_k(
         sides = sides.groupBy("leaf", "at").agg(F.min("b.low").alias("low"), F.max("b.high").alias("high"))
         sides = sides.orderBy("leaf", "at").toArrow()
         low, high = (sides.column(c).to_numpy().reshape(len(leaves), dims) for c in ("low", "high"))
-        to = map_arrow(asked, _addressing(low, high, shards_of, dims, exact), "vec_id bigint, v array<bigint>, floor double, shards array<int>")
+        to = map_arrow(asked, _addressing(low, high, shards_of, dims, kind), "vec_id bigint, v array<bigint>, floor double, shards array<int>")
     else:
         to = asked.withColumn("shards", F.sequence(F.lit(0), F.lit(shards - 1)))
     results = searched(to.select("vec_id", "v", "floor", F.explode("shards").alias("shard")))

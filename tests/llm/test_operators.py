@@ -292,6 +292,36 @@ def test_top_k_of_clusters_copies_and_repeated_ids(table):
         assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
 
 
+@pytest.mark.parametrize(
+    "sizes,more",
+    [
+        ([2.0**20, 2.0**40, 1e18, 1e300], [[1.7e308, -1.7e308, 0.0, 1.0], [-1e300] * 4, [1e300] * 4, [2.0**62, 0.0, 0.0, 1.0]]),
+        ([2.0**27, 2.0**30], [[2.0**32, -(2.0**31), 1.0, 3.0]] * 2),
+    ],
+)
+def test_top_k_beyond_the_range_of_a_bigint(table, sizes, more):
+    rng = np.random.default_rng(8)
+    ends = -(2**63), 2**63 - 1
+    values = [[float(x) for x in rng.uniform(-1, 1, 4) * rng.choice(sizes)] for _ in range(240)] + more
+    whole = [[min(max(int(np.floor(x)), ends[0]), ends[1]) for x in v] for v in values]
+    got = {}
+    rows = list(enumerate(values))
+    for r in kdtree.top_k(table("vec_id long, embedding array<double>", rows), every=6, scale=1.0, leaf_rows=8, shard_rows=40).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i in range(len(rows)) if i % 6 == 0}
+    products = []
+    for q, found in got.items():
+        scores = [(min(max(sum(a * b for a, b in zip(whole[q], v)), ends[0]), ends[1]), i) for i, v in enumerate(whole) if i != q]
+        best = sorted((-s, i) for s, i in scores)[:5]
+        products += [-s for s, _ in best]
+        assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert ends[1] in products if max(sizes) > 2**40 else any(2**53 < s < ends[1] for s in products)
+
+
+def test_top_k_numbers():
+    assert [kdtree._kind(6, x) for x in (256.0, 2.0**28, 2.0**40)] == [np.float64, np.int64, object]
+
+
 def test_splits_cover_space_evenly():
     rng = np.random.default_rng(7)
     vectors = rng.integers(-500, 500, (4000, 5))
@@ -302,7 +332,7 @@ def test_splits_cover_space_evenly():
     # A query near one of two far clusters is sent to the shards of that one only.
     low, high = np.array([[100, 100], [-200, -200]]), np.array([[200, 200], [-100, -100]])
     batch = pa.RecordBatch.from_pydict({"vec_id": [1, 2], "v": [[1, 1], [1, 1]], "floor": [250.0, float("-inf")]})
-    (out,) = kdtree._addressing(low, high, [[0, 1], [2]], 2, True)([batch])
+    (out,) = kdtree._addressing(low, high, [[0, 1], [2]], 2, np.float64)([batch])
     assert out.column("shards").to_pylist() == [[0, 1], [0, 1, 2]]
 
 
