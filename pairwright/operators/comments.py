@@ -34,6 +34,8 @@ _LEADING_SUFFIXES = [
 
 # Human rows of one item that are joined in one place; an item with more of them is copied in proportion.
 ROWS_PER_COPY = 100_000
+# Items that are copied at most: those with the most human rows. Each of the others has fewer rows than any of them.
+MOST_COPIED = 100_000
 # Terms of a lexicon, which is configuration and becomes part of the expressions.
 MOST_TERMS = 10_000
 
@@ -121,15 +123,17 @@ def merge_comments(
 
     An item with many human rows is copied, as one wide row, a number of times in proportion to them; each human row
     goes to the copy that a hash of its own columns names, its ordinal included, so a task that runs again
-    deals them the same way. Only items with more than ``rows_per_copy`` rows are listed for that, and Spark
-    chooses how the list is joined. Equal rows without an ordinal stay together.
+    deals them the same way. Only items with more than ``rows_per_copy`` rows are listed for that, the ``MOST_COPIED``
+    with the most rows. That bounds the list, which goes to all tasks: no human row is shuffled before its copy is
+    known. Equal rows without an ordinal stay together.
     """
     kept = [c for c in _ITEM_COLUMNS if c in items.columns]
     people = human_columns(human)
     position = [ordinal] if ordinal in human.columns else []
     counts = human.groupBy("sample_id").agg(F.count("*").alias("_cnt"))
     copies = F.ceil(F.col("_cnt") / rows_per_copy).cast("int").alias("_copies")
-    many = counts.filter(F.col("_cnt") > rows_per_copy).select("sample_id", copies)
+    hottest = counts.filter(F.col("_cnt") > rows_per_copy).orderBy(F.desc("_cnt"), "sample_id").limit(MOST_COPIED)
+    many = F.broadcast(hottest.select("sample_id", copies))
     keys = ["sample_id", "_copy"]
 
     merged = items.select("sample_id", *kept)

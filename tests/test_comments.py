@@ -1,5 +1,7 @@
 """The wide comment table and the dimension counts."""
 
+from contextlib import contextmanager
+
 import pytest
 from helpers import items, rows
 
@@ -18,6 +20,19 @@ def table(spark, data):
     )
 
 
+@contextmanager
+def conf(spark, **values):
+    """Settings of the session for a while."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def people(spark, data, comment="commet"):
     return spark.createDataFrame(
         data, f"sample_id string, lang_code string, {comment} string, issues string, choice string"
@@ -73,6 +88,23 @@ def test_hot_item_keeps_all_rows(spark, rows_per_copy):
     assert nobody.count() == 3013
 
 
+def test_human_rows_are_dealt_before_they_are_shuffled(spark, monkeypatch):
+    """The bounded list of hot items goes to the rows, so no task gets all human rows of an item; unlisted items stay whole."""
+    judged = table(spark, [(i, ONE, "control", "A", "why", True, "de", True) for i in ("i1", "i2", "i3")])
+    human = spark.range(90).selectExpr("if(id < 60, 'i1', 'i2') AS sample_id", "concat('c', id) AS commet")
+    base = items(spark, [("i1", "de"), ("i2", "de"), ("i3", "de")])
+    for listed in (1, 100_000):
+        monkeypatch.setattr(ops, "MOST_COPIED", listed)
+        assert rows(ops.merge_comments(base, human, judged, [ONE], rows_per_copy=4), "sample_id", "human_comment") == sorted(
+            [("i1" if i < 60 else "i2", f"c{i}") for i in range(90)] + [("i3", None)], key=repr
+        )
+    with conf(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        merged = ops.merge_comments(base, human, judged, [ONE], rows_per_copy=4).select("sample_id", "human_comment")
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    # The joins with the list, of the human rows and of the items.
+    assert plan.count("BroadcastHashJoin") >= 2
+
+
 def test_comments_of_unlisted_judges_are_an_error(spark):
     human = people(spark, [("i1", "de", "nice", None, "text1")])
     base = items(spark, [("i1", "de")])
