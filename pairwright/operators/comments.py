@@ -125,7 +125,8 @@ def merge_comments(
     goes to the copy that a hash of its own columns names, its ordinal included, so a task that runs again
     deals them the same way. Only items with more than ``rows_per_copy`` rows are listed for that, the ``MOST_COPIED``
     with the most rows. That bounds the list, which goes to all tasks: no human row is shuffled before its copy is
-    known. Equal rows without an ordinal stay together.
+    known. Equal rows without an ordinal stay together. The wide rows of all other items are joined where they are:
+    only copies are shuffled again.
     """
     kept = [c for c in _ITEM_COLUMNS if c in items.columns]
     people = human_columns(human)
@@ -134,28 +135,28 @@ def merge_comments(
     copies = F.ceil(F.col("_cnt") / rows_per_copy).cast("int").alias("_copies")
     hottest = counts.filter(F.col("_cnt") > rows_per_copy).orderBy(F.desc("_cnt"), "sample_id").limit(MOST_COPIED)
     many = F.broadcast(hottest.select("sample_id", copies))
-    keys = ["sample_id", "_copy"]
 
     merged = items.select("sample_id", *kept)
     if models:
         wide = pivot_comments(comments, models, ordinal)
         commented = [F.col(f"{p}_comment") for p in slugs(models).values()]
         merged = merged.join(wide.filter(F.coalesce(*commented).isNotNull()), "sample_id")
-    merged = merged.join(many, "sample_id", "left").selectExpr(
-        "*", "explode(sequence(0, coalesce(_copies, 1) - 1)) AS _copy"
-    )
+    merged = merged.join(many, "sample_id", "left")
     said = human_columns(human, position).withColumnRenamed(ordinal, "_position") if position else people
-    own = F.xxhash64(*[F.col(c) for c in said.columns])
-    dealt = said.join(many, "sample_id", "left").withColumns(
-        {"_copy": F.pmod(own, F.coalesce("_copies", F.lit(1))).cast("int"), "_said": F.lit(True)}
+    single = merged.filter("_copies IS NULL").drop("_copies").join(
+        people.join(many, "sample_id", "left_anti"), "sample_id", "left"
     )
-    # A copy that got no human row is not an item without one.
-    merged = merged.join(dealt.drop("_copies", "_position"), keys, "left").filter("_said OR _copies IS NULL")
+    own = F.xxhash64(*[F.col(c) for c in said.columns])
+    dealt = said.join(many, "sample_id").withColumn("_copy", F.pmod(own, F.col("_copies")).cast("int"))
+    copied = merged.filter("_copies IS NOT NULL").selectExpr("*", "explode(sequence(0, _copies - 1)) AS _copy")
+    # Each row of these finds the one copy it is dealt to; a copy may get none.
+    copied = copied.drop("_copies").join(dealt.drop("_copies", "_position"), ["sample_id", "_copy"])
+    merged = single.unionByName(copied.drop("_copy"))
 
     if "_human_lang" in people.columns:
         sources = ["lang_code", "_human_lang"] if "lang_code" in kept else ["_human_lang"]
         merged = merged.withColumn("lang_code", F.coalesce(*sources))
-    merged = merged.drop("_human_lang", "_copies", "_copy", "_said")
+    merged = merged.drop("_human_lang")
     leading = _LEADING + [f"{p}_{s}" for p in _LEADING_SLUGS for s in _LEADING_SUFFIXES]
     ordered = [c for c in leading if c in merged.columns]
     human_rest = [c for c in people.columns if c in merged.columns and c not in ordered]

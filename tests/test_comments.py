@@ -105,6 +105,25 @@ def test_human_rows_are_dealt_before_they_are_shuffled(spark, monkeypatch):
     assert plan.count("BroadcastHashJoin") >= 2
 
 
+@pytest.mark.parametrize("hot", [0, 60])
+def test_wide_rows_are_shuffled_once(spark, hot):
+    """By item only; hot items add a shuffle of their copies and of their human rows."""
+    judged = table(spark, [(i, ONE, "control", "A", "why", True, "de", True) for i in ("i1", "i2", "i3")])
+    human = spark.range(90).selectExpr(f"if(id < {hot}, 'i1', 'x' || id) AS sample_id", "'c' || id AS commet")
+    human = human.unionByName(spark.createDataFrame([("i2", "d")], human.schema))
+    base = items(spark, [("i1", "de"), ("i2", "de"), ("i3", "de")])
+    with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        merged = ops.merge_comments(base, human, judged, [ONE], rows_per_copy=4).select(
+            "sample_id", "human_comment", "translation_a", "grok_comment"
+        )
+        found = sorted(merged.collect(), key=repr)
+        plan = merged._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    said = {"i1": [f"c{i}" for i in range(hot)] or [None], "i2": ["d"], "i3": [None]}
+    assert found == sorted([(i, c, f"a {i}", "why") for i, cs in said.items() for c in cs], key=repr)
+    again = [x for x in plan.splitlines() if " Exchange hashpartitioning(sample_id" in x and "_copy" in x]
+    assert len(again) == (2 if hot else 0)
+
+
 def test_comments_of_unlisted_judges_are_an_error(spark):
     human = people(spark, [("i1", "de", "nice", None, "text1")])
     base = items(spark, [("i1", "de")])
