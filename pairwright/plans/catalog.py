@@ -447,14 +447,16 @@ def comment_subset_shared(spark, sf):
 # Comments
 
 
-def _comments(spark: SparkSession, sf: str) -> DataFrame:
-    return score(parse_winner_comment(views.comment_replies(spark, sf)))
+def _comments(spark: SparkSession, sf: str, by_item: bool = False) -> DataFrame:
+    return score(parse_winner_comment(views.comment_replies(spark, sf, by_item)))
 
 
 @_query
 def merge_comments(spark, sf):
-    people = views.human(spark, sf).drop("row_ordinal")
-    return comment_ops.merge_comments(_items(spark, sf), people, _comments(spark, sf), JUDGES)
+    """The three tables are dealt by item together, so each text is shuffled once before it is multiplied."""
+    people = views.human(spark, sf, by_item=True).drop("row_ordinal")
+    base = views.items(spark, sf, by_item=True).drop("row_ordinal")
+    return comment_ops.merge_comments(base, people, _comments(spark, sf, by_item=True), JUDGES)
 
 
 @_query
