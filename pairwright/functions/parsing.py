@@ -100,15 +100,15 @@ def parse_winner_comment(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     A JSON reply with a verdict gives both. Otherwise each comes from its own
     pattern; such a comment is not unescaped, and a truncated reply has none.
     """
-    text, winner = F.col(raw), F.col("_winner")
+    text, winner, said = F.col(raw), F.col("_winner"), F.col("_said")
     staged = _with_json(df, raw).withColumn("_winner", _json_winner())
+    # A column of its own, like _json: a generator would search the reply once for each use of what is found.
+    staged = staged.withColumn("_said", F.when(winner.isNull(), F.regexp_extract(text, _COMMENT_KEY, 1)))
     return _with_results(
         staged,
         parsed_winner=F.coalesce(winner, _group(text, _WINNER_KEY)),
-        comment=F.when(winner.isNotNull(), F.col("_json.comment")).otherwise(
-            strip(_group(text, _COMMENT_KEY))
-        ),
-    ).drop("_json", "_winner")
+        comment=F.when(winner.isNotNull(), F.col("_json.comment")).otherwise(strip(F.when(said != "", said))),
+    ).drop("_json", "_winner", "_said")
 
 
 def score(df: DataFrame) -> DataFrame:

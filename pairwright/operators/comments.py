@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import judge_slug_of
@@ -38,6 +40,8 @@ ROWS_PER_COPY = 100_000
 MOST_COPIED = 100_000
 # Terms of a lexicon, which is configuration and becomes part of the expressions.
 MOST_TERMS = 10_000
+# Up to so many terms each is looked for by itself, which is faster; more would make too many expressions.
+TERMS_APART = 200
 
 
 def human_columns(human: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -180,6 +184,13 @@ def _mentions(terms: Sequence[str]) -> str:
     return f"(?:{'|'.join(found)})(?!{_LETTER})"
 
 
+def _mentioned(text: Column, terms: Sequence[str], apart: bool) -> Column:
+    """Whether the text mentions any of the terms. The pattern of a term is run only on texts that hold its first word."""
+    if not apart:
+        return text.rlike(_mentions(terms))
+    return reduce(or_, [text.contains(term.split(" ")[0]) & text.rlike(_mentions([term])) for term in terms])
+
+
 def lexicon_terms(lexicon: DataFrame) -> dict[str, list[str]]:
     """The terms of each dimension of a (dimension, term) table: lower case, words one space apart, each once.
 
@@ -201,14 +212,17 @@ def dimension_counts(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Distinct commented items per (source, dimension), zeros included.
 
     ``comments`` has source, sample_id and comment; ``lexicon`` is a table of (dimension, term), a term being one
-    or several words. Texts are reduced to one flag per dimension where they are read, by a pattern that
+    or several words. Texts are reduced to one flag per dimension where they are read, by a search that
     stops at the first term it finds; only flags are shuffled. A row without a comment mentions nothing.
     """
     terms = lexicon_terms(lexicon)
     names = list(terms)
-    text = F.lower("comment")
-    flags = [F.coalesce(text.rlike(_mentions(found)), F.lit(False)).alias(f"_d{i}") for i, found in enumerate(terms.values())]
-    per_item = comments.select("source", "sample_id", *flags).groupBy("source", "sample_id").agg(
+    text, apart = F.col("_text"), sum(map(len, terms.values())) <= TERMS_APART
+    flags = [
+        F.coalesce(_mentioned(text, found, apart), F.lit(False)).alias(f"_d{i}") for i, found in enumerate(terms.values())
+    ]
+    lowered = comments.select("source", "sample_id", F.lower("comment").alias("_text"))
+    per_item = lowered.select("source", "sample_id", *flags).groupBy("source", "sample_id").agg(
         *[F.bool_or(f"_d{i}").alias(f"_d{i}") for i in range(len(names))]
     )
     per_source = per_item.groupBy("source").agg(

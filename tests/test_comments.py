@@ -182,6 +182,21 @@ def test_phrases_of_a_lexicon(spark):
             ops.dimension_counts(table, lexicon(spark, d=[bad]))
 
 
+def test_terms_apart_or_together(spark, monkeypatch):
+    """Few terms are looked for one by one, only in texts that hold them; many in one pattern. Both find the same."""
+    words = ["for", "forêt", "La Forêt", "before", "in", "in the", "in, the", "inthe", "the in", "", None, "FOR", "x for", "é for é", "pas-pas"]
+    table = spark.createDataFrame([("h", str(i), w) for i, w in enumerate(words)], "source string, sample_id string, comment string")
+    terms = lexicon(spark, a=["for", "pas"], b=["in the", "zu"], c=["la forêt", "before"])
+    counts = []
+    for most in (0, 200):
+        monkeypatch.setattr(ops, "TERMS_APART", most)
+        counted = ops.dimension_counts(table, terms)
+        counts.append(rows(counted))
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Contains(" in plan) == (most > 0) and plan.count("lower(") == 1
+    assert counts[0] == counts[1] == [("h", "a", 5), ("h", "b", 2), ("h", "c", 2)]
+
+
 def test_dimensions(spark):
     said = spark.createDataFrame(
         [

@@ -149,3 +149,11 @@ def test_json_with_more_in_it(spark, raw):
 )
 def test_only_whole_replies_are_json(spark, raw, winner, method):
     assert parse(spark, [raw]) == [(winner, method)]
+
+
+def test_a_reply_is_searched_for_its_comment_once(spark):
+    """A generator would evaluate the pattern for the test and again for the value."""
+    frame = spark.createDataFrame([('x "comment": " why " }',), ('"comment": "cut',), (None,)], "raw_response string")
+    parsed = parse_winner_comment(frame)
+    assert [r.comment for r in parsed.collect()] == ["why", None, None]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count('"comment"[') == 1
