@@ -6,6 +6,7 @@ import pytest
 from helpers import items, rows
 
 from pairwright.operators import comments as ops
+from pairwright.plans import catalog
 from pyspark.sql import functions as F
 
 ONE, TWO = "x-ai/grok-4.20-beta", "Org/My-Model.1"
@@ -124,6 +125,17 @@ def test_wide_rows_are_shuffled_once(spark, hot):
     assert len(again) == (2 if hot else 0)
 
 
+def test_the_query_shuffles_documents_once(spark, tmp_path):
+    """Items, human rows and comments are dealt by item before the texts are multiplied."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('a text, no ', id) AS text", "'de' AS lang", "'web' AS source", "12L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        merged = catalog.queries()["merge_comments"](spark, str(tmp_path))
+        assert 0 < len(merged.collect()) <= 40
+        plan = merged._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert " Exchange hashpartitioning(sample_id" not in plan and "REPARTITION_BY_COL" in plan
+
+
 def test_comments_of_unlisted_judges_are_an_error(spark):
     human = people(spark, [("i1", "de", "nice", None, "text1")])
     base = items(spark, [("i1", "de")])
