@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -12,8 +13,9 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from pairwright.llm import chat, cws, graph, kdtree, langid, mixing, neardup, pieces, secrets, templates, urls
+from pairwright.llm import chat, cws, graph, kdtree, langid, mixing, neardup, pieces, secrets, tables, templates, urls
 
 DOC = "doc_id long, text string"
 
@@ -765,6 +767,47 @@ def test_near_duplicates(table, size):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("bits", [26, 15, 3])
+def test_near_duplicates_send_no_ids_through_the_driver(table, monkeypatch, bits):
+    """What is broadcast doesn't grow with the nodes that share a bucket; the result is right if the filter is full."""
+    sent, broadcast = [], neardup.F.broadcast
+    monkeypatch.setattr(neardup.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(neardup, "MOST_BITS", bits, raising=False)
+    rows = []
+    for i in range(300):
+        text = [f"w{i}x{j}" for j in range(40)]
+        rows += [(10**12 * (i - 9), " ".join(text)), (10**12 * (i - 9) + 1, " ".join(text[:-1] + ["other"]))]
+    rows += [(5 + i, f"alone{i} in{i} here{i}") for i in range(50)] + [(None, "w0x0 w0x1"), (7, None)]
+    made = neardup.near_duplicates(table(DOC, rows), 2).collect()
+    assert len(made) == len(rows)
+    for r in made:
+        want = None if r.doc_id is None else r.doc_id - r.doc_id % 10**12 if r.n_shingles == 39 else r.doc_id
+        assert r.component_id == want and r.kept == (r.doc_id is None or r.doc_id == want)
+    assert max(sent, default=0) <= 10
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SENT_BYTES", 100_000)
+    few, many = (tables.unsent(tables.cut(spark.range(n).select(F.xxhash64("id").alias("node"), "id"))) for n in (1000, 40_000))
+    other = tables.cut(spark.range(200_000).select(F.xxhash64("id").alias("node")))
+    plan = lambda df: other.join(df.toDF("b", "x"), F.col("node") == F.col("b"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
+    tables.drop(many)
+    assert not os.path.exists(many.cut_path)
+
+
+def test_rows_among_ids(spark, table, monkeypatch):
+    ids = [-(2**63), 2**63 - 1, 0, -1, *range(1, 4000, 3)]
+    docs = table(DOC, [(i, "x") for i in [*ids, *range(4000, 40_000), None]], extra=False)
+    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = [r.doc_id for r in neardup._among(docs, wanted).collect()]
+    assert set(ids) <= set(got) and None not in got and len(got) == len(set(got))
+    assert len(got) - len(ids) < 36_000 / 12
+    assert neardup._among(docs, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(neardup, "MOST_BITS", 12)
+    assert set(ids) <= {r.doc_id for r in neardup._among(docs, wanted).collect()}
+
+
 def test_near_duplicates_of_nothing(table):
     assert neardup.near_duplicates(table(DOC, [])).count() == 0
     kept = neardup.keep_one(table(DOC, [(2, "a b c d e f"), (1, "A b c d e f"), (3, None), (4, None)]))
